@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, ngram_join, packing, substring_dedup, token_files
+from . import bpe, exact_dedup, langid, mlm, ngram_join, packing, quality, substring_dedup, token_files, webp
 from .common import read_table
 
 
@@ -36,6 +36,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op6_webp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = webp.from_media(webp.to_media(read_table(spark, sf_dir, "documents")))
+    payload = F.octet_length("samples").cast("long")
+    tail = F.crc32(F.substring("samples", -32, 32))
+    return out.select("doc_id", "n_bytes", payload.alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), tail.alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mlm.pseudo_likelihood(read_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
 
@@ -45,12 +56,20 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality.score(docs, labels, host="source", path="concat_ws('/', source, lang)")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_webp_media": op6_webp_media,
+    "op7_masked_lm": op7_masked_lm,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality": op10_quality,
 }
