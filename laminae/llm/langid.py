@@ -13,6 +13,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,6 +188,25 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     return small.mapInArrow(_predict(handle), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
+def _keep(handle, id_col: str, text_col: str):
+    predict = _predict(handle)
+
+    def run(batches):
+        for batch in batches:
+            small = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], ["doc_id", "text"])
+            for marks in predict([small]):
+                yield batch.filter(pc.invert(marks.column("ambiguous")))
+
+    return run
+
+
+def keep_identified(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is clear: texts marked ``und`` or ambiguous go. No shuffle."""
+    spark = prepare(docs)
+    handle = spark.sparkContext.broadcast(fit(train, id_col, text_col, lang_col))
+    return docs.mapInArrow(_keep(handle, id_col, text_col), docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Column: one document in five, by checksum of its id; never trained on."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))

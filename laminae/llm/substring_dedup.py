@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,6 +197,34 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), starts, ends, pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "starts", "ends", "kept_text"])
 
 
+def _rewrite(text_col: str, length_col: str | None, spans: tuple[str, str, str], names: list[str]):
+    def run(batches):
+        for batch in batches:
+            small = pa.RecordBatch.from_arrays([batch.column(c) for c in (spans[0], text_col, spans[1], spans[2])], ["doc_id", "text", "starts", "ends"])
+            for done in _cut([small]):
+                cut = pc.greater(done.column("n_removed"), 0)
+                text = pc.if_else(cut, done.column("kept_text"), batch.column(text_col))
+                columns = [text if c == text_col else batch.column(c) for c in names]
+                if length_col:
+                    at = names.index(length_col)
+                    columns[at] = pc.if_else(cut, pc.utf8_length(text).cast(columns[at].type), columns[at])
+                out = pa.RecordBatch.from_arrays(columns, names)
+                yield out.filter(pc.invert(pc.and_(cut, pc.equal(done.column("kept_text"), ""))))
+
+    return run
+
+
+def cut_documents(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs``, all columns, with repeated passages cut from the text; a document of which nothing is left goes.
+
+    Texts that lose nothing stay as they are; ``length_col`` follows a text that is cut.
+    """
+    names = [f"_span_{k}_{len(docs.columns)}" for k in range(3)]
+    spans = repeated_spans(docs, width, id_col, text_col).toDF(*names)
+    joined = docs.join(spans, docs[id_col] == spans[names[0]], "left")
+    return joined.mapInArrow(_rewrite(text_col, length_col, tuple(names), docs.columns), docs.schema)
+
+
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, starts, ends (the removed intervals), kept_text.
 

@@ -61,3 +61,22 @@ def near(rows, width=4, percent=85):
                 a, b = find(e), find(d)
                 root[max(a, b)] = min(a, b)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def kept_texts(rows, width=13):
+    """doc_id -> text left, or None if nothing is removed."""
+    rows = list(rows)
+    words = {d: WORD.findall(t or "") for d, t in rows}
+    first = {}
+    for d in sorted(words):
+        w = words[d]
+        for i in range(len(w) - width + 1):
+            first.setdefault(tuple(w[i : i + width]), d)
+    out = {}
+    for d, w in words.items():
+        gone = [False] * len(w)
+        for i in range(len(w) - width + 1):
+            if first[tuple(w[i : i + width])] < d:
+                gone[i : i + width] = [True] * width
+        out[d] = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else None
+    return out
