@@ -73,3 +73,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
 }
+
+#: DuckDB SQL where SQL has the functions; the other queries are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_exact_dedup": """
+        WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) h FROM documents),
+        g AS (SELECT h, max(doc_id) keep_id, count(*) group_size FROM d GROUP BY h)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN g USING (h)""",
+}
