@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminae.functions import numeric as num
-from laminae.operators import graph, metrics, series, spatial, stencil, voxel, winding
+from laminae.operators import dense, graph, mesh, metrics, patches, series, spatial, stencil, voxel, winding
 from laminae.plans.fixtures import SHAPE, Tables, with_views
 from laminae.streaming import windows as streams
 
@@ -561,6 +561,95 @@ def wrap_difference(t):
     return rounded(t.events.select("event_id", num.wrap_difference(F.col("value") / 7.0).alias("d")), "d")
 
 
+# surfaces and patches
+
+
+def _cells(t):
+    return t.points().select(F.lit(0).alias("mesh"), (F.col("id") % 20).alias("u"), F.floor(F.col("id") / 20).alias("v"), *KEY)
+
+
+_CELLS = "cells AS (SELECT 0 mesh,id%20 u,id//20 v,z,y,x FROM points)"
+_EDGES = "e AS (SELECT a.mesh,sqrt((a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) l FROM cells a JOIN cells b ON (b.u=a.u+1 AND b.v=a.v) OR (b.u=a.u AND b.v=a.v+1))"
+
+
+@query(f"WITH {_CELLS}, {_EDGES}, s AS (SELECT mesh,count(*) n,avg(l) mean,stddev_pop(l) sd,list_sort(list(l))[count(*)//2+1] median FROM e GROUP BY 1) SELECT mesh,n,round(mean,6) mean,round(sd,6) sd,round(median,6) median,round((SELECT avg(CASE WHEN l>2*mean THEN 1.0 ELSE 0.0 END) FROM e),6) long FROM s", "points")
+def mesh_quality(t):
+    return rounded(mesh.edge_stats(_cells(t)), "mean", "sd", "median", "long")
+
+
+@query(f"WITH {_CELLS}, b AS (SELECT *,floor(z/6) bz,floor(y/6) byy,floor(x/6) bx FROM cells), f AS (SELECT *,first_value(u) OVER w fu,first_value(v) OVER w fv FROM b WINDOW w AS (PARTITION BY mesh,bz,byy,bx ORDER BY v,u)) SELECT mesh,count(*) FILTER (abs(u-fu)+abs(v-fv)>6) n FROM f GROUP BY 1", "points")
+def self_intersection(t):
+    return mesh.self_intersections(_cells(t), 6.0)
+
+
+@query("WITH p AS (SELECT z,y,x,v FROM ct) SELECT y,x,CAST(list_reduce(list_prepend({'v':0.0::DOUBLE,'top':l[1],'low':l[1],'fell':false,'n':0}, list_transform(l,lambda q:{'v':q,'top':0.0::DOUBLE,'low':0.0::DOUBLE,'fell':false,'n':0})),lambda s,q:{'v':0.0::DOUBLE,'top':CASE WHEN s.fell AND q.v-s.low>=15 THEN q.v WHEN s.fell THEN s.top ELSE greatest(s.top,q.v) END,'low':CASE WHEN NOT s.fell AND s.top-q.v>=15 THEN q.v WHEN s.fell THEN least(s.low,q.v) ELSE s.low END,'fell':CASE WHEN s.fell AND q.v-s.low>=15 THEN false ELSE s.fell OR (NOT s.fell AND s.top-q.v>=15) END,'n':s.n+CASE WHEN s.fell AND q.v-s.low>=15 THEN 1 ELSE 0 END}).n AS INT) valleys FROM (SELECT y,x,list(CAST(v AS DOUBLE) ORDER BY z) l FROM p GROUP BY 1,2)", "ct")
+def valley_count(t):
+    return mesh.valley_count(t.ct(), ["y", "x"], "z", "v", 15.0)
+
+
+@query("WITH s AS (SELECT o_orderkey id,o_orderkey%97 mesh,o_orderkey%16 z,o_orderkey%32 y,o_orderkey*7%32 x,unnest([-2,0,2]) t FROM orders), g AS (SELECT s.mesh,s.id,s.t,coalesce(v,0) value FROM s LEFT JOIN ct ON ct.z=s.z AND ct.y=s.y AND ct.x=s.x+s.t) SELECT mesh,count(*) n,round(avg(d),6) delta FROM (SELECT mesh,id,avg(value) FILTER (t=0)-avg(value) FILTER (t<>0) d FROM g GROUP BY 1,2) GROUP BY 1", "ct")
+def surf_qc_delta(t):
+    k = F.col("o_orderkey")
+    cells = t.orders.select((k % 97).alias("mesh"), k.alias("u"), F.lit(0).alias("v"), (k % 16).alias("z"), (k % 32).alias("y"), (k * 7 % 32).alias("x"), F.lit(0.0).alias("nz"), F.lit(0.0).alias("ny"), F.lit(1.0).alias("nx"))
+    return rounded(mesh.brightness_delta(mesh.profiles(cells, t.ct(), [-2.0, 0.0, 2.0])), "delta")
+
+
+_NEAR = "n AS (SELECT p.mesh a,q.mesh b,p.id,sqrt(min((p.z-q.z)*(p.z-q.z)+(p.y-q.y)*(p.y-q.y)+(p.x-q.x)*(p.x-q.x))) d FROM points p JOIN points q ON {0} AND (p.z-q.z)*(p.z-q.z)+(p.y-q.y)*(p.y-q.y)+(p.x-q.x)*(p.x-q.x)<=64 GROUP BY 1,2,3)"
+
+
+@query(f"WITH {_NEAR.format('p.mesh<q.mesh')} SELECT a,b,count(*) n,round(list_sort(list(d))[count(*)//2+1],6) median,round(avg(CASE WHEN d<=2 THEN 1.0 ELSE 0.0 END),6) coincident,CASE WHEN list_sort(list(d))[count(*)//2+1]<=2 OR avg(CASE WHEN d<=2 THEN 1.0 ELSE 0.0 END)>=0.75 THEN 'AGREE' ELSE 'OFFSET' END verdict FROM n GROUP BY 1,2 HAVING count(*)>=2", "points")
+def surf_consist(t):
+    return rounded(patches.agreement(t.points(), 8.0, 2), "median", "coincident")
+
+
+@query(f"WITH {_NEAR.format('p.mesh<10 AND q.mesh>=10')}, s AS (SELECT a stroke,b mesh,count(*) n,list_sort(list(d))[count(*)//2+1] median FROM n GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY a ORDER BY list_sort(list(d))[count(*)//2+1],b,count(*))=1) SELECT k.mesh stroke,s.mesh,s.n,round(s.median,6) median,CASE WHEN median<=8/3.0::DOUBLE THEN 'MATCHED' WHEN median IS NOT NULL THEN 'OFFSET' ELSE 'MISSED' END verdict FROM (SELECT DISTINCT mesh FROM points WHERE mesh<10) k LEFT JOIN s ON s.stroke=k.mesh", "points")
+def stroke_score(t):
+    return rounded(patches.stroke_scores(t.points().filter("mesh < 10"), t.points().filter("mesh >= 10"), 8.0), "median")
+
+
+@query("WITH p AS (SELECT l_suppkey a,l_suppkey+l_linenumber b,2*avg(l_discount)*10-0.5 conormal,avg(l_quantity)-18 gap,avg(l_tax)*20 codeform,min(l_quantity) dmin FROM lineitem GROUP BY 1,2) SELECT a,b,CAST(round(gap/8) AS BIGINT) dwrap,round(abs(conormal)*exp(-3*abs(gap/8-round(gap/8)))*exp(-1.5::DOUBLE*codeform/8),6) certainty,CASE WHEN abs(conormal)<0.4 THEN 'Conflict' WHEN abs(conormal)>0.8 AND abs(gap)<3 AND dmin<3 THEN 'Merge' WHEN abs(round(gap/8))=1 THEN 'Link' ELSE 'Conflict' END kind FROM p WHERE NOT (dmin>20 AND abs(gap)>20)")
+def patch_edges(t):
+    pairs = t.lineitem.groupBy(F.col("l_suppkey").alias("a"), (F.col("l_suppkey") + F.col("l_linenumber")).alias("b")).agg((2 * F.avg("l_discount") * 10 - 0.5).alias("conormal"), (F.avg("l_quantity") - 18).alias("gap"), (F.avg("l_tax") * 20).alias("codeform"), F.min("l_quantity").alias("dmin"))
+    return rounded(patches.classify(pairs, 8.0, 2.0), "certainty")
+
+
+@query("WITH s AS (SELECT z,y,x FROM gt WHERE v>=47) SELECT g.z,g.y,g.x,CAST(min((g.z-s.z)*(g.z-s.z)+(g.y-s.y)*(g.y-s.y)+(g.x-s.x)*(g.x-s.x)) AS DOUBLE) d2 FROM (SELECT z,y,x FROM ct) g,s GROUP BY 1,2,3", "ct", "gt")
+def edt_brute(t):
+    return dense.distance_squared(t.gt().filter("v >= 47"), graph.background(t.gt().limit(0), SHAPE)).join(t.ct().select(*KEY), KEY, "left_semi")
+
+
+@query()
+def structure_tensor(t):
+    return dense.structure_tensor(t.ct(), 1.0, 8, SHAPE)
+
+
+@query()
+def hessian(t):
+    return dense.hessian_plateness(t.ct(), 1.0, 8, SHAPE)
+
+
+@query()
+def ced(t):
+    return dense.diffuse(t.ct(), 3, 0.1, 8, SHAPE)
+
+
+@query()
+def gaussian_blur(t):
+    return dense.gaussian_blur(t.ct(), 1.0, 8, SHAPE)
+
+
+@query("SELECT page_id,nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',1),'') section,TRY_CAST(nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',2),'') AS BIGINT) item FROM pages")
+def url_parts(t):
+    part = lambda k: F.nullif(F.regexp_extract("url", "/([a-z]+)/([0-9]+)", k), F.lit(""))
+    return t.pages.select("page_id", part(1).alias("section"), part(2).cast("bigint").alias("item"))
+
+
+@query("SELECT event_id,k,round(v,6) v FROM (SELECT event_id,unnest(json_keys(props)) k,TRY_CAST(json_extract_string(props,'$.'||unnest(json_keys(props))) AS DOUBLE) v FROM events) WHERE v IS NOT NULL")
+def scan_meta(t):
+    pairs = F.explode(F.from_json("props", "map<string,string>")).alias("k", "s")
+    return rounded(t.events.select("event_id", pairs).select("event_id", "k", F.expr("try_cast(s as double)").alias("v")).filter("v is not null"), "v")
+
+
 # streams
 
 
