@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminae.functions import numeric as num
-from laminae.operators import dense, graph, mesh, metrics, patches, series, spatial, stencil, voxel, winding
+from laminae.operators import corpus, dense, graph, mesh, metrics, patches, series, spatial, stencil, voxel, winding
 from laminae.plans.fixtures import SHAPE, Tables, with_views
 from laminae.streaming import windows as streams
 
@@ -650,6 +650,84 @@ def scan_meta(t):
     return rounded(t.events.select("event_id", pairs).select("event_id", "k", F.expr("try_cast(s as double)").alias("v")).filter("v is not null"), "v")
 
 
+# corpora and selections
+
+
+@query("WITH p AS (SELECT z%4 b,y//8 k,sqrt(y*y+x*x) r,v FROM ct), a AS (SELECT * FROM p WHERE v>=48), o AS (SELECT * FROM p WHERE v<10), n AS (SELECT a.b,a.k,min(abs(a.r-o.r)) g FROM a JOIN o USING (b,k) GROUP BY a.b,a.k,a.r), m AS (SELECT a.b,a.k,a.r FROM a), j AS (SELECT m.b,m.k,(SELECT min(abs(m.r-o.r)) FROM o WHERE o.b=m.b AND o.k=m.k) g FROM m), per AS (SELECT b,k,quantile_cont(g,0.5) g FROM j WHERE g IS NOT NULL GROUP BY 1,2) SELECT count(*) bins,round(quantile_cont(g,0.5),6) median FROM per HAVING count(*)>=10", "ct")
+def winding_separation(t):
+    p = t.ct().select((F.col("z") % 4).alias("b"), F.floor(F.col("y") / 8).alias("k"), F.sqrt(F.col("y") * F.col("y") + F.col("x") * F.col("x")).alias("r"), "v")
+    return rounded(corpus.separation(p.filter("v >= 48"), p.filter("v < 10"), ["b", "k"], 10), "median")
+
+
+@query("WITH f AS MATERIALIZED (SELECT ct.z,ct.y,ct.x,ct.v/30.0::DOUBLE dz,gt.v/30.0::DOUBLE dy,(ct.v-gt.v)/30.0::DOUBLE dx FROM ct JOIN gt USING (z,y,x)), o AS (SELECT * FROM (VALUES ('z',1,1,0,0),('z',-1,-1,0,0),('y',1,0,1,0),('y',-1,0,-1,0),('x',1,0,0,1),('x',-1,0,0,-1)) t(a,s,oz,oy,ox)), h AS (SELECT z-oz z,y-oy y,x-ox x," + ",".join(f"sum(CASE WHEN a='{j}' THEN s*d{i} END)/2.0::DOUBLE+{1 if i == j else 0} {i}{j}" for i in "zyx" for j in "zyx") + " FROM f,o GROUP BY 1,2,3 HAVING count(*)=6), g AS (SELECT h.* FROM h SEMI JOIN f USING (z,y,x)) SELECT count(*) n,count(*) FILTER (zz*(yy*xx-yx*xy)-zy*(yz*xx-yx*xz)+zx*(yz*xy-yy*xz)<=0.001) folds FROM g", "ct", "gt")
+def jacobian_fold(t):
+    both = t.ct().withColumnRenamed("v", "c").join(t.gt().withColumnRenamed("v", "g"), KEY)
+    return corpus.fold_fraction(both.select(*KEY, (F.col("c") / 30.0).alias("dz"), (F.col("g") / 30.0).alias("dy"), ((F.col("c") - F.col("g")) / 30.0).alias("dx")))
+
+
+@query("SELECT c_mktsegment grade,count(r) n,round(quantile_cont(r,0.5),6) median,round(avg(CASE WHEN r>=70 THEN 1.0 WHEN r<70 THEN 0.0 END),6) good FROM (SELECT c_mktsegment,CASE WHEN c_acctbal>=0 THEN c_acctbal/100.0::DOUBLE END r FROM customer) GROUP BY 1")
+def crop_agg(t):
+    crops = t.customer.select(F.col("c_mktsegment").alias("grade"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") / 100.0).otherwise(-1.0).alias("ridge"))
+    return rounded(corpus.crop_summary(crops, "grade"), "median", "good")
+
+
+@query("WITH s AS (SELECT z,y,x FROM gt WHERE v>=40), m AS (SELECT z,y,x,255 m FROM s UNION ALL SELECT DISTINCT z+dz,y+dy,x+dx,128 FROM s,faces) SELECT ct.z,ct.y,ct.x,coalesce(max(m),0) label FROM ct LEFT JOIN m ON m.z=ct.z AND m.y=ct.y AND m.x=ct.x GROUP BY 1,2,3", "ct", "gt", "faces")
+def tri_state_band(t):
+    sheet = t.gt().filter("v >= 40")
+    return corpus.tri_state(sheet, stencil.dilate(sheet, stencil.FACES, SHAPE), t.ct())
+
+
+@query("SELECT x z,31-y y,z x,v FROM ct", "ct")
+def augment_octahedral(t):
+    return corpus.octahedral(t.ct(), (2, 1, 0), (False, True, False), SHAPE)
+
+
+@query("SELECT z,y,round(min(f+(1.5-b)/(w-b)*(x-f)),6) x FROM (SELECT z,y,x,w,lag(w) OVER o b,lag(x) OVER o f FROM wound WINDOW o AS (PARTITION BY z,y ORDER BY x)) WHERE b<1.5 AND w>=1.5 GROUP BY 1,2", "wound")
+def extract_wrap(t):
+    return rounded(corpus.first_crossings(_wound(t), 1.5), "x")
+
+
+@query("SELECT y,x,z t,v value FROM ct QUALIFY row_number() OVER (PARTITION BY y,x ORDER BY v DESC,z)=1", "ct")
+def snap_to_sheet(t):
+    return corpus.snapped(t.ct().select("y", "x", F.col("z").alias("t"), F.col("v").alias("value")), ["y", "x"])
+
+
+@query("SELECT y,CAST(round(m-atan2(s,c)/(2*pi())) AS BIGINT) winding,round(sqrt(greatest(0.0,1-s*s-c*c)),6) spread FROM (SELECT y,avg(w) m,avg(sin(2*pi()*w)) s,avg(cos(2*pi()*w)) c FROM wound WHERE v>=30 GROUP BY 1)", "wound")
+def field_windings(t):
+    return rounded(corpus.field_windings(_wound(t).filter("v >= 30"), "y"), "spread")
+
+
+@query("WITH b AS (SELECT l_suppkey block,l_quantity/10.0::DOUBLE rel FROM lineitem), o AS (SELECT s_suppkey block,s_suppkey%5 off FROM supplier) SELECT block,CAST(floor(rel+off+0.25)+CASE WHEN rel+off+0.25-floor(rel+off+0.25)>=0.5 THEN 1 ELSE 0 END AS BIGINT) wrap,count(*) n FROM b JOIN o USING (block) GROUP BY 1,2")
+def emit_wraps(t):
+    blocks = t.lineitem.select(F.col("l_suppkey").alias("block"), (F.col("l_quantity") / 10.0).alias("rel"))
+    return corpus.emitted(blocks, t.supplier.select(F.col("s_suppkey").alias("block"), (F.col("s_suppkey") % 5).alias("off")), 0.25)
+
+
+@query("SELECT volume,array_to_string(list_sort(list(DISTINCT mesh)),',') meshes FROM (SELECT c_nationkey volume,c_mktsegment mesh FROM customer) GROUP BY 1")
+def sweep_union(t):
+    out = corpus.union_per_volume(t.customer.select(F.col("c_nationkey").alias("volume"), F.col("c_mktsegment").alias("mesh")))
+    return out.select("volume", F.array_join("meshes", ",").alias("meshes"))
+
+
+@query("WITH l0 AS (SELECT z,y,x,CAST(v AS DOUBLE) v FROM gt WHERE v>=25), l1 AS (SELECT z//2 z,y//2 y,x//2 x,avg(v) v FROM gt WHERE v>=15 GROUP BY 1,2,3) SELECT c.z,c.y,c.x,CASE WHEN l0.v IS NOT NULL THEN 0 WHEN l1.v IS NOT NULL THEN 1 END lod,round(coalesce(l0.v,l1.v),6) v FROM ct c LEFT JOIN l0 ON l0.z=c.z AND l0.y=c.y AND l0.x=c.x LEFT JOIN l1 ON l1.z=c.z//2 AND l1.y=c.y//2 AND l1.x=c.x//2", "ct", "gt")
+def best_effort_render(t):
+    fine = t.gt().filter("v >= 25").select(F.lit(0).alias("lod"), *KEY, F.col("v").cast("double").alias("v"))
+    coarse = voxel.downsample(t.gt().filter("v >= 15")).select(F.lit(1).alias("lod"), *KEY, "v")
+    return rounded(corpus.finest_present(fine.union(coarse), t.ct(), 2), "v")
+
+
+@query("WITH g AS (SELECT s_suppkey%8 tu,s_suppkey//8%8 tv,CASE WHEN s_acctbal<0 THEN 'F' ELSE 'P' END verdict FROM supplier) SELECT y u,x v,z FROM ct WHERE (y//4,x//4) NOT IN (SELECT tu,tv FROM g WHERE verdict='F')", "ct")
+def trust_gate(t):
+    grid = t.supplier.select((F.col("s_suppkey") % 8).alias("tu"), (F.floor(F.col("s_suppkey") / 8) % 8).alias("tv"), F.when(F.col("s_acctbal") < 0, "F").otherwise("P").alias("verdict"))
+    return corpus.trusted(t.ct().select(F.col("y").alias("u"), F.col("x").alias("v"), "z"), grid, 4)
+
+
+@query("WITH r AS (SELECT floor(z/10.0::DOUBLE) band,y,x,ny/sqrt(ny*ny+nx*nx) a,nx/sqrt(ny*ny+nx*nx) b FROM (SELECT z,y,x,ny*10 ny,nx*10 nx FROM points) WHERE sqrt(ny*ny+nx*nx)>=0.5), s AS (SELECT CAST(band AS BIGINT) band,count(*) n,sum(1-a*a) yy,sum(1-b*b) xx,sum(-a*b) yx,sum((1-a*a)*y-a*b*x) ry,sum(-a*b*y+(1-b*b)*x) rx FROM r GROUP BY 1) SELECT band,round((xx*ry-yx*rx)/(yy*xx-yx*yx),5) cy,round((yy*rx-yx*ry)/(yy*xx-yx*yx),5) cx FROM s WHERE n>=8", "points")
+def band_axis(t):
+    rays = t.points().select(*KEY, (F.col("ny") * 10).alias("ny"), (F.col("nx") * 10).alias("nx"))
+    return rounded(corpus.band_axis(rays, 10.0, 8), "cy", "cx", places=5)
+
+
 # streams
 
 
