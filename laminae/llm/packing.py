@@ -24,7 +24,7 @@ from .common import prepare, stored
 from .grams import pieces
 from .tokens import library_cache, vocabulary_path
 
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 #: Rows that one task sweeps; a round with no more than these is the last.
 SWEEP_ROWS = 100_000
 PLACED, PIECE, GAP, SHRUNK = range(4)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import prepare, total_bytes
 from .grams import bucket_edges, from_planes, grouped, mix64, pieces, run_starts, runs, to_planes, window_hashes, word_hashes, words_of
 
-BLOCK_WINDOWS = 2_000_000
+BLOCK_WINDOWS = 1_000_000
 BUCKET_BYTES = 8 << 20
 _CELL = "bucket int, direct boolean, docs binary, counts binary, hashes binary, at binary"
 _FOUND = "shard int, docs binary, counts binary, at binary"

@@ -23,7 +23,7 @@ from .common import prepare, scratch_path, stored, total_bytes
 from .grams import pieces
 from .tokens import library_cache, vocabulary_path
 
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 20
 BLOCK_IDS = 1 << 18
 PART_BYTES = 32 << 20
 #: Lengths of the four numbers that each control byte describes, two bits each, lowest first.

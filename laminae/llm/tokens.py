@@ -15,7 +15,7 @@ import numpy as np
 
 from .grams import IS_SPACE, _BYTE_VALUES, Piece, span_hashes
 
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 500_000
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
 #: The last bytes of white space that is neither space nor tab to carriage return, with those before.
 ODD_SPACE = ((0xC2, 0x85), (0xC2, 0xA0), (0xE1, 0x9A, 0x80), (0xE2, 0x81, 0x9F), (0xE3, 0x80, 0x80), *((0xE2, 0x80, b) for b in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0x1C,), (0x1D,), (0x1E,), (0x1F,))
