@@ -2,8 +2,9 @@
 
 Documents are dealt into blocks. A block's pre-token words, exploded in order of position, meet those of all other
 blocks by hash; every distinct word is encoded once; its ids join back to the blocks that hold it, and a block
-reassembles its documents by position. Both uses of the blocks share one exchange. Decoding joins ids to the table of
-token bytes, which the vocabulary bounds.
+reassembles its documents by position. Both uses of the blocks share one exchange. Words travel in the order of their
+hashes, which either side can compute, so neither hashes nor positions travel. Decoding joins ids to the table of token
+bytes, which the vocabulary bounds.
 
 A word is a run of pattern matches that ends where white space begins, so matches are still encoded one by one.
 """
@@ -25,10 +26,11 @@ from .tokens import chunk_spans, vocabulary_path
 
 MULTI_VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 BLOCK_BYTES = 12 << 20
+BUCKET_BYTES = 12 << 20
 OUT_BYTES = 1 << 20
 _BLOCKS = "block long, docs binary, offsets binary, text binary"
-_WORDS = "bucket int, block long, hashes binary, sizes binary, bytes binary"
-_IDS = "block long, hashes binary, sizes binary, ids binary"
+_WORDS = "bucket int, block long, sizes binary, bytes binary"
+_IDS = "block long, bucket int, sizes binary, ids binary"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -103,10 +105,10 @@ def _distinct(buckets: int):
                 own, place = np.unique(np.concatenate(keys), return_index=True)
                 at, sizes = np.concatenate(at)[place], np.concatenate(sizes)[place]
                 full, cuts = bucket_edges(own, buckets)
-                rows = [(b, row["block"], to_planes(own[lo:hi]), to_planes(sizes[lo:hi].astype(np.uint32)), _ragged(piece.data, at[lo:hi], sizes[lo:hi]).tobytes()) for b, lo, hi in zip(full.tolist(), cuts[:-1], cuts[1:], strict=True)]
+                rows = [(b, row["block"], to_planes(sizes[lo:hi].astype(np.uint32)), _ragged(piece.data, at[lo:hi], sizes[lo:hi]).tobytes()) for b, lo, hi in zip(full.tolist(), cuts[:-1], cuts[1:], strict=True)]
                 if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "block", "hashes", "sizes", "bytes"])
+                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "block", "sizes", "bytes"])
 
     return run
 
@@ -119,50 +121,48 @@ def _encode(path: str):
         import tiktoken
 
         encoder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks_of(path), special_tokens={})
-        for _, held in grouped(batches, "bucket"):
+        for bucket, held in grouped(batches, "bucket"):
             rows = [r for part in held for r in part.to_pylist()]
-            keys = [from_planes(r["hashes"], np.uint64) for r in rows]
             sizes = [from_planes(r["sizes"], np.uint32).astype(np.int64) for r in rows]
             text = b"".join(r["bytes"] for r in rows)
             ends = np.cumsum(np.concatenate(sizes))
-            distinct, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            keys = span_hashes(_BYTE_VALUES[np.frombuffer(text, np.uint8)], ends - np.concatenate(sizes), ends)
+            _, first, back = np.unique(keys, return_index=True, return_inverse=True)
             spans = zip((ends - np.concatenate(sizes))[first].tolist(), ends[first].tolist(), strict=True)
             lists = [encoder.encode_ordinary(text[a:b].decode()) for a, b in spans]
             counts = np.fromiter(map(len, lists), np.int64, len(lists))
             flat = np.fromiter((i for x in lists for i in x), np.uint16, int(counts.sum()))
             starts = np.cumsum(counts) - counts
             out, at = [], 0
-            for row, own in zip(rows, keys, strict=True):
+            for row, own in zip(rows, sizes, strict=True):
                 place = back[at : at + len(own)]
                 at += len(own)
-                out.append((row["block"], row["hashes"], counts[place].astype(np.uint16 if counts.max() < 1 << 16 else np.uint32), _ragged(flat, starts[place], counts[place])))
-            arrays = [pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary()), pa.array([to_planes(r[2]) for r in out], pa.binary()), pa.array([to_planes(r[3]) for r in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "hashes", "sizes", "ids"])
+                out.append((row["block"], to_planes(counts[place].astype(np.uint32)), to_planes(_ragged(flat, starts[place], counts[place]))))
+            arrays = [pa.array([r[0] for r in out], pa.int64()), pa.array([bucket] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "sizes", "ids"])
 
     return run
 
 
 def _reassemble(blocks: pa.Table, words: pa.Table) -> pa.Table:
     """Ids of a block's documents, by position."""
-    keys, counts, flat = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
-    for row in words.to_pylist():
-        own = from_planes(row["hashes"], np.uint64)
-        keys.append(own)
-        counts.append(from_planes(row["sizes"], np.uint16 if len(row["sizes"]) == 2 * len(own) else np.uint32).astype(np.int64))
+    counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+    for row in sorted(words.to_pylist(), key=lambda r: r["bucket"]):
+        counts.append(from_planes(row["sizes"], np.uint32).astype(np.int64))
         flat.append(from_planes(row["ids"], np.uint16))
-    keys, counts, flat = np.concatenate(keys), np.concatenate(counts), np.concatenate(flat)
+    counts, flat = np.concatenate(counts), np.concatenate(flat)
     starts = np.cumsum(counts) - counts
-    order = np.argsort(keys)
-    keys, counts, starts = keys[order], counts[order], starts[order]
+    slices = [(part, first, hashes) for row in blocks.to_pylist() for part, _, _, first, hashes in _slices(_unpack(row))]
+    keys = np.unique(np.concatenate([h for _, _, h in slices]))
+    if len(keys) != len(counts):
+        raise ValueError("a block's words and their ids do not belong together")
     out = []
-    for row in blocks.to_pylist():
-        for part, _, _, first, hashes in _slices(_unpack(row)):
-            slot = np.searchsorted(keys, hashes)
-            ids = _ragged(flat, starts[slot], counts[slot])
-            bounds = np.append(0, np.cumsum(counts[slot]))[first]
-            sizes = np.diff(bounds)
-            raw = pa.Array.from_buffers(pa.binary(), len(part.ids), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
-            out.append(pa.Table.from_arrays([pa.array(part.ids, mask=~part.valid), pa.array(sizes), raw], ["doc_id", "n_tokens", "ids"]))
+    for part, first, hashes in slices:
+        slot = np.searchsorted(keys, hashes)
+        ids = _ragged(flat, starts[slot], counts[slot])
+        bounds = np.append(0, np.cumsum(counts[slot]))[first]
+        raw = pa.Array.from_buffers(pa.binary(), len(part.ids), [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+        out.append(pa.Table.from_arrays([pa.array(part.ids, mask=~part.valid), pa.array(np.diff(bounds)), raw], ["doc_id", "n_tokens", "ids"]))
     return pa.concat_tables(out)
 
 
@@ -174,7 +174,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     """
     prepare(docs)
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(8, -(-total_bytes(small, "text") // BLOCK_BYTES))
+    buckets = max(8, -(-total_bytes(small, "text") // BUCKET_BYTES))
     blocks = small.mapInArrow(_pack, _BLOCKS).repartition(buckets, "block")
     words = blocks.mapInArrow(_distinct(buckets), _WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encode(vocabulary or vocabulary_path(MULTI_VOCABULARY)), _IDS)
