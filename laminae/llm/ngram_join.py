@@ -4,15 +4,16 @@ Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of wo
 order, rarest first; if two documents link, then for every l the first n - ceil(percent n / 100) + l shingles of either
 hold at least l common ones. Each document picks its own l: a longer prefix visits more postings but lets pass only
 documents with more matches, so l is where visits plus expected verifications cost least. A pair that matches
-min(l_a, l_b) times is verified on the whole sets.
+min(l_a, l_b) times is verified on the whole sets, unless its sizes and what is left behind its last match rule it out.
+The smaller of two sets that link shares more of itself, so its prefix counts only up to a shorter length.
 
 Three stages, all over every document and whole texts:
 
 1. Shingle hashes meet by hash range, packed in byte planes; a shingle seen once can match nothing and takes the front
    of the order, so only shared shingles return, and only documents that share ``percent`` of their set go on.
 2. Documents with equal sets become one class.
-3. Links. First rounds of pivots: in a posting list, members outside the list's largest component are paired with one
-   pivot of that component, so a list of thousands of near copies costs thousands of pairs, not millions. Then every
+3. Links. First rounds of pivots: in a posting list, each member outside the list's largest component is paired with one
+   of that component's pivots, so a list of thousands of near copies costs thousands of pairs, not millions. Then every
    pair of different components that is still possible is verified; pairs inside one component cannot change the
    result.
 """
@@ -30,10 +31,14 @@ from .common import prepare, stored, total_bytes
 from .components import connected_components
 from .grams import bucket_edges, from_planes, grouped, mix64, pieces, run_starts, runs, to_planes, window_hashes, word_hashes, words_of
 
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 BUCKET_BYTES = 8 << 20
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 4
+#: Members of a list's largest component that others of the list are paired with in a round, at most.
+PIVOTS = 16
 LONGEST_MULTI = 8
+#: Words of 64 bits in a class's signature: the parity of its shared shingles by hash.
+SIGNATURE_WORDS = 8
 #: Kinds of cells: shingles that still have to meet, shingles known to be shared, and sizes of documents.
 MEET, SHARED, SIZE = 0, 1, 2
 _KEEP_BITS = np.uint64(0xFFFF_FFFF_FFFF_0000)
@@ -202,7 +207,9 @@ def shingle_sets(docs: DataFrame, width: int, percent: int, id_col: str = "doc_i
 
 
 def _prefixes(percent: int):
-    """Picks each class's l by estimated cost and yields its prefix: rep, n, l, tokens."""
+    """Picks each class's l by estimated cost and yields its prefix: rep, n, m, l, tokens, how many of them count if it
+    is the smaller of a pair, and its signature."""
+    bits = 64 * SIGNATURE_WORDS
 
     def run(batches):
         for batch in batches:
@@ -210,32 +217,60 @@ def _prefixes(percent: int):
             for rep, n, ranked in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("ranked"), strict=True):
                 postings = np.asarray(ranked.values.field("df"), dtype=np.float64)
                 tokens = np.asarray(ranked.values.field("token"))
+                m = len(tokens)
                 need = (percent * n + 99) // 100
-                base = len(tokens) - need
+                # the smaller of two sets that link shares at least this much of itself
+                need_smaller = (2 * percent * n + 99 + percent) // (100 + percent)
                 multi = np.arange(1, min(need, LONGEST_MULTI) + 1)
-                visits = np.cumsum(postings)[base + multi - 1]
+                visits = np.cumsum(postings)[m - need + multi - 1]
                 best = int(multi[np.argmin(visits + visits / multi * (n / 8))])
-                out.append((rep, n, best, tokens[: base + best]))
+                odd = np.bincount((tokens.view(np.uint64) >> np.uint64(16)).astype(np.int64) % bits, minlength=bits) & 1
+                signature = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                out.append((rep, n, m, best, max(0, m - need_smaller + best), signature, tokens[: m - need + best]))
             if out:
-                reps, sizes, multis, lists = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(multis, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["rep", "n", "multi", "tokens"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["rep", "n", "m", "multi", "short", "sig", "tokens"])
 
     return run
 
 
+#: What a posting says of its class: set size, shared shingles, l, prefix as the smaller one, signature, the token's place.
+_POSTING = ("rep", "n", "m", "multi", "short", "sig", "pos")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among candidate pairs (a, b), on whole sets."""
     one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     common = F.size(F.array_intersect("ta", "tb")).cast("long")
-    return pairs.join(one, "a").join(two, "b").withColumn("common", common).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b", "common", "na", "nb")
+    return pairs.join(one, "a").join(two, "b").withColumn("common", common).filter((100 + percent) * F.col("common") >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "common", "na", "nb")
+
+
+def _possible(percent: int):
+    """Column: postings a_*, b_* of one token may lead to a link, by sizes, what either shares at all, and signatures.
+
+    A shingle that only one of them holds flips one bit, so their shared parts differ by as many shingles as bits at
+    least. No pair that links fails; most near copies that do not link never leave the join.
+    """
+    shared = (100 + percent) * F.least("a_m", "b_m") >= percent * (F.col("a_n") + F.col("b_n"))
+    apart = sum((F.bit_count(F.col("a_sig")[k].bitwiseXOR(F.col("b_sig")[k])) for k in range(SIGNATURE_WORDS)), F.lit(0))
+    shared = shared & ((100 + percent) * (F.col("a_m") + F.col("b_m") - apart) >= 2 * percent * (F.col("a_n") + F.col("b_n")))
+    counts = F.when(F.struct("a_n", "a_rep") < F.struct("b_n", "b_rep"), F.col("a_pos") < F.col("a_short")).otherwise(F.col("b_pos") < F.col("b_short"))
+    return shared & counts
 
 
 def _matching(pairs: DataFrame, percent: int) -> DataFrame:
-    """Candidates: pairs whose sizes allow a link and that match often enough in their prefixes."""
-    sized = pairs.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    ordered = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ma", "mb").alias("multi"))
-    return ordered.groupBy("a", "b").agg(F.count("*").alias("k"), F.first("multi").alias("multi")).filter("k >= multi").select("a", "b")
+    """Candidates (a, b): pairs that match often enough in their prefixes and still can share enough behind them."""
+    fields = ("rep", "n", "m", "multi", "pos")
+    sides = [F.struct(*(F.col(f"{side}_{c}").alias(c) for c in fields)) for side in ("a", "b")]
+    ahead = F.col("a_rep") < F.col("b_rep")
+    pairs = pairs.select(F.when(ahead, sides[0]).otherwise(sides[1]).alias("x"), F.when(ahead, sides[1]).otherwise(sides[0]).alias("y"))
+    pairs = pairs.select(*(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("x", "y") for c in fields))
+    left = F.least(F.first("x_m") - F.max("x_pos"), F.first("y_m") - F.max("y_pos")) - 1
+    bound = (100 + percent) * (F.count("*") + left) >= percent * (F.first("x_n") + F.first("y_n"))
+    enough = F.count("*") >= F.least(F.first("x_multi"), F.first("y_multi"))
+    met = pairs.groupBy(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).agg((bound & enough).alias("possible"))
+    return met.filter("possible").select("a", "b")
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -246,14 +281,29 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, labels["component"] == merged["node"], "left").select("rep", F.coalesce(merged["component"], labels["component"]).alias("component")).checkpoint()
 
 
-def _lists(postings: DataFrame, labels: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Postings outside their list's largest component, and lists of two components or more with a pivot."""
+def _outside(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(postings with their component and their list's largest one, as a_*; lists of two components or more)."""
     tagged = postings.join(labels, "rep")
-    order = F.struct(F.xxhash64("rep", F.lit(salt)).alias("h") if salt else F.col("rep").alias("h"), "rep", "n", "multi")
-    parts = tagged.groupBy("token", "component").agg(F.count("*").alias("k"), F.min(order).alias("pivot"))
-    heads = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", F.col("component").alias("c"), "pivot")).alias("top")).filter("parts > 1")
-    heads = heads.select("token", F.col("top.c").alias("largest"), *(F.col(f"top.pivot.{c}").alias(f"pivot_{c}") for c in ("rep", "n", "multi")))
-    return tagged.join(heads, "token").filter("component <> largest"), heads
+    parts = tagged.groupBy("token", "component").agg(F.count("*").alias("k"))
+    heads = parts.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("top")).filter("parts > 1")
+    heads = heads.select("token", (-F.col("top.c")).alias("largest"), F.col("top.k").alias("members"))
+    named = tagged.join(heads, "token").select("token", "component", "largest", "members", *(F.col(c).alias(f"a_{c}") for c in _POSTING))
+    return named.filter("component <> largest"), named.filter("component = largest")
+
+
+def _with_pivots(postings: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+    """Postings outside their list's largest component (a_*), each with one of up to PIVOTS members of it (b_*).
+
+    Pivots are the members of least hash in each of a list's shares; which share a posting asks depends on itself, so
+    over its lists a class meets many members of a component, at one pair a posting.
+    """
+    minor, major = _outside(postings, labels)
+    shares = F.least("members", F.lit(PIVOTS))
+    turn = F.struct(F.xxhash64("a_rep", F.lit(salt)).alias("turn"), *(F.col(f"a_{c}").alias(c) for c in _POSTING))
+    pivots = major.groupBy("token", F.pmod(F.xxhash64("a_rep", F.lit(salt + 100)), shares).alias("share")).agg(F.min(turn).alias("pivot"))
+    pivots = pivots.select("token", "share", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in _POSTING))
+    asked = minor.withColumn("share", F.pmod(F.xxhash64("a_rep", "token", F.lit(salt)), shares))
+    return asked.join(pivots, ["token", "share"])
 
 
 def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -267,22 +317,21 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ranked = tokens.join(counts, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")).filter(F.size("ranked") >= need)
     ranked = stored(ranked, "ranked")
     whole = ranked.select("rep", "n", F.col("ranked.token").alias("tokens"))
-    postings = stored(ranked.mapInArrow(_prefixes(percent), "rep long, n long, multi int, tokens array<long>").select("rep", "n", "multi", F.explode("tokens").alias("token")), "postings")
+    prefixes = ranked.mapInArrow(_prefixes(percent), "rep long, n long, m long, multi int, short int, sig array<long>, tokens array<long>")
+    postings = stored(prefixes.select("rep", "n", "m", "multi", "short", "sig", F.posexplode("tokens").alias("pos", "token")), "postings")
     labels = ranked.select("rep", F.col("rep").alias("component")).checkpoint()
     for salt in range(PIVOT_ROUNDS):
-        rest, _ = _lists(postings, labels, salt)
-        pairs = rest.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("multi").alias("ma"), F.col("pivot_rep").alias("b"), F.col("pivot_n").alias("nb"), F.col("pivot_multi").alias("mb"))
-        links = _verified(_matching(pairs, percent), whole, percent).checkpoint()
+        met = _with_pivots(postings, labels, salt).filter(_possible(percent))
+        pairs = met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
+        links = _verified(pairs, whole, percent).checkpoint()
         if links.isEmpty():
             break
         labels = _relabel(labels, links)
-    rest, heads = _lists(postings, labels, 0)
-    one = rest.select("token", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("multi").alias("ma"), F.col("component").alias("ca"), "largest")
-    two = postings.join(labels, "rep").select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("multi").alias("mb"), F.col("component").alias("cb"))
+    minor = _outside(postings, labels)[0]
+    every = postings.join(labels, "rep").select("token", F.col("component").alias("b_component"), *(F.col(c).alias(f"b_{c}") for c in _POSTING))
     # members of the largest component are met from the other side; two others meet once, in the order of components
-    crossing = (F.col("cb") == F.col("largest")) | (F.col("ca") < F.col("cb"))
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = one.join(two, "token").filter((F.col("ca") != F.col("cb")) & crossing & sizes)
+    crossing = (F.col("component") != F.col("b_component")) & ((F.col("b_component") == F.col("largest")) | (F.col("component") < F.col("b_component")))
+    pairs = minor.join(every, "token").filter(crossing & _possible(percent))
     labels = _relabel(labels, _verified(_matching(pairs, percent), whole, percent).checkpoint())
     return classes.select("set_hash", "n", "rep"), labels
 
