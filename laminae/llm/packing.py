@@ -1,17 +1,19 @@
 """Best-fit packing of token pieces, bulk-synchronous.
 
 A round range-sorts unplaced pieces and open gaps together, largest first. Each task sweeps its range: a piece takes
-the smallest gap that it fits (its successor among the gaps not yet taken). What a range cannot settle, pieces left
+the smallest gap that it fits (its successor among the gaps not yet taken), and what rests of the gap is a gap again
+as soon as pieces are small enough. What a range cannot settle, pieces left
 over and gaps left over, is settled by rank: the counts of each range, two numbers a task, tell which gaps of larger
 ranges the pieces of a smaller range take, the tightest first; each gap gets one piece at most. Gaps shrink, and the
 round repeats. When a round places nothing, the largest pieces open as many sequences as the rest needs at least.
-Once few rows are left a single sweep ends the work.
+Once few rows are left a single sweep, which is best fit decreasing as such, ends the work.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import insort
+from heapq import heappop, heappush
 from itertools import accumulate
 
 import numpy as np
@@ -71,9 +73,12 @@ def _sweep(capacity: int, final: bool):
     def run(batches):
         part = TaskContext.get().partitionId()
         gaps: list[tuple[int, int]] = []  # (-size, bin) in ascending order: the smallest gap is last
+        small: list[tuple[int, int]] = []  # a heap of gaps below the piece size, the largest first
         out, left = [], 0
         for batch in batches:
             for kind, size, row in zip(batch.column("kind").to_pylist(), batch.column("size").to_pylist(), batch.column("id").to_pylist(), strict=True):
+                while small and -small[0][0] >= size:
+                    insort(gaps, heappop(small))
                 if kind == GAP:
                     insort(gaps, (-size, row))
                 elif not gaps and not final:
@@ -83,13 +88,12 @@ def _sweep(capacity: int, final: bool):
                     gap, to = gaps.pop() if gaps else (-capacity, row)
                     out.append((PLACED, row, to, capacity + gap, size, part, None))
                     rest = -gap - size
-                    if rest >= size:
-                        insort(gaps, (-rest, to))
-                    elif rest and not final:
-                        out.append((SHRUNK, to, None, None, rest, part, None))
+                    if rest:
+                        heappush(small, (-rest, to))
             if len(out) > 50_000:
                 yield _rows(out)
                 out = []
+        out += [(SHRUNK, to, None, None, -gap, part, None) for gap, to in small]
         out += [(GAP, to, None, None, -gap, part, rank) for rank, (gap, to) in enumerate(reversed(gaps))]
         if out:
             yield _rows(out)

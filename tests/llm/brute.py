@@ -80,3 +80,15 @@ def kept_texts(rows, width=13):
                 gone[i : i + width] = [True] * width
         out[d] = " ".join(x for x, g in zip(w, gone) if not g) if any(gone) else None
     return out
+
+
+def best_fit_decreasing(sizes, capacity):
+    """Free space of each bin: every size, the largest first, goes to the tightest bin that holds it."""
+    free = []
+    for n in sorted(sizes, reverse=True):
+        tightest = min((k for k, f in enumerate(free) if f >= n), key=lambda k: free[k], default=None)
+        if tightest is None:
+            free.append(capacity - n)
+        else:
+            free[tightest] -= n
+    return free

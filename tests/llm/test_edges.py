@@ -151,6 +151,22 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_few_rows_is_best_fit(spark):
+    def bins(sizes, capacity):
+        items = spark.createDataFrame(list(enumerate(sizes)), "uid long, length long").repartition(3)
+        used = {}
+        for r in packing.best_fit(items, capacity).collect():
+            used.setdefault(r.bin, []).append((r.offset, sizes[r.uid]))
+        for spans in map(sorted, used.values()):
+            assert all(a + n <= b for (a, n), (b, _) in zip(spans, [*spans[1:], (capacity, 0)], strict=True))
+        assert sum(map(len, used.values())) == len(sizes)
+        return len(used)
+
+    assert bins([400, 400, 200], 1000) == 1
+    sizes = (np.random.default_rng(4).gamma(2, 120, 1500).astype(int) % 1023 + 1).tolist()
+    assert bins(sizes, 1024) == len(brute.best_fit_decreasing(sizes, 1024))
+
+
 def test_media(docs, none):
     rows = webp.from_media(webp.to_media(docs)).collect()
     assert len(rows) == len(ROWS)
