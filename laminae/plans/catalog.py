@@ -9,11 +9,18 @@ from pyspark.sql import functions as F
 
 from laminae.functions import numeric as num
 from laminae.operators import corpus, dense, graph, mesh, metrics, patches, series, spatial, stencil, voxel, winding
-from laminae.plans.fixtures import SHAPE, Tables, with_views
+from laminae.plans.fixtures import GrownTables, Tables, grown_sql, with_views
 from laminae.streaming import windows as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The volume queries once more, over a volume that grows with the table.
+GROWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+GROWN_ORACLES: dict[str, str] = {}
+#: Views of the volume; a query over one of them, and one without SQL, has a grown form.
+VOLUMES = {"ct", "gt", "fg", "cen", "carried", "axis", "wound", "rings0", "profile", "ripples", "votes"}
+#: Queries at fixed slices, or at points and code widths made for 16 slices: the volume behind them does not matter.
+FIXED = {"slice_plane", "slice_overlay", "crop_stride", "morton_order", "axis_asof", "trilinear_gather", "surf_qc_delta"}
 KEY = ["z", "y", "x"]
 
 
@@ -24,6 +31,10 @@ def query(sql: str | None = None, *views: str, recursive: bool = False):
         QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
         if sql:
             ORACLES[f.__name__] = with_views(sql, *views, recursive=recursive) if views else sql
+        if (VOLUMES.intersection(views) or not sql) and f.__name__ not in FIXED:
+            GROWN[f"{f.__name__}_grown"] = lambda spark, folder: f(GrownTables(spark, folder))
+            if sql:
+                GROWN_ORACLES[f"{f.__name__}_grown"] = grown_sql(ORACLES[f.__name__])
         return f
 
     return register
@@ -360,7 +371,7 @@ def box_mean(t):
 
 @query("WITH taps AS (SELECT * FROM (VALUES (-1,0.25::DOUBLE),(0,0.5::DOUBLE),(1,0.25::DOUBLE)) t(d,w)), r AS (SELECT z,y,CASE WHEN x+d<0 THEN -(x+d)-1 WHEN x+d>31 THEN 63-(x+d) ELSE x+d END sx,x,w FROM ct,taps) SELECT r.z,r.y,r.x,round(sum(coalesce(c.v,0)*w),6) v FROM r LEFT JOIN ct c ON c.z=r.z AND c.y=r.y AND c.x=r.sx GROUP BY 1,2,3", "ct")
 def gaussian_axis(t):
-    return rounded(stencil.weighted_line(t.ct(), "x", [0.25, 0.5, 0.25], SHAPE[2]), "v")
+    return rounded(stencil.weighted_line(t.ct(), "x", [0.25, 0.5, 0.25], t.shape[2]), "v")
 
 
 _INSIDE = "z BETWEEN 0 AND 15 AND y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31"
@@ -368,12 +379,12 @@ _INSIDE = "z BETWEEN 0 AND 15 AND y BETWEEN 0 AND 31 AND x BETWEEN 0 AND 31"
 
 @query(f"SELECT DISTINCT z,y,x FROM (SELECT z+dz z,y+dy y,x+dx x FROM fg,(SELECT * FROM faces UNION ALL SELECT 0,0,0)) WHERE {_INSIDE}", "fg", "faces")
 def dilate6(t):
-    return stencil.dilate(t.fg(), stencil.FACES, SHAPE)
+    return stencil.dilate(t.fg(), stencil.FACES, t.shape)
 
 
 @query(f"SELECT DISTINCT z,y,x FROM (SELECT z+dz z,y+dy y,x+dx x FROM fg,cube) WHERE {_INSIDE}", "fg", "cube")
 def dilate26(t):
-    return stencil.dilate(t.fg(), stencil.AROUND, SHAPE)
+    return stencil.dilate(t.fg(), stencil.AROUND, t.shape)
 
 
 @query("SELECT z,y,x FROM (SELECT z,y,x FROM ct WHERE v>=10) m SEMI JOIN (SELECT m.z+dz z,m.y+dy y,m.x+dx x FROM (SELECT * FROM ct WHERE v>=10) m,faces GROUP BY 1,2,3 HAVING count(*)=6) e USING (z,y,x)", "ct", "faces")
@@ -383,18 +394,18 @@ def erode6(t):
 
 @query(f"SELECT z,y,x FROM (SELECT z+dz z,y+dy y,x+dx x FROM ct,cube WHERE v>=40) WHERE {_INSIDE} GROUP BY 1,2,3 HAVING count(*)>=14", "ct", "cube")
 def majority27(t):
-    return stencil.majority(t.ct().filter("v >= 40"), SHAPE)
+    return stencil.majority(t.ct().filter("v >= 40"), t.shape)
 
 
 @query(f"SELECT z,y,x FROM ct WHERE v>=20 UNION SELECT z,y,x FROM (SELECT z+dz z,y+dy y,x+dx x FROM ct,faces WHERE v>=20) WHERE {_INSIDE} GROUP BY 1,2,3 HAVING count(*)=6", "ct", "faces")
 def plug_pinholes(t):
-    return stencil.plug(t.ct().filter("v >= 20"), SHAPE)
+    return stencil.plug(t.ct().filter("v >= 20"), t.shape)
 
 
 @query(f"WITH r AS (SELECT unnest([-2,-1,0,1,2]) i), b AS (SELECT a.i dz,b.i dy,c.i dx FROM r a,r b,r c WHERE a.i*a.i+b.i*b.i+c.i*c.i<=4), d AS (SELECT DISTINCT z,y,x FROM (SELECT z+dz z,y+dy y,x+dx x FROM gt,b WHERE v>=35) WHERE {_INSIDE}) SELECT z,y,x FROM d SEMI JOIN (SELECT z,y,x FROM (SELECT d.z+dz z,d.y+dy y,d.x+dx x FROM d,b) GROUP BY 1,2,3 HAVING count(*)=33) e USING (z,y,x)", "gt")
 def ball_close(t):
     ball = stencil.ball(2)
-    grown = stencil.dilate(t.gt().filter("v >= 35"), ball, SHAPE)
+    grown = stencil.dilate(t.gt().filter("v >= 35"), ball, t.shape)
     return stencil.erode(grown, ball)
 
 
@@ -417,17 +428,17 @@ _LABELLED = "(SELECT m.z,m.y,m.x,cc.lab label FROM m_cc m JOIN cc USING (id))"
 
 @query(f"WITH {_cc('fg', 'faces')} SELECT z,y,x,label FROM {_LABELLED}", "fg", "faces", recursive=True)
 def cc_label6(t):
-    return graph.voxel_components(t.fg(), SHAPE)
+    return graph.voxel_components(t.fg(), t.shape)
 
 
 @query(f"WITH {_cc('fg', 'cube')} SELECT z,y,x,CAST(dense_rank() OVER (ORDER BY label) AS INT) label FROM {_LABELLED}", "fg", "cube", recursive=True)
 def cc_label26(t):
-    return graph.compact(graph.voxel_components(t.fg(), SHAPE, full=True))
+    return graph.compact(graph.voxel_components(t.fg(), t.shape, full=True))
 
 
 @query(f"WITH {_cc('fg', 'faces')} SELECT z,y,x,label FROM {_LABELLED} QUALIFY count(*) OVER (PARTITION BY label)>=3", "fg", "faces", recursive=True)
 def remove_small(t):
-    return graph.remove_small(graph.voxel_components(t.fg(), SHAPE), 3)
+    return graph.remove_small(graph.voxel_components(t.fg(), t.shape), 3)
 
 
 _BACK = "(SELECT z,y,x FROM grid EXCEPT SELECT z,y,x FROM ct WHERE v>=25)"
@@ -436,17 +447,17 @@ _HOLES = f"(SELECT z,y,x,label FROM {_LABELLED} QUALIFY count(*) FILTER (z IN (0
 
 @query(f"WITH {_cc(_BACK, 'faces')} SELECT z,y,x FROM ct WHERE v>=25 UNION ALL SELECT z,y,x FROM {_HOLES}", "ct", "grid", "faces", recursive=True)
 def fill_holes(t):
-    return graph.fill_holes(t.ct().filter("v >= 25"), SHAPE)
+    return graph.fill_holes(t.ct().filter("v >= 25"), t.shape)
 
 
 @query(f"WITH p AS (SELECT DISTINCT 2*z+1+dz z,2*y+1+dy y,2*x+1+dx x FROM ct,cube WHERE v>=25), chi AS (SELECT CAST(sum(CASE (z%2+y%2+x%2) WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 1 ELSE -1 END) AS BIGINT) chi FROM p), {_cc('(SELECT z,y,x FROM ct WHERE v>=25)', 'cube', 'f')}, {_cc(_BACK, 'faces')} SELECT b0,b0+b2-chi b1,b2,chi FROM (SELECT count(DISTINCT lab) b0 FROM f),(SELECT count(DISTINCT label) b2 FROM {_HOLES}),chi", "ct", "grid", "faces", "cube", recursive=True)
 def betti(t):
-    return graph.betti(t.ct().filter("v >= 25"), SHAPE)
+    return graph.betti(t.ct().filter("v >= 25"), t.shape)
 
 
 @query(f"WITH {_cc('fg', 'faces')} SELECT z,y,x FROM (SELECT l.z+dz z,l.y+dy y,l.x+dx x,label FROM {_LABELLED} l,faces) WHERE {_INSIDE} AND (z,y,x) NOT IN (SELECT z,y,x FROM fg) GROUP BY 1,2,3 HAVING count(DISTINCT label)>=2", "fg", "faces", recursive=True)
 def connect_fragments(t):
-    return graph.connect_fragments(graph.voxel_components(t.fg(), SHAPE), stencil.FACES, SHAPE)
+    return graph.connect_fragments(graph.voxel_components(t.fg(), t.shape), stencil.FACES, t.shape)
 
 
 # space
@@ -483,7 +494,7 @@ def axis_asof(t):
 def trilinear_gather(t):
     key = F.col("o_orderkey")
     points = t.orders.select(key.alias("id"), (key % 1700 / 100.0).alias("z"), (key * 7 % 3300 / 100.0).alias("y"), (key * 13 % 3300 / 100.0).alias("x"))
-    return rounded(spatial.trilinear(points, t.ct(), SHAPE), "value")
+    return rounded(spatial.trilinear(points, t.ct(), t.shape), "value")
 
 
 @query("SELECT DISTINCT name,least(s,greatest(n-64,0)) start FROM (SELECT c_custkey name,c_custkey%500+20 n FROM customer),LATERAL (SELECT unnest(range(0,greatest(n-64,0)+48,48)) s)")
@@ -541,7 +552,7 @@ def flatten_wrap(t):
 @query("SELECT y,round(list_sort(list(r))[count(*)//2+1],6) base FROM (SELECT y,w-floor(w) r FROM wound WHERE v>=30) GROUP BY 1 HAVING count(*)>=8", "wound")
 def regauge(t):
     residuals = _wound(t).filter("v >= 30").select("y", (F.col("w") - F.floor("w")).alias("residual"))
-    return rounded(winding.gauge(residuals, "y", 8), "base")
+    return rounded(winding.gauge(residuals, "y", 8), "base", places=t.residue_places)
 
 
 @query("SELECT round((SELECT sum(v*pow(w-round(w),2))/count(*) FROM wound)+0.5*(SELECT coalesce(sum(s),0) FROM (SELECT var_pop(w) s FROM wound GROUP BY z HAVING count(*)>=2)),5) loss", "wound")
@@ -615,27 +626,27 @@ def patch_edges(t):
 
 @query("WITH s AS (SELECT z,y,x FROM gt WHERE v>=47) SELECT g.z,g.y,g.x,CAST(min((g.z-s.z)*(g.z-s.z)+(g.y-s.y)*(g.y-s.y)+(g.x-s.x)*(g.x-s.x)) AS DOUBLE) d2 FROM (SELECT z,y,x FROM ct) g,s GROUP BY 1,2,3", "ct", "gt")
 def edt_brute(t):
-    return dense.distance_squared(t.gt().filter("v >= 47"), graph.background(t.gt().limit(0), SHAPE)).join(t.ct().select(*KEY), KEY, "left_semi")
+    return dense.distance_squared(t.gt().filter("v >= 47"), graph.background(t.gt().limit(0), t.shape)).join(t.ct().select(*KEY), KEY, "left_semi")
 
 
 @query()
 def structure_tensor(t):
-    return dense.structure_tensor(t.ct(), 1.0, 8, SHAPE)
+    return dense.structure_tensor(t.ct(), 1.0, 8, t.shape)
 
 
 @query()
 def hessian(t):
-    return dense.hessian_plateness(t.ct(), 1.0, 8, SHAPE)
+    return dense.hessian_plateness(t.ct(), 1.0, 8, t.shape)
 
 
 @query()
 def ced(t):
-    return dense.diffuse(t.ct(), 3, 0.1, 8, SHAPE)
+    return dense.diffuse(t.ct(), 3, 0.1, 8, t.shape)
 
 
 @query()
 def gaussian_blur(t):
-    return dense.gaussian_blur(t.ct(), 1.0, 8, SHAPE)
+    return dense.gaussian_blur(t.ct(), 1.0, 8, t.shape)
 
 
 @query("SELECT page_id,nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',1),'') section,TRY_CAST(nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',2),'') AS BIGINT) item FROM pages")
@@ -655,7 +666,7 @@ def scan_meta(t):
 
 @query("WITH p AS (SELECT z%4 b,y//8 k,sqrt(y*y+x*x) r,v FROM ct), a AS (SELECT * FROM p WHERE v>=48), o AS (SELECT * FROM p WHERE v<10), n AS (SELECT a.b,a.k,min(abs(a.r-o.r)) g FROM a JOIN o USING (b,k) GROUP BY a.b,a.k,a.r), m AS (SELECT a.b,a.k,a.r FROM a), j AS (SELECT m.b,m.k,(SELECT min(abs(m.r-o.r)) FROM o WHERE o.b=m.b AND o.k=m.k) g FROM m), per AS (SELECT b,k,quantile_cont(g,0.5) g FROM j WHERE g IS NOT NULL GROUP BY 1,2) SELECT count(*) bins,round(quantile_cont(g,0.5),6) median FROM per HAVING count(*)>=10", "ct")
 def winding_separation(t):
-    p = t.ct().select((F.col("z") % 4).alias("b"), F.floor(F.col("y") / 8).alias("k"), F.sqrt(F.col("y") * F.col("y") + F.col("x") * F.col("x")).alias("r"), "v")
+    p = t.ct().select(t.slab_of(F.col("z")).alias("b"), F.floor(F.col("y") / 8).alias("k"), F.sqrt(F.col("y") * F.col("y") + F.col("x") * F.col("x")).alias("r"), "v")
     return rounded(corpus.separation(p.filter("v >= 48"), p.filter("v < 10"), ["b", "k"], 10), "median")
 
 
@@ -674,12 +685,12 @@ def crop_agg(t):
 @query("WITH s AS (SELECT z,y,x FROM gt WHERE v>=40), m AS (SELECT z,y,x,255 m FROM s UNION ALL SELECT DISTINCT z+dz,y+dy,x+dx,128 FROM s,faces) SELECT ct.z,ct.y,ct.x,coalesce(max(m),0) label FROM ct LEFT JOIN m ON m.z=ct.z AND m.y=ct.y AND m.x=ct.x GROUP BY 1,2,3", "ct", "gt", "faces")
 def tri_state_band(t):
     sheet = t.gt().filter("v >= 40")
-    return corpus.tri_state(sheet, stencil.dilate(sheet, stencil.FACES, SHAPE), t.ct())
+    return corpus.tri_state(sheet, stencil.dilate(sheet, stencil.FACES, t.shape), t.ct())
 
 
 @query("SELECT x z,31-y y,z x,v FROM ct", "ct")
 def augment_octahedral(t):
-    return corpus.octahedral(t.ct(), (2, 1, 0), (False, True, False), SHAPE)
+    return corpus.octahedral(t.ct(), (2, 1, 0), (False, True, False), t.shape)
 
 
 @query("SELECT z,y,round(min(f+(1.5-b)/(w-b)*(x-f)),6) x FROM (SELECT z,y,x,w,lag(w) OVER o b,lag(x) OVER o f FROM wound WINDOW o AS (PARTITION BY z,y ORDER BY x)) WHERE b<1.5 AND w>=1.5 GROUP BY 1,2", "wound")

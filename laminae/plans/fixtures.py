@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHAPE = (16, 32, 32)
+#: Order keys that share a slice of the grown volume: about as many rows as a slice has voxels, at any size.
+KEYS_A_SLICE = 256
 
 
 class Tables:
     """The given tables of one folder, and the views that the queries share."""
 
+    shape = SHAPE
+    #: Places of a residue of windings, which have nine: at six, a larger volume meets exact halves.
+    residue_places = 6
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def slice_of(self, key):
+        return key % SHAPE[0]
+
+    def slab_of(self, z):
+        return z % 4
+
     def volume(self, how) -> DataFrame:
-        keys = [(F.col(c) % n).alias(a) for c, n, a in zip(("l_orderkey", "l_partkey", "l_suppkey"), SHAPE, ("z", "y", "x"), strict=True)]
+        keys = [self.slice_of(F.col("l_orderkey")).alias("z"), (F.col("l_partkey") % SHAPE[1]).alias("y"), (F.col("l_suppkey") % SHAPE[2]).alias("x")]
         return self.lineitem.groupBy(*keys).agg(how(F.floor("l_quantity").cast("int")).alias("v"))
 
     def ct(self) -> DataFrame:
@@ -40,6 +54,43 @@ class Tables:
         return joined.select(F.col("doc_id").alias("id"), ((F.col("n_chars") % 1000) / 1000.0).alias("p"), F.col("quality").alias("y"))
 
 
+class GrownTables(Tables):
+    """The same tables under a volume that gains slices as orders come in: order keys are not folded.
+
+    Rows a voxel stay the same, so the largest and smallest quantities of a voxel do not saturate.
+    """
+
+    residue_places = 9
+
+    @cached_property
+    def shape(self) -> tuple[int, int, int]:
+        last = self.lineitem.agg(F.max("l_orderkey")).first()[0]
+        return (last // KEYS_A_SLICE + 1 if last is not None else 1, *SHAPE[1:])
+
+    def slice_of(self, key):
+        return F.floor(key / KEYS_A_SLICE)
+
+    def slab_of(self, z):
+        return F.floor(z / 4)
+
+
+_LAST = f"(SELECT coalesce(max(l_orderkey)//{KEYS_A_SLICE},0) FROM lineitem)"
+
+
+def grown_sql(sql: str) -> str:
+    """The SQL of a query over the folded volume, over the grown one: its slices, its last slice, its slabs."""
+    for folded, grown in (
+        ("l_orderkey%16 z", f"l_orderkey//{KEYS_A_SLICE} z"),
+        ("range(16) a(i)", f"(SELECT unnest(range({_LAST}+1)) i) a"),
+        ("z BETWEEN 0 AND 15", f"z BETWEEN 0 AND {_LAST}"),
+        ("z IN (0,15)", f"z IN (0,{_LAST})"),
+        ("z%4 b", "z//4 b"),
+        ("//2+1],6) base", "//2+1],9) base"),
+    ):
+        sql = sql.replace(folded, grown)
+    return sql
+
+
 VIEWS = {
     "ct": "SELECT l_orderkey%16 z, l_partkey%32 y, l_suppkey%32 x, max(CAST(floor(l_quantity) AS INT)) v FROM lineitem GROUP BY 1,2,3",
     "gt": "SELECT l_orderkey%16 z, l_partkey%32 y, l_suppkey%32 x, min(CAST(floor(l_quantity) AS INT)) v FROM lineitem GROUP BY 1,2,3",
