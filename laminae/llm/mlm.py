@@ -7,7 +7,7 @@ the log-probabilities of all tokens of a document, each given its neighbours onl
 
 Training is data-parallel numpy: every partition trains a replica on a share of its own positions, replicas are
 averaged by positions through a shuffle, and the next round starts from the average. The share is a stride over all
-documents, so what is gathered grows with the corpus.
+documents; the rounds' strides interleave, so every position trains once.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ TOKENS = CLASSES * MEMBERS
 COMMON = 768
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 32
-#: One position in so many trains, in each round another one.
-STRIDE = 12
-ROUNDS = 3
+#: One position in so many trains, in each round another one: the rounds together train all.
+STRIDE = 3
+ROUNDS = STRIDE
 BATCH = 2048
 RATE = 0.15
 CHUNK = 8192
@@ -105,7 +105,7 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
     group, member = np.divmod(tokens, MEMBERS)
     error = np.exp(_log_softmax(state @ net.classes + net.class_bias))
     error[np.arange(n), group] -= 1
-    grads = [np.zeros_like(p) for p in net]
+    grads = [None, None, *(np.zeros_like(p) for p in net[2:])]
     grads[2][:], grads[3][:] = state.T @ error / n, error.mean(0)
     down = error @ net.classes.T
     cuts = np.searchsorted(group, np.arange(CLASSES + 1))
@@ -117,12 +117,18 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
             grads[4][c], grads[5][c] = state[lo:hi].T @ inner / n, inner.sum(0) / n
             down[lo:hi] += inner @ net.members[c].T
     down *= (1 - state * state) / n
-    grads[1][:] = down.sum(0)
-    for k in range(len(PLACES)):
-        np.add.at(grads[0][k], around[k], down)
-    for value, square, grad in zip(net, squares, grads, strict=True):
+    grads[1] = down.sum(0)
+    for value, square, grad in zip(net[1:], squares[1:], grads[1:], strict=True):
         square += grad * grad
         value -= RATE * grad / np.sqrt(square + 1e-8)
+    # vectors of tokens that are no neighbours here have no gradient and stay
+    for value, square, near in zip(net.places, squares.places, around, strict=True):
+        order = np.argsort(near, kind="stable")
+        starts = np.flatnonzero(np.diff(near[order], prepend=-1))
+        rows = near[order[starts]]
+        grad = np.add.reduceat(down[order], starts)
+        square[rows] += grad * grad
+        value[rows] -= RATE * grad / np.sqrt(square[rows] + 1e-8)
 
 
 class Vocabulary:
@@ -188,14 +194,18 @@ def _positions(batches, words: Vocabulary):
             yield piece, spans.first, tokens, neighbours(tokens, spans.first)
 
 
+def trained_positions(turn: int, n: int) -> np.ndarray:
+    """Which of ``n`` positions train in a round, in the order of their training."""
+    return np.random.default_rng(turn).permutation(np.arange(turn % STRIDE, n, STRIDE))
+
+
 def _replica(start, words, turn: int):
     def run(batches):
         net = Network.from_flat(start.value)
         squares = Network(*(np.full_like(p, 1e-4) for p in net))
         seen = 0
         for _, _, tokens, around in _positions(batches, words.value):
-            own = np.arange((turn * 5) % STRIDE, len(tokens), STRIDE)
-            own = np.random.default_rng(turn).permutation(own)
+            own = trained_positions(turn, len(tokens))
             for at in range(0, len(own), BATCH):
                 some = own[at : at + BATCH]
                 train_batch(net, squares, tokens[some], around[:, some])

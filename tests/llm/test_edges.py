@@ -209,6 +209,11 @@ def test_masked_lm_probabilities_sum_to_one():
     assert np.exp(mlm.log_probabilities(net, np.arange(mlm.TOKENS), around)).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_masked_lm_trains_every_position():
+    for n in (0, 1, 7, 100):
+        assert sorted(np.concatenate([mlm.trained_positions(turn, n) for turn in range(mlm.ROUNDS)]).tolist()) == list(range(n))
+
+
 def test_masked_lm_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     net, words = mlm.train(docs.select("doc_id", "text"))
