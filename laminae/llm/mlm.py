@@ -1,6 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every token from both sides.
 
 Tokens are words: the commonest of the whole corpus have ids of their own, others share ids by their last three bytes.
+A word that shares its id is predicted in one step more: its share of the id, from counts of all words of all documents,
+which meet the documents' words in a join. So every distinct word has a probability of its own, at any corpus size;
+the network's tables, and what a neighbour tells, are of fixed size.
 The network adds a learned vector for each neighbour (two on either side, one table a place), applies tanh, and
 predicts the token in two steps, its class and its place in the class, so a token costs two small softmaxes. The sum of
 the log-probabilities of all tokens of a document, each given its neighbours only, is the document's score.
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stored
 from .grams import Piece, pieces, span_hashes, word_hashes, words_of, _BYTE_VALUES_FOLDED
 
 CLASSES, MEMBERS = 32, 32
@@ -33,6 +36,8 @@ ROUNDS = STRIDE
 BATCH = 2048
 RATE = 0.15
 CHUNK = 8192
+#: Log-probabilities that a join sums are whole multiples of 1 / UNIT.
+UNIT = 10**9
 _EDGE = TOKENS  # the neighbour beyond a document's end
 
 
@@ -131,6 +136,12 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
         value[rows] -= RATE * grad / np.sqrt(square[rows] + 1e-8)
 
 
+def shared_ids(piece: Piece, words) -> np.ndarray:
+    """Ids by the last three bytes, which words outside the vocabulary have."""
+    ends = span_hashes(_BYTE_VALUES_FOLDED[piece.data], np.maximum(words.starts, words.ends - 3), words.ends)
+    return COMMON + (ends % np.uint64(TOKENS - COMMON)).astype(np.int64)
+
+
 class Vocabulary:
     """Ids of word hashes: the commonest by rank, others by the hash of their last three bytes."""
 
@@ -139,8 +150,7 @@ class Vocabulary:
         self.ids = np.argsort(common, kind="stable")
 
     def tokens(self, piece: Piece, words, hashes: np.ndarray) -> np.ndarray:
-        ends = span_hashes(_BYTE_VALUES_FOLDED[piece.data], np.maximum(words.starts, words.ends - 3), words.ends)
-        ids = COMMON + (ends % np.uint64(TOKENS - COMMON)).astype(np.int64)
+        ids = shared_ids(piece, words)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             known = self.keys[at] == hashes
@@ -162,36 +172,53 @@ def neighbours(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _word_counts(batches):
     total: list[np.ndarray] = []
+    shared: list[np.ndarray] = []
     size = 0
 
     def flush():
-        keys, counts = np.unique(np.concatenate(total), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["word", "n"])
+        keys, at, counts = np.unique(np.concatenate(total), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate(shared)[at].astype(np.int32)), pa.array(counts)], ["word", "token", "n"])
 
     for batch in batches:
         for piece in pieces(batch, "doc_id", "text"):
-            total.append(word_hashes(piece, words_of(piece), fold_case=True))
+            spans = words_of(piece)
+            total.append(word_hashes(piece, spans, fold_case=True))
+            shared.append(shared_ids(piece, spans).astype(np.int16))
             size += len(total[-1])
             if size > 3_000_000:
                 yield flush()
-                total, size = [], 0
+                total, shared, size = [], [], 0
     if size:
         yield flush()
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The COMMON commonest words over all documents; ties go to the smaller hash."""
-    counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, token, n), stored: how often each distinct word stands in all documents, and the id it may share."""
+    counts = docs.mapInArrow(_word_counts, "word long, token int, n long")
+    return stored(counts.groupBy("word").agg(F.min("token").alias("token"), F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The COMMON commonest words; ties go to the smaller hash."""
     top = counts.orderBy(F.desc("n"), "word").limit(COMMON).select("word").collect()
     return Vocabulary(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
+def shares(counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(word, share): log P(word | shared id) of words outside the vocabulary, in units of 1 / UNIT."""
+    own = counts.sparkSession.createDataFrame([(k,) for k in words.keys.view(np.int64).tolist()], "word long")
+    rest = counts.join(F.broadcast(own), "word", "left_anti")
+    totals = rest.groupBy("token").agg(F.sum("n").alias("total"))  # TOKENS - COMMON rows at most
+    return rest.join(F.broadcast(totals), "token").select("word", F.round(F.log(F.col("n") / F.col("total")) * UNIT).cast("long").alias("share"))
+
+
 def _positions(batches, words: Vocabulary):
     for batch in batches:
         for piece in pieces(batch, "doc_id", "text", 1 << 19):
             spans = words_of(piece)
-            tokens = words.tokens(piece, spans, word_hashes(piece, spans, fold_case=True))
-            yield piece, spans.first, tokens, neighbours(tokens, spans.first)
+            hashes = word_hashes(piece, spans, fold_case=True)
+            tokens = words.tokens(piece, spans, hashes)
+            yield batch.slice(piece.first_row, len(piece.ids)), spans.first, hashes, tokens, neighbours(tokens, spans.first)
 
 
 def trained_positions(turn: int, n: int) -> np.ndarray:
@@ -204,7 +231,7 @@ def _replica(start, words, turn: int):
         net = Network.from_flat(start.value)
         squares = Network(*(np.full_like(p, 1e-4) for p in net))
         seen = 0
-        for _, _, tokens, around in _positions(batches, words.value):
+        for _, _, _, tokens, around in _positions(batches, words.value):
             own = trained_positions(turn, len(tokens))
             for at in range(0, len(own), BATCH):
                 some = own[at : at + BATCH]
@@ -229,10 +256,10 @@ def _mean(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(total[k] / weight[k]).astype(np.float32).tobytes() for k in total], pa.binary())], ["chunk", "value"])
 
 
-def train(docs: DataFrame) -> tuple[Network, Vocabulary]:
-    """Rounds of replicas and averages over (doc_id, text)."""
+def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Network, Vocabulary]:
+    """Rounds of replicas and averages over (doc_id, text), whose word counts may be given."""
     context = docs.sparkSession.sparkContext
-    words = context.broadcast(vocabulary(docs))  # COMMON hashes
+    words = context.broadcast(vocabulary(counts or word_counts(docs)))  # COMMON hashes
     values = Network.fresh().flat()
     chunks = -(-len(values) // CHUNK)
     for turn in range(ROUNDS):
@@ -244,14 +271,27 @@ def train(docs: DataFrame) -> tuple[Network, Vocabulary]:
     return Network.from_flat(values), words.value
 
 
+def _shared_words(first: np.ndarray, hashes: np.ndarray, tokens: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each document, its distinct words outside the vocabulary and how often each stands there."""
+    at = np.flatnonzero(tokens >= COMMON)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))[at]
+    keys = hashes[at]
+    order = np.lexsort((keys, owner))
+    owner, keys = owner[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (keys[1:] != keys[:-1])
+    starts = np.flatnonzero(new)
+    offsets = pa.array(np.searchsorted(owner[starts], np.arange(len(first))).astype(np.int32))
+    counts = np.diff(np.append(starts, len(keys))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[starts].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(counts))
+
+
 def _score(model):
     def run(batches):
         net, words = model.value
-        for piece, first, tokens, around in _positions(batches, words):
+        for rows, first, hashes, tokens, around in _positions(batches, words):
             total = np.append(0, np.cumsum(log_probabilities(net, tokens, around)))[first]
-            sums, counts = np.diff(total), np.diff(first)
-            mean = np.divide(sums, counts, out=np.zeros(len(sums)), where=counts > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(piece.ids, mask=~piece.valid), pa.array(counts), pa.array(sums), pa.array(mean, mask=counts == 0)], ["doc_id", "n_tokens", "pll", "mean_logprob"])
+            yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(total)), *_shared_words(first, hashes, tokens)], ["row", "doc_id", "n_tokens", "net", "words", "counts"])
 
     return run
 
@@ -259,11 +299,21 @@ def _score(model):
 def pseudo_likelihood(docs: DataFrame, model: tuple[Network, Vocabulary] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, pll (sum of log-probabilities), mean_logprob.
 
-    Trains on ``docs`` unless a model is given. Words are runs of bytes other than space and tab to carriage return,
-    lower-cased A-Z. Null or empty texts: no tokens, pll 0, mean null. Repeated rows get equal scores, null ids stay
-    null, an empty table gives an empty one; other columns are not read.
+    Trains on ``docs`` unless a model is given; the shares of words in shared ids are those of ``docs`` in any case.
+    Words are runs of bytes other than space and tab to carriage return, lower-cased A-Z. Null or empty texts: no
+    tokens, pll 0, mean null. Repeated rows get equal scores, null ids stay null, an empty table gives an empty one;
+    other columns are not read.
     """
     spark = prepare(docs)
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    handle = spark.sparkContext.broadcast(model or train(small))
-    return small.mapInArrow(_score(handle), "doc_id long, n_tokens long, pll double, mean_logprob double")
+    counts = word_counts(small)
+    net, words = model or train(small, counts)
+    handle = spark.sparkContext.broadcast((net, words))
+    numbered = small.select(F.monotonically_increasing_id().alias("row"), "*")
+    scored = stored(numbered.mapInArrow(_score(handle), "row long, doc_id long, n_tokens long, net double, words array<long>, counts array<int>"), "scored")
+    found = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    # whole numbers, so that the order of the sum does not matter
+    inside = found.join(shares(counts, words), "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
+    pll = F.col("net") + F.coalesce(F.col("inside") / UNIT, F.lit(0.0))
+    both = scored.select("row", "doc_id", "n_tokens", "net").join(inside, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    return both.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

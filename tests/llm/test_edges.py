@@ -214,6 +214,14 @@ def test_masked_lm_trains_every_position():
         assert sorted(np.concatenate([mlm.trained_positions(turn, n) for turn in range(mlm.ROUNDS)]).tolist()) == list(range(n))
 
 
+def test_masked_lm_tells_words_of_a_shared_id_apart(spark):
+    docs = spark.createDataFrame([(1, "alphaing"), (2, "betaing"), (3, "Betaing"), (4, "betaing"), (5, "")], "doc_id long, text string").repartition(3)
+    model = (mlm.Network.fresh(), mlm.Vocabulary(np.zeros(0, np.uint64)))
+    pll = {r.doc_id: r.pll for r in mlm.pseudo_likelihood(docs, model).collect()}
+    assert pll[2] == pll[3] == pll[4] and pll[5] == 0
+    assert pll[2] - pll[1] == pytest.approx(np.log(3), abs=1e-6)
+
+
 def test_masked_lm_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     net, words = mlm.train(docs.select("doc_id", "text"))
