@@ -6,6 +6,7 @@ import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -194,6 +195,16 @@ def test_webp_grey_is_lossless_webp():
         assert (webp.decode_grey([data])[0] == samples).all()
 
 
+def test_media_of_a_text_that_no_single_image_holds(monkeypatch):
+    assert [len(part) // webp.ROW for part in webp.images_of(np.zeros(16_411 * webp.ROW, np.uint8))] == [16_384, 27]
+    monkeypatch.setattr(webp, "SIDE", webp.ROW)  # smaller images: 577 rows stand for 16,411
+    text = "many rows " * (577 * webp.ROW // 10)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [text, "short"]})
+    rows = [r for out in webp._load(webp._store([batch])) for r in out.to_pylist()]
+    assert [len(webp.files_of(r["media"])) for r in rows] == [2, 1]
+    assert [r["samples"] for r in rows] == [webp.padded(t.encode()).tobytes() for t in (text, "short")]
+
+
 def test_masked_lm(docs, none):
     rows = mlm.pseudo_likelihood(docs).collect()
     assert len(rows) == len(ROWS)
