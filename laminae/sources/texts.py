@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from laminae.session import settled
+
 
 def registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines with a fixed schema; a malformed line is an error."""
@@ -31,16 +35,25 @@ def trust_grid(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("row").alias("tv"), letters.alias("tu", "verdict")).filter("verdict in ('P', 'F', '?')")
 
 
+def _numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """Adds ``name``: 1, 2, ... in the order of ``by``, numbered in ranges; what is gathered is one count a range."""
+    part = settled(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in part.groupBy("_part").count().collect())
+    before = accumulate((n for _, n in counts), initial=0)
+    starts = rows.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before, strict=False)], "_part int, _before long")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(by))
+    return part.join(F.broadcast(starts), "_part").withColumn(name, own + F.col("_before")).drop("_part", "_before")
+
+
 def triangles(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertices, triangles) of OBJ lines (n, value); fans of faces; negative indices count back; bad ones are errors.
 
     ``n`` is the line's number. Vertices are numbered in line order from 1.
     """
-    from pyspark.sql import Window
-
     parts = lines.select("n", F.split(F.trim("value"), r"\s+").alias("t"))
-    vertices = parts.filter("t[0] = 'v'").select("n", F.row_number().over(Window.orderBy("n")).alias("vertex"), *(F.col("t")[k].cast("double").alias(a) for k, a in ((1, "x"), (2, "y"), (3, "z"))))
-    corner = F.transform(F.slice("t", 2, 64), lambda c: F.substring_index(c, "/", 1).cast("int"))
+    points = parts.filter("t[0] = 'v'").select("n", *(F.col("t")[k].cast("double").alias(a) for k, a in ((1, "x"), (2, "y"), (3, "z"))))
+    vertices = _numbered(points, "n", "vertex")
+    corner = F.transform(F.slice("t", 2, F.size("t")), lambda c: F.substring_index(c, "/", 1).cast("int"))
     faces = parts.filter("t[0] = 'f'").select("n", corner.alias("c"))
     total = vertices.agg(F.count("*").alias("total"))
     fixed = faces.crossJoin(F.broadcast(total)).select("n", F.transform("c", lambda i: F.when(i < 0, F.col("total") + i + 1).otherwise(i)).alias("c"), "total")
