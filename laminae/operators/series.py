@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from laminae.session import settled
+
 
 def centroids(vox: DataFrame, t: float) -> DataFrame:
     """(z, cy, cx): mean position of voxels with v >= t in each slice; null where a slice has none."""
@@ -78,10 +82,23 @@ def subtract_rings(vox: DataFrame, rings: DataFrame, cy: float, cx: float, slab:
 
 
 def cumulative_sampler(weights: DataFrame, draws: DataFrame) -> DataFrame:
-    """For draws (draw, u in [0, 1)): the item (id, w) whose cumulative weight first exceeds u of the total."""
-    run = Window.orderBy("id")
-    cut = weights.select("id", (F.sum("w").over(run) / F.sum("w").over(Window.partitionBy())).alias("upto"), ((F.sum("w").over(run) - F.col("w")) / F.sum("w").over(Window.partitionBy())).alias("since"))
-    return draws.join(F.broadcast(cut), (F.col("u") >= F.col("since")) & (F.col("u") < F.col("upto"))).select("draw", "id")
+    """For draws (draw, u in [0, 1)): the item (id, w) whose cumulative weight first exceeds u of the total.
+
+    Sums run inside ranges of ids, from the totals of the ranges before; draws and items meet by buckets of the share.
+    """
+    part = settled(weights.select("id", "w").repartitionByRange("id").withColumn("_part", F.spark_partition_id()))
+    sums = sorted(tuple(r) for r in part.groupBy("_part").agg(F.sum("w"), F.count("*")).collect())
+    if not sums:
+        return draws.limit(0).crossJoin(part.select("id")).select("draw", "id")
+    before = list(accumulate((w for _, w, _ in sums), initial=0))
+    buckets = sum(n for _, _, n in sums)
+    starts = weights.sparkSession.createDataFrame([(p, b) for (p, _, _), b in zip(sums, before, strict=False)], "_part int, _before " + part.groupBy().agg(F.sum("w")).schema[0].dataType.simpleString())
+    upto = F.sum("w").over(Window.partitionBy("_part").orderBy("id")) + F.col("_before")
+    cut = part.join(F.broadcast(starts), "_part").select("id", "w", upto.alias("_sum")).select("id", (F.col("_sum") / before[-1]).alias("upto"), ((F.col("_sum") - F.col("w")) / before[-1]).alias("since"))
+    bucket = lambda share: F.floor(share * buckets)
+    spread = cut.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("upto")))))
+    met = draws.withColumn("_bucket", bucket(F.col("u"))).join(spread, "_bucket")
+    return met.filter((F.col("u") >= F.col("since")) & (F.col("u") < F.col("upto"))).select("draw", "id")
 
 
 def pending(work: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
