@@ -1,4 +1,4 @@
-"""Vectorised words, polynomial hashes and packed columns over Arrow text buffers.
+"""Vectorised words, hashes of words and of their windows, and packed columns over Arrow text buffers.
 
 Texts are never turned into Python strings here: a batch's UTF-8 buffer is hashed in place, about a MB at a
 time, so memory is bounded by the longest single text.
@@ -7,19 +7,30 @@ time, so memory is bounded by the longest single text.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: The bytes that separate words, space and tab to carriage return.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_SPACE = np.isin(np.arange(256), SPACE_BYTES)
 PIECE_BYTES = 1 << 20
+#: Bytes of a span up to which numpy hashes it, eight a step; longer ones, which are rare, go to BLAKE2.
+LONG_SPAN = 64
+#: Groups that one exchange deals to at most: a block then still has a few hundred entries for each.
+FAN = 4096
+MOST_PARTITIONS = 16384
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_AS_IT_IS = np.arange(256, dtype=np.uint8)
+_FOLDED = _AS_IT_IS.copy()
+_FOLDED[ord("A") : ord("Z") + 1] += 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -32,11 +43,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
-_BYTE_VALUES_FOLDED = _BYTE_VALUES.copy()
-_BYTE_VALUES_FOLDED[ord("A") : ord("Z") + 1] = _BYTE_VALUES[ord("a") : ord("z") + 1]
-
-
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, ``n`` of each at least."""
     global _powers
@@ -59,6 +65,34 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes data[start:end] of each span.
+
+    Eight bytes a step go through a bijective mix, so spans of one length of up to eight bytes never collide; longer
+    ones do by chance alone, which nobody can aim at without the seed. Where equality decides, bytes are compared.
+    """
+    sizes = ends - starts
+    own = np.concatenate([data, np.zeros(8, np.uint8)])
+    wide = np.ndarray(len(data) + 1, "<u8", own, strides=(1,))  # the eight bytes from every byte on
+    out = mix64(sizes.astype(np.uint64) * np.uint64(_BASE) ^ np.uint64(seed))
+    out = mix64(out ^ (wide[starts] & _FIRST_BYTES[np.minimum(sizes, 8)]))
+    at, step = np.flatnonzero((sizes > 8) & (sizes <= LONG_SPAN)), 8
+    while len(at):
+        out[at] = mix64(out[at] * np.uint64(_BASE) ^ (wide[starts[at] + step] & _FIRST_BYTES[np.minimum(sizes[at] - step, 8)]))
+        step += 8
+        at = at[sizes[at] > step]
+    key = seed.to_bytes(8, "little")
+    for k in np.flatnonzero(sizes > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(blake2b(own[starts[k] : ends[k]], digest_size=8, key=key).digest(), "little")
+    return out
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices start, ..., start + size - 1 of all spans, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 class Piece(NamedTuple):
     """Some rows of a batch: ids (int64), their validity, and texts as bytes with n+1 offsets."""
 
@@ -108,9 +142,8 @@ def words_of(piece: Piece) -> Words:
     return Words(starts, np.flatnonzero(closes) + 1, np.searchsorted(starts, piece.offsets))
 
 
-def word_hashes(piece: Piece, words: Words, fold_case: bool = False) -> np.ndarray:
-    table = _BYTE_VALUES_FOLDED if fold_case else _BYTE_VALUES
-    return span_hashes(table[piece.data], words.starts, words.ends)
+def word_hashes(piece: Piece, words: Words, fold_case: bool = False, seed: int = 0) -> np.ndarray:
+    return byte_hashes((_FOLDED if fold_case else _AS_IT_IS)[piece.data], words.starts, words.ends, seed)
 
 
 def window_hashes(hashes: np.ndarray, first: np.ndarray, width: int, short_too: bool = False):
@@ -139,12 +172,29 @@ def from_planes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of the hash space, by the upper half; ranges of a multiple of ``buckets`` lie inside these."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Equal ranges of the hash space, non-empty ones only: (bucket numbers, n+1 cut points)."""
-    lows = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64) if buckets > 1 else np.zeros(0, np.uint64)
-    cuts = np.concatenate([[0], np.searchsorted(sorted_hashes, lows), [len(sorted_hashes)]])
-    full = np.flatnonzero(np.diff(cuts))
-    return full, np.append(cuts[full], len(sorted_hashes))
+    """Non-empty ranges only: (bucket numbers, n+1 cut points)."""
+    own = bucket_of(sorted_hashes, buckets)
+    starts = run_starts(own)
+    return own[starts], np.append(starts, len(own))
+
+
+def levels(groups: int) -> list[int]:
+    """Numbers of groups to deal to, one exchange each: at most FAN times more groups from one to the next."""
+    if groups <= FAN:
+        return [groups]
+    fine = -(-groups // FAN)
+    return [FAN, FAN * min(fine, FAN)]
+
+
+def exchanged(cells: DataFrame, key: str, groups: int) -> DataFrame:
+    """Cells of one key in one task, keys sorted; Spark sorts and spills, so a task may hold many keys."""
+    return cells.repartition(min(groups, MOST_PARTITIONS), key).sortWithinPartitions(key)
 
 
 def run_starts(sorted_values: np.ndarray) -> np.ndarray:

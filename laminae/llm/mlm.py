@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
-from .grams import Piece, pieces, span_hashes, word_hashes, words_of, _BYTE_VALUES_FOLDED
+from .grams import Piece, pieces, word_hashes, words_of
 
 CLASSES, MEMBERS = 32, 32
 TOKENS = CLASSES * MEMBERS
@@ -138,7 +138,7 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
 
 def shared_ids(piece: Piece, words) -> np.ndarray:
     """Ids by the last three bytes, which words outside the vocabulary have."""
-    ends = span_hashes(_BYTE_VALUES_FOLDED[piece.data], np.maximum(words.starts, words.ends - 3), words.ends)
+    ends = word_hashes(piece, words._replace(starts=np.maximum(words.starts, words.ends - 3)), fold_case=True)
     return COMMON + (ends % np.uint64(TOKENS - COMMON)).astype(np.int64)
 
 

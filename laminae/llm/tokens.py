@@ -10,10 +10,11 @@ letter or digit and an ASCII punctuation mark, so chunks are cut there too.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
-from .grams import IS_SPACE, _BYTE_VALUES, Piece, span_hashes
+from .grams import IS_SPACE, Piece, byte_hashes, ragged
 
 CACHE_CHUNKS = 500_000
 DEFAULT_VOCABULARY = "byte_bpe_50k.json"
@@ -52,24 +53,44 @@ def chunk_spans(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class ChunkCache:
-    """Ids of distinct chunks by 64-bit hash: sorted keys, offsets and lengths into one id array."""
+    """Ids of distinct chunks: sorted hashes, offsets and lengths into one array of ids and one of the chunks' bytes.
 
-    def __init__(self, encode):
-        self.encode = encode
+    A hash only finds a chunk: every span is compared with the chunk's bytes, and one that differs is encoded by itself.
+    """
+
+    def __init__(self, encode, kind=np.uint16):
+        self.encode, self.kind = encode, kind
         self.clear()
 
     def clear(self):
         self.keys = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
-
-    def ids_of(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all documents one after another, number of ids of each document)."""
-        starts, ends, first = chunk_spans(piece)
+        self.at, self.size, self.text_at, self.text_size = (np.zeros(0, np.int64) for _ in range(4))
+        self.ids = np.zeros(0, self.kind)
+        self.text = np.zeros(0, np.uint8)
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        lists = self.encode([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), self.kind, int(sizes.sum())), sizes
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        ids, sizes = self._encoded(data, starts, ends)
+        lengths = ends - starts
+        self.at = np.append(self.at, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.text_at = np.append(self.text_at, len(self.text) + np.cumsum(lengths) - lengths)
+        self.size, self.text_size = np.append(self.size, sizes), np.append(self.text_size, lengths)
+        self.ids, self.text = np.append(self.ids, ids), np.append(self.text, data[ragged(starts, lengths)])
+        self.keys = np.append(self.keys, keys)
+        order = np.argsort(self.keys, kind="stable")
+        for name in ("keys", "at", "size", "text_at", "text_size"):
+            setattr(self, name, getattr(self, name)[order])
+
+    def ids_of_spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of data[start:end] of all spans one after another, number of ids of each span)."""
         if not len(starts):
-            return np.zeros(0, np.uint16), np.zeros(len(piece.ids), np.int64)
-        keys = span_hashes(_BYTE_VALUES[piece.data], starts, ends)
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        keys = byte_hashes(data, starts, ends)
         distinct, place, back = np.unique(keys, return_index=True, return_inverse=True)
         slot = np.searchsorted(self.keys, distinct)
         known = slot < len(self.keys)
@@ -79,23 +100,27 @@ class ChunkCache:
                 self.clear()
                 known[:] = False
             new = place[~known]
-            raw = piece.data.tobytes()
-            lists = self.encode([raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.uint16, int(sizes.sum()))
-            self.at = np.append(self.at, len(self.ids) + np.cumsum(sizes) - sizes)
-            self.size = np.append(self.size, sizes)
-            self.ids = np.append(self.ids, flat)
-            self.keys = np.append(self.keys, distinct[~known])
-            order = np.argsort(self.keys, kind="stable")
-            self.keys, self.at, self.size = self.keys[order], self.at[order], self.size[order]
+            self._learn(data, starts[new], ends[new], distinct[~known])
             slot = np.searchsorted(self.keys, distinct)
         slot = slot[back]
-        sizes = self.size[slot]
-        ends_out = np.cumsum(sizes)
-        take = np.arange(ends_out[-1]) + np.repeat(self.at[slot] - (ends_out - sizes), sizes)
-        bounds = np.append(0, ends_out)[first]
-        return self.ids[take], np.diff(bounds)
+        sizes, at, ids = self.size[slot], self.at[slot], self.ids
+        lengths = ends - starts
+        other = self.text_size[slot] != lengths
+        same = np.flatnonzero(~other)
+        unlike = self.text[ragged(self.text_at[slot[same]], lengths[same])] != data[ragged(starts[same], lengths[same])]
+        if unlike.any():
+            other[same[np.searchsorted(np.cumsum(lengths[same]), np.flatnonzero(unlike), "right")]] = True
+        if other.any():
+            own, counts = self._encoded(data, starts[other], ends[other])
+            at[other], sizes[other] = len(ids) + np.cumsum(counts) - counts, counts
+            ids = np.append(ids, own)
+        return ids[ragged(at, sizes)], sizes
+
+    def ids_of(self, piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all documents one after another, number of ids of each document)."""
+        starts, ends, first = chunk_spans(piece)
+        ids, sizes = self.ids_of_spans(piece.data, starts, ends)
+        return ids, np.diff(np.append(0, np.cumsum(sizes))[first])
 
 
 _caches: dict[str, ChunkCache] = {}
@@ -109,5 +134,6 @@ def library_cache(path: str) -> ChunkCache:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
-        _caches[path] = ChunkCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        _caches[path] = ChunkCache(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], kind)
     return _caches[path]
