@@ -5,7 +5,12 @@ each block; filters of a block merge by their sorted remainders, counters added,
 Only fingerprints counted more than once route their texts to verification, where whole texts are compared as bytes.
 
 Copies collapse before every exchange: a filter has one counter for a fingerprint, and a task sends a text to
-verification once for each batch that holds it, so a text that a third of all rows share moves a few times.
+verification once for each batch that holds it, so a text that a third of all rows share moves a few times. Other texts
+do not move: tasks drop them by the repeated fingerprints, which they hold as long as those are few enough to send, or
+by a set of bits of fixed size beyond that, behind which a join drops what the bits let pass.
+
+Rows learn their group from its checksum. Groups of a thousandth of all rows, a thousand at most, are broadcast; the
+rows of all others join by checksum, so that no task gets more than a thousandth of the rows for one key.
 """
 
 from __future__ import annotations
@@ -17,12 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, stored
 from .grams import grouped
 
 ROWS_PER_BLOCK = 100_000
 ROWS_PER_FILTER = 1_000_000
 QUOTIENT_BITS = 16
+#: Repeated fingerprints that are sent to all tasks as they are, 8 bytes each, and bits of the set that stands in for more.
+SENT_FINGERPRINTS = 2_000_000
+SET_BITS = 1 << 27
+SET_PIECES = 64
+#: A group with at least one in so many rows is broadcast, so at most so many are.
+HOT_SHARE = 1000
 
 
 class CountingQuotientFilter:
@@ -129,29 +140,77 @@ def _repeated(block_bits: int):
     return run
 
 
+def rows_of(df: DataFrame) -> int:
+    return df.select(F.lit(1)).count()
+
+
 def repeated_fingerprints(rows: DataFrame) -> DataFrame:
     """(fp, copies) of the fingerprints in column ``fp`` (long) that occur more than once."""
     prepare(rows)
-    blocks = max(8, rows.count() // ROWS_PER_BLOCK)
+    blocks = max(8, rows_of(rows) // ROWS_PER_BLOCK)
     block_bits = min(20, (blocks - 1).bit_length())
     parts = max(1, min(blocks, 4096))
     filters = rows.select("fp").mapInArrow(_filters(block_bits), "block int, filter binary").repartition(parts, "block").sortWithinPartitions("block")
     return filters.mapInArrow(_repeated(block_bits), "fp long, copies long")
 
 
-def _combine(batches):
-    """Equal texts of a batch, compared as bytes, to one row with their number and largest id."""
+def _bits(batches):
+    """One set for all fingerprints of a task, a fingerprint a bit, cut into pieces."""
+    held = np.zeros(SET_BITS >> 3, np.uint8)
     for batch in batches:
-        seen: dict[bytes, list] = {}
-        ids, fps = batch.column("doc_id").to_pylist(), batch.column("fp").to_pylist()
-        for doc, fp, text in zip(ids, fps, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            row = seen.setdefault(text, [fp, doc, 0])
-            row[2] += 1
-            if doc is not None and (row[1] is None or doc > row[1]):
-                row[1] = doc
-        if seen:
-            fp, top, n = zip(*seen.values(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(top, pa.int64()), pa.array(n, pa.int64())], ["fp", "bytes", "top", "n"])
+        at = np.asarray(batch.column("fp")).view(np.uint64) >> np.uint64(64 - (SET_BITS - 1).bit_length())
+        np.bitwise_or.at(held, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
+    step = len(held) // SET_PIECES
+    for k in range(SET_PIECES):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([held[k * step : (k + 1) * step].tobytes()], pa.binary())], ["piece", "bits"])
+
+
+def _either(batches):
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, raw in zip(batch.column("piece").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            own = np.frombuffer(raw, np.uint8)
+            total[piece] = total[piece] | own if piece in total else own
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["piece", "bits"])
+
+
+def _holder(repeated: DataFrame, n: int):
+    """(what tasks drop other texts by, whether it lets only repeated fingerprints pass); its size is bounded."""
+    if n <= SENT_FINGERPRINTS:
+        return np.sort(np.array([r["fp"] for r in repeated.select("fp").collect()], np.int64)), True
+    few = repeated.select("fp").coalesce(16).mapInArrow(_bits, "piece int, bits binary")
+    rows = few.repartition(SET_PIECES, "piece").mapInArrow(_either, "piece int, bits binary").collect()
+    return np.frombuffer(b"".join(bytes(r["bits"]) for r in sorted(rows, key=lambda r: r["piece"])), np.uint8), False
+
+
+def _held(fingerprints: np.ndarray, holder: np.ndarray) -> np.ndarray:
+    if holder.dtype == np.uint8:
+        at = fingerprints.view(np.uint64) >> np.uint64(64 - (SET_BITS - 1).bit_length())
+        return (holder[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    if not len(holder):
+        return np.zeros(len(fingerprints), bool)
+    return holder[np.minimum(np.searchsorted(holder, fingerprints), len(holder) - 1)] == fingerprints
+
+
+def _combine(handle):
+    """Texts of a batch that may be repeated; equal ones, compared as bytes, to one row with number and largest id."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.filter(pa.array(_held(np.asarray(batch.column("fp")), handle.value)))
+            seen: dict[bytes, list] = {}
+            ids, fps = own.column("doc_id").to_pylist(), own.column("fp").to_pylist()
+            for doc, fp, text in zip(ids, fps, own.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                row = seen.setdefault(text, [fp, doc, 0])
+                row[2] += 1
+                if doc is not None and (row[1] is None or doc > row[1]):
+                    row[1] = doc
+            if seen:
+                fp, top, n = zip(*seen.values(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(list(seen), pa.binary()), pa.array(top, pa.int64()), pa.array(n, pa.int64())], ["fp", "bytes", "top", "n"])
+
+    return run
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,14 +221,23 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A null doc_id stays only where the whole group has none. Very long texts are compared whole. An empty table gives
     an empty one; other columns, whatever their names, are not read.
     """
-    prepare(docs)
+    spark = prepare(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("fp"))
-    repeated = repeated_fingerprints(base)
-    texts = base.mapInArrow(_combine, "fp long, bytes binary, top long, n long").join(repeated, "fp", "left_semi")
-    groups = texts.groupBy("fp", "bytes").agg(F.max("top").alias("top"), F.sum("n").alias("n")).select(F.sha2("bytes", 256).alias("sha"), "top", "n")
-    rows = base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-    joined = rows.join(groups, rows["text_sha256"] == groups["sha"], "left")
-    out = joined.select("doc_id", "text_sha256", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top")).alias("keep_id"), F.coalesce("n", F.lit(1)).alias("group_size"))
-    turn = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
+    repeated = stored(repeated_fingerprints(base), "repeated")
+    holder, exact = _holder(repeated, repeated.count())
+    texts = base.mapInArrow(_combine(spark.sparkContext.broadcast(holder)), "fp long, bytes binary, top long, n long")
+    if not exact:
+        texts = texts.join(repeated, "fp", "left_semi")
+    groups = texts.groupBy("fp", "bytes").agg(F.max("top").alias("top"), F.sum("n").alias("n")).filter("n > 1")
+    groups = stored(groups.select(F.sha2("bytes", 256).alias("sha"), "top", "n"), "groups")
+    least = max(2, -(-rows_of(docs) // HOT_SHARE))
+    hot = F.broadcast(groups.filter(F.col("n") >= least).select(F.col("sha").alias("hot_sha"), F.col("top").alias("hot_top"), F.col("n").alias("hot_n")))
+    rows = base.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")).join(hot, F.col("text_sha256") == hot["hot_sha"], "left")
+    # rows of hot groups meet nothing more: their key has their id in it, which deals them out and keeps repeated rows together
+    key = F.when(F.col("hot_n").isNull(), F.col("text_sha256")).otherwise(F.concat_ws(" ", "text_sha256", "doc_id"))
+    joined = rows.withColumn("key", key).join(groups.filter(F.col("n") < least), F.col("key") == F.col("sha"), "left")
+    size, top = F.coalesce("hot_n", "n", F.lit(1)), F.when(F.col("hot_n").isNotNull(), F.col("hot_top")).when(F.col("n").isNotNull(), F.col("top")).otherwise(F.col("doc_id"))
+    out = joined.select("key", "doc_id", "text_sha256", top.alias("keep_id"), size.alias("group_size"))
+    turn = F.row_number().over(Window.partitionBy("key", "doc_id").orderBy("keep_id"))
     return out.withColumn("turn", turn).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)).alias("kept"), "text_sha256")

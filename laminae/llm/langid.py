@@ -8,9 +8,6 @@ the nearest wins, and the distance to the next one says how ambiguous the text i
 
 from __future__ import annotations
 
-import re
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,7 +23,6 @@ TRAIN_DOCS_PER_LANGUAGE = 4000
 #: Odds below which the nearest codeword does not stand out.
 AMBIGUOUS = 0.6
 _UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[:0x41] = 0x20  # digits, marks and white space are borders
@@ -156,12 +152,11 @@ def _predict(handle):
         model: Model | None = handle.value
         for batch in batches:
             names, odds, clear = [], [], []
-            texts = batch.column("text")
+            marked = np.asarray(batch.column("letters"))
             for piece in pieces(batch, "doc_id", "text"):
-                here = [t.as_py() for t in islice(texts, piece.first_row, piece.first_row + len(piece.ids))]
-                letters = np.array([bool(t) and _LETTER.search(t) is not None for t in here])
+                letters = marked[piece.first_row : piece.first_row + len(piece.ids)]
                 if model is None:
-                    best, sure = np.zeros(len(here), int), np.zeros(len(here))
+                    best, sure = np.zeros(len(letters), int), np.zeros(len(letters))
                 else:
                     best, sure, _ = model.decode(model.margins(piece))
                 known = letters & (model is not None)
@@ -184,27 +179,37 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     spark = prepare(docs)
     model = fit(train, id_col, text_col, lang_col)
     handle = spark.sparkContext.broadcast(model)  # fixed size: FEATURES weights a bit
-    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("letters"))
     return small.mapInArrow(_predict(handle), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def _keep(handle, id_col: str, text_col: str):
+def has_letter(text_col: str):
+    """Column: the text has a letter; false for null."""
+    return F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
+
+
+def _keep(handle, id_col: str, text_col: str, letters: str):
     predict = _predict(handle)
 
     def run(batches):
         for batch in batches:
-            small = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], ["doc_id", "text"])
+            small = pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, text_col, letters)], ["doc_id", "text", "letters"])
             for marks in predict([small]):
-                yield batch.filter(pc.invert(marks.column("ambiguous")))
+                yield batch.drop_columns([letters]).filter(pc.invert(marks.column("ambiguous")))
 
     return run
 
 
 def keep_identified(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is clear: texts marked ``und`` or ambiguous go. No shuffle."""
+    """The rows of ``docs``, all columns, whose language is clear: texts marked ``und`` or ambiguous go. No shuffle.
+
+    So null and empty texts and those without a letter go, and all rows if ``train`` has no usable one. Repeated rows
+    share their fate, null ids do not matter, very long texts are read whole, an empty table gives an empty one.
+    """
     spark = prepare(docs)
     handle = spark.sparkContext.broadcast(fit(train, id_col, text_col, lang_col))
-    return docs.mapInArrow(_keep(handle, id_col, text_col), docs.schema)
+    letters = f"_letters_{len(docs.columns)}"
+    return docs.withColumn(letters, has_letter(text_col)).mapInArrow(_keep(handle, id_col, text_col, letters), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -20,6 +20,8 @@ from .common import prepare, stored
 from .grams import pieces, word_hashes, words_of
 
 FEATURES = 1 << 16
+#: Parts of the table of counts, summed by a task each.
+CHUNKS = 64
 #: Labelled documents that fit the classifier at most, dealt by hash; priors and sites use all labels.
 FIT_DOCS = 20_000
 #: Weight of an unlabelled document's classifier odds, against a label, in its site's share.
@@ -51,24 +53,25 @@ def _count(batches):
                 own = good[piece.first_row : piece.first_row + len(piece.ids)][owner]
                 total += np.bincount(own * FEATURES + grams, weights=weight[owner], minlength=2 * FEATURES).reshape(2, -1)
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()])], ["key", "counts"])
+        parts = total.reshape(CHUNKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts])], ["chunk", "counts"])
 
 
 def _add(batches):
-    total = None
+    total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for raw in batch.column("counts").to_pylist():
-            total = np.frombuffer(raw) + (0 if total is None else total)
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([total.tobytes()])], ["key", "counts"])
+        for chunk, raw in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            total[chunk] = total.get(chunk, 0) + np.frombuffer(raw)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()])], ["chunk", "counts"])
 
 
 def trigram_weights(labelled: DataFrame) -> np.ndarray:
     """Log-odds of each hashed trigram between good and bad documents; each document weighs one at most."""
-    rows = labelled.mapInArrow(_count, "key long, counts binary").repartition(1).mapInArrow(_add, "key long, counts binary").collect()
+    rows = labelled.mapInArrow(_count, "chunk int, counts binary").repartition(CHUNKS, "chunk").mapInArrow(_add, "chunk int, counts binary").collect()
     if not rows:
         return np.zeros(FEATURES, np.float32)
-    counts = np.frombuffer(rows[0]["counts"]).reshape(2, -1)
+    counts = np.concatenate([np.frombuffer(r["counts"]) for r in sorted(rows, key=lambda r: r["chunk"])]).reshape(2, -1)
     shares = (counts + 1e-5) / (counts.sum(1, keepdims=True) + 1e-5 * FEATURES)
     return (np.log(shares[1]) - np.log(shares[0])).astype(np.float32)
 
@@ -165,7 +168,9 @@ def score(docs: DataFrame, labels: DataFrame, host: str = "source", path: str |
 
     ``labels`` has ``id_col`` and a 0/1 ``label_col``; a document with several labels takes their maximum, null ones
     are ignored. ``host`` and ``path`` are columns or SQL expressions of ``docs``; null is a site of its own. Null or
-    empty texts have the evidence of an empty text. Without labels the prior is one half and all documents are kept. At most FIT_DOCS labelled rows fit the classifier.
+    empty texts have the evidence of an empty text; very long texts are read whole. Without labels the prior is one half
+    and all documents are kept. At most FIT_DOCS labelled rows fit the classifier. A document's evidence, in log-odds,
+    is limited to -12 to 12 (_LIMIT).
     Repeated rows count each for their site and get equal results; an empty table gives an empty one; other columns,
     whatever their names, are not read.
     """
