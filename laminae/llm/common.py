@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,11 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_seed() -> int:
+    """Of hashes that only route rows: results do not depend on it, and no text can be written to collide under it."""
+    return secrets.randbits(64)
+
+
 def total_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts, from one narrow scan; sizes the exchanges."""
     return int(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
