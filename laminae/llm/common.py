@@ -5,7 +5,7 @@ from __future__ import annotations
 import secrets
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a batch handed to Python at most, so that a batch of long texts still fits a worker.
@@ -57,3 +57,14 @@ def total_bytes(docs: DataFrame, text_col: str) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keyed(docs: DataFrame, id_col: str, key: str) -> tuple[DataFrame, int]:
+    """``docs`` with column ``key``: the doc_id, behind which a row that shares it has a number in its lowest bits."""
+    most = docs.groupBy(F.col(id_col).alias("_k")).agg(F.count("*").alias("n")).filter("_k is not null").agg(F.max("n")).first()[0] or 1
+    number = F.col(id_col).cast("long")
+    if most == 1:
+        return docs.withColumn(key, number), 0
+    bits = (most - 1).bit_length()
+    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)) - 1
+    return stored(docs.withColumn(key, F.shiftleft(number, bits) + turn), "keyed"), bits

@@ -2,11 +2,11 @@
 
 A round range-sorts unplaced pieces and open gaps together, largest first. Each task sweeps its range: a piece takes
 the smallest gap that it fits (its successor among the gaps not yet taken), and what rests of the gap is a gap again
-as soon as pieces are small enough. What a range cannot settle, pieces left
-over and gaps left over, is settled by rank: the counts of each range, two numbers a task, tell which gaps of larger
-ranges the pieces of a smaller range take, the tightest first; each gap gets one piece at most. Gaps shrink, and the
-round repeats. When a round places nothing, the largest pieces open as many sequences as the rest needs at least.
-Once few rows are left a single sweep, which is best fit decreasing as such, ends the work.
+as soon as pieces are small enough. What a range cannot settle, pieces left over and gaps left over, is settled by
+rank: the counts of each range, two numbers a task, tell which gaps of larger ranges the pieces of a smaller range take,
+the tightest first; each gap gets one piece at most. Gaps shrink, and the round repeats. When a round places nothing,
+pieces of the largest sizes open sequences, as many as they fill among themselves. Rounds are the same at every size
+and end when no piece is left.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from .grams import pieces
 from .tokens import library_cache, vocabulary_path
 
 TEXT_BYTES = 1 << 20
-#: Rows that one task sweeps; a round with no more than these is the last.
+#: Rows that one task sweeps.
 SWEEP_ROWS = 100_000
+#: So many pieces in a sequence, and it does not matter which of them start it.
+SMALL = 8
 PLACED, PIECE, GAP, SHRUNK = range(4)
 _SWEPT = "what int, id long, bin long, offset long, size long, part int, rank long"
 
@@ -69,7 +71,7 @@ def _cut_lazily(*args):
     return lambda batches: _cut(*args)(batches)
 
 
-def _sweep(capacity: int, final: bool):
+def _sweep(capacity: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         gaps: list[tuple[int, int]] = []  # (-size, bin) in ascending order: the smallest gap is last
@@ -81,11 +83,11 @@ def _sweep(capacity: int, final: bool):
                     insort(gaps, heappop(small))
                 if kind == GAP:
                     insort(gaps, (-size, row))
-                elif not gaps and not final:
+                elif not gaps:
                     out.append((PIECE, row, None, None, size, part, left))
                     left += 1
                 else:
-                    gap, to = gaps.pop() if gaps else (-capacity, row)
+                    gap, to = gaps.pop()
                     out.append((PLACED, row, to, capacity + gap, size, part, None))
                     rest = -gap - size
                     if rest:
@@ -123,6 +125,24 @@ def _by_rank(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, in
     return out
 
 
+def _opened(left: DataFrame, capacity: int) -> DataFrame:
+    """``left`` (uid, length, part, rank) with ``opens``: whether a piece starts a sequence of its own.
+
+    If j pieces of the largest size fill a sequence, every j-th of the pieces of which no more than j fit starts one;
+    once j is SMALL, the largest start as many as the rest needs at least.
+    """
+    counts = left.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("largest")).collect()  # a row a task
+    needed, together = -(-sum(r["total"] for r in counts) // capacity), capacity // max(r["largest"] for r in counts)
+    before = dict(zip(sorted(r["part"] for r in counts), accumulate((r["n"] for r in sorted(counts, key=lambda r: r["part"])), initial=0), strict=False))
+    starts = left.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    place = F.col("rank") + F.col("before")
+    if together < SMALL:
+        opens = (place % together == 0) & (F.col("length") * (together + 1) > capacity)
+    else:
+        opens = place < needed
+    return left.join(starts, "part").withColumn("opens", opens)
+
+
 def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     """(uid, bin, offset) for items (uid long, length long) with 1 <= length <= capacity; bins are named by an item."""
     spark = prepare(items)
@@ -137,33 +157,29 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
             break
         gaps = gaps.filter(F.col("gap") >= least)
         rows = gaps.select(F.col("bin").alias("id"), F.col("gap").alias("size"), F.lit(GAP).alias("kind"))
-        n = count + rows.count()
-        final = n <= SWEEP_ROWS
+        ranges = -(-(count + rows.count()) // SWEEP_ROWS)
         # equal sizes: gaps stand before pieces
         rows = rows.union(left.select(F.col("uid"), F.col("length"), F.lit(GAP + 1)))
         order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-        dealt = rows.repartition(1) if final else rows.repartitionByRange(-(-n // SWEEP_ROWS) + 1, *order)
-        swept = dealt.sortWithinPartitions(*order).mapInArrow(_sweep(capacity, final), _SWEPT).checkpoint()
+        swept = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
         placed.append(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
-        if final:
-            break
-        summary = {(r["part"], r["what"]): r["n"] for r in swept.groupBy("part", "what").agg(F.count("*").alias("n")).collect()}
+        summary = {(r["part"], r["what"]): r["n"] for r in swept.groupBy("part", "what").agg(F.count("*").alias("n")).collect()}  # a row a task and kind
         over, open_gaps = swept.filter(f"what = {PIECE}"), swept.filter(f"what = {GAP}")
-        shares = spark.createDataFrame(_by_rank(summary), "part int, lo long, hi long, owner int, at long")
-        wanted = over.join(F.broadcast(shares), "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "owner", (F.col("rank") - F.col("lo") + F.col("at")).alias("turn"))
-        given = open_gaps.select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-        crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap")).alias("offset"), (F.col("gap") - F.col("length")).alias("rest")).checkpoint()
-        placed.append(crossed.select("uid", "bin", "offset"))
-        matched = crossed.select(F.col("bin").alias("id"))
+        shares = _by_rank(summary)
+        left = over.select(F.col("id").alias("uid"), F.col("size").alias("length"), "part", "rank")
         gaps = swept.filter(f"what = {SHRUNK}").select(F.col("id").alias("bin"), F.col("size").alias("gap"))
-        gaps = gaps.union(open_gaps.join(matched, "id", "left_anti").select("id", "size")).union(crossed.filter("rest > 0").select("bin", "rest"))
-        left = over.join(crossed.select(F.col("uid").alias("id")), "id", "left_anti").select(F.col("id").alias("uid"), F.col("size").alias("length"), "part", "rank")
-        if not any(what == PLACED for _, what in summary) and shares.isEmpty():
-            parts = sorted(p for p, what in summary if what == PIECE)
-            before = dict(zip(parts, accumulate((summary[p, PIECE] for p in parts), initial=0), strict=False))
-            opened = -(-left.agg(F.sum("length")).first()[0] // capacity)
-            starts = spark.createDataFrame(list(before.items()), "part int, before long")
-            ranked = left.join(F.broadcast(starts), "part").withColumn("opens", F.col("rank") + F.col("before") < opened).checkpoint()
+        if shares:
+            taking = spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long")
+            wanted = over.join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "owner", (F.col("rank") - F.col("lo") + F.col("at")).alias("turn"))
+            given = open_gaps.select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
+            crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap")).alias("offset"), (F.col("gap") - F.col("length")).alias("rest")).checkpoint()
+            placed.append(crossed.select("uid", "bin", "offset"))
+            gaps = gaps.union(open_gaps.join(crossed.select(F.col("bin").alias("id")), "id", "left_anti").select("id", "size")).union(crossed.filter("rest > 0").select("bin", "rest"))
+            left = left.join(crossed.select("uid"), "uid", "left_anti")
+        else:
+            gaps = gaps.union(open_gaps.select("id", "size"))
+        if not shares and not any(what == PLACED for _, what in summary):
+            ranked = _opened(left, capacity).checkpoint()
             fresh = ranked.filter("opens")
             placed.append(fresh.select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset")))
             gaps = gaps.union(fresh.select("uid", capacity - F.col("length")))
@@ -181,7 +197,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str
     A document's ids are the tokenizers library's for its whole text (null and empty: none) and ``end_id``. Longer ones
     than ``capacity`` are cut into full pieces after a first, maybe shorter, piece. Full pieces fill sequences of their
     own. Ties: equal lengths are taken in the order of an internal row number; repeated rows and rows with a null
-    doc_id are packed like any other. An empty table gives an empty one; other columns are not read.
+    doc_id are packed like any other; a very long text is cut like any longer one. An empty table gives an empty one;
+    other columns are not read.
     """
     prepare(docs)
     cut = token_pieces(docs, capacity, end_id, vocabulary, id_col, text_col)

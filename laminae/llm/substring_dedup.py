@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_seed, prepare, stored, total_bytes
+from .common import fresh_seed, keyed, prepare, total_bytes
 from .grams import bucket_edges, bucket_of, exchanged, from_planes, grouped, levels, mix64, pieces, run_starts, runs, to_planes, window_hashes, word_hashes, words_of
 
 BLOCK_WINDOWS = 1_000_000
@@ -241,17 +241,6 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     return found.mapInArrow(_merge(width), _SPANS)
 
 
-def _keyed(docs: DataFrame, id_col: str, key: str) -> tuple[DataFrame, int]:
-    """``docs`` with column ``key``: the doc_id, behind which a row that shares it has a number in its lowest bits."""
-    most = docs.groupBy(F.col(id_col).alias("_k")).agg(F.count("*").alias("n")).filter("_k is not null").agg(F.max("n")).first()[0] or 1
-    number = F.col(id_col).cast("long")
-    if most == 1:
-        return docs.withColumn(key, number), 0
-    bits = (most - 1).bit_length()
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)) - 1
-    return stored(docs.withColumn(key, F.shiftleft(number, bits) + turn), "keyed"), bits
-
-
 def _cut(batches):
     for batch in batches:
         texts, starts, ends = (batch.column(c) for c in ("text", "starts", "ends"))
@@ -298,9 +287,9 @@ def cut_documents(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text
     follows a text that is cut. Ties, repeated rows, very long texts and empty tables: as in ``remove_repeats``.
     """
     names = [f"_span_{k}_{len(docs.columns)}" for k in range(4)]
-    keyed, bits = _keyed(docs, id_col, names[3])
-    spans = repeated_spans(keyed, width, names[3], text_col, bits).toDF(*names[:3])
-    joined = keyed.join(spans, keyed[names[3]] == spans[names[0]], "left")
+    rows, bits = keyed(docs, id_col, names[3])
+    spans = repeated_spans(rows, width, names[3], text_col, bits).toDF(*names[:3])
+    joined = rows.join(spans, rows[names[3]] == spans[names[0]], "left")
     return joined.mapInArrow(_rewrite(text_col, length_col, tuple(names[:3]), docs.columns), docs.schema)
 
 
@@ -314,6 +303,6 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     texts are read whole. An empty table gives an empty one; other columns of ``docs``, whatever their names, are not
     read.
     """
-    small, bits = _keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "key")
+    small, bits = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "key")
     spans = repeated_spans(small, width, "key", "text", bits).withColumnRenamed("doc_id", "key")
     return small.join(spans, "key", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept_text string")

@@ -41,6 +41,6 @@ def test_matches_brute_force(spark, seed, width, percent, monkeypatch):
 def test_edge_rows(spark):
     rows = [(5, "x y z v", 1), (5, "x y z v", 2), (None, "x y z v", 3), (7, "x Y z V", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, 4, 85).collect())
-    assert got == [(5, 1, 5), (5, 1, 5), (7, 1, 5)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, 4, 85).collect())
+    assert got == [(0, 1, None), (5, 1, 5), (5, 1, 5), (7, 1, 5)]
     assert ngram_join.near_duplicates(docs.limit(0), 4, 85).count() == 0
