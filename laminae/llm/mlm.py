@@ -25,17 +25,18 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 from .grams import Piece, pieces, word_hashes, words_of
 
-CLASSES, MEMBERS = 32, 32
+CLASSES, MEMBERS = 48, 48
 TOKENS = CLASSES * MEMBERS
-COMMON = 768
+COMMON = 2048
 PLACES = (-2, -1, 1, 2)
 HIDDEN = 32
 #: One position in so many trains, in each round another one: the rounds together train all.
 STRIDE = 3
 ROUNDS = STRIDE
-BATCH = 2048
+BATCH = 8192
 RATE = 0.15
 CHUNK = 8192
+PIECE_TOKENS = 1 << 17
 #: Log-probabilities that a join sums are whole multiples of 1 / UNIT.
 UNIT = 10**9
 _EDGE = TOKENS  # the neighbour beyond a document's end
@@ -72,8 +73,16 @@ class Network(NamedTuple):
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x -= x.max(1, keepdims=True)
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def hidden(net: Network, around: np.ndarray) -> np.ndarray:
@@ -108,7 +117,7 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
     tokens, around = tokens[order], around[:, order]
     state = hidden(net, around)
     group, member = np.divmod(tokens, MEMBERS)
-    error = np.exp(_log_softmax(state @ net.classes + net.class_bias))
+    error = _softmax(state @ net.classes + net.class_bias)
     error[np.arange(n), group] -= 1
     grads = [None, None, *(np.zeros_like(p) for p in net[2:])]
     grads[2][:], grads[3][:] = state.T @ error / n, error.mean(0)
@@ -117,7 +126,7 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
     for c in range(CLASSES):
         lo, hi = cuts[c], cuts[c + 1]
         if hi > lo:
-            inner = np.exp(_log_softmax(state[lo:hi] @ net.members[c] + net.member_bias[c]))
+            inner = _softmax(state[lo:hi] @ net.members[c] + net.member_bias[c])
             inner[np.arange(hi - lo), member[lo:hi]] -= 1
             grads[4][c], grads[5][c] = state[lo:hi].T @ inner / n, inner.sum(0) / n
             down[lo:hi] += inner @ net.members[c].T
@@ -183,7 +192,7 @@ def _word_counts(batches):
         for piece in pieces(batch, "doc_id", "text"):
             spans = words_of(piece)
             total.append(word_hashes(piece, spans, fold_case=True))
-            shared.append(shared_ids(piece, spans).astype(np.int16))
+            shared.append(shared_ids(piece, spans).astype(np.int32))
             size += len(total[-1])
             if size > 3_000_000:
                 yield flush()
@@ -212,13 +221,44 @@ def shares(counts: DataFrame, words: Vocabulary) -> DataFrame:
     return rest.join(F.broadcast(totals), "token").select("word", F.round(F.log(F.col("n") / F.col("total")) * UNIT).cast("long").alias("share"))
 
 
-def _positions(batches, words: Vocabulary):
+def _tokenise(words):
+    """A row's tokens, two bytes each, and its words in shared ids with their counts."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "doc_id", "text", 1 << 19):
+                spans = words_of(piece)
+                hashes = word_hashes(piece, spans, fold_case=True)
+                tokens = words.value.tokens(piece, spans, hashes)
+                rows = batch.slice(piece.first_row, len(piece.ids))
+                cuts = pa.py_buffer((2 * spans.first).astype(np.int32))
+                packed = pa.Array.from_buffers(pa.binary(), len(piece.ids), [None, cuts, pa.py_buffer(tokens.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(np.diff(spans.first)), packed, *_shared_words(spans.first, hashes, tokens)], ["row", "doc_id", "n_tokens", "tokens", "words", "counts"])
+
+    return run
+
+
+_TOKENS = "row long, doc_id long, n_tokens long, tokens binary, words array<long>, counts array<int>"
+
+
+def tokenised(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(row, doc_id, n_tokens, tokens, words, counts), stored: each row's ids, read by all rounds and by scoring."""
+    handle = docs.sparkSession.sparkContext.broadcast(words)  # COMMON hashes
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(_tokenise(handle), _TOKENS), "tokens")
+
+
+def _positions(batches):
+    """(rows, first token of each, tokens, neighbours) of about PIECE_TOKENS tokens at a time."""
     for batch in batches:
-        for piece in pieces(batch, "doc_id", "text", 1 << 19):
-            spans = words_of(piece)
-            hashes = word_hashes(piece, spans, fold_case=True)
-            tokens = words.tokens(piece, spans, hashes)
-            yield batch.slice(piece.first_row, len(piece.ids)), spans.first, hashes, tokens, neighbours(tokens, spans.first)
+        counts = np.asarray(batch.column("n_tokens"))
+        ends, row = np.cumsum(counts), 0
+        while row < batch.num_rows:
+            stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PIECE_TOKENS, "right")))
+            rows = batch.slice(row, stop - row)
+            first = np.append(0, np.cumsum(counts[row:stop]))
+            tokens = np.frombuffer(b"".join(rows.column("tokens").to_pylist()), "<u2").astype(np.int64)
+            row = stop
+            yield rows, first, tokens, neighbours(tokens, first)
 
 
 def trained_positions(turn: int, n: int) -> np.ndarray:
@@ -226,12 +266,12 @@ def trained_positions(turn: int, n: int) -> np.ndarray:
     return np.random.default_rng(turn).permutation(np.arange(turn % STRIDE, n, STRIDE))
 
 
-def _replica(start, words, turn: int):
+def _replica(start, turn: int):
     def run(batches):
         net = Network.from_flat(start.value)
         squares = Network(*(np.full_like(p, 1e-4) for p in net))
         seen = 0
-        for _, _, _, tokens, around in _positions(batches, words.value):
+        for _, _, tokens, around in _positions(batches):
             own = trained_positions(turn, len(tokens))
             for at in range(0, len(own), BATCH):
                 some = own[at : at + BATCH]
@@ -256,19 +296,18 @@ def _mean(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(total[k] / weight[k]).astype(np.float32).tobytes() for k in total], pa.binary())], ["chunk", "value"])
 
 
-def train(docs: DataFrame, counts: DataFrame | None = None) -> tuple[Network, Vocabulary]:
-    """Rounds of replicas and averages over (doc_id, text), whose word counts may be given."""
-    context = docs.sparkSession.sparkContext
-    words = context.broadcast(vocabulary(counts or word_counts(docs)))  # COMMON hashes
+def train(tokens: DataFrame) -> Network:
+    """Rounds of replicas and averages over stored tokens."""
+    context = tokens.sparkSession.sparkContext
     values = Network.fresh().flat()
     chunks = -(-len(values) // CHUNK)
     for turn in range(ROUNDS):
         start = context.broadcast(values)  # fixed size
-        replicas = docs.mapInArrow(_replica(start, words, turn), "chunk int, weight double, value binary")
+        replicas = tokens.select("n_tokens", "tokens").mapInArrow(_replica(start, turn), "chunk int, weight double, value binary")
         rows = replicas.repartition(chunks, "chunk").mapInArrow(_mean, "chunk int, value binary").collect()  # one model
         if rows:
             values = np.concatenate([np.frombuffer(r["value"], np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
-    return Network.from_flat(values), words.value
+    return Network.from_flat(values)
 
 
 def _shared_words(first: np.ndarray, hashes: np.ndarray, tokens: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -288,10 +327,9 @@ def _shared_words(first: np.ndarray, hashes: np.ndarray, tokens: np.ndarray) ->
 
 def _score(model):
     def run(batches):
-        net, words = model.value
-        for rows, first, hashes, tokens, around in _positions(batches, words):
-            total = np.append(0, np.cumsum(log_probabilities(net, tokens, around)))[first]
-            yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), pa.array(np.diff(first)), pa.array(np.diff(total)), *_shared_words(first, hashes, tokens)], ["row", "doc_id", "n_tokens", "net", "words", "counts"])
+        for rows, first, tokens, around in _positions(batches):
+            total = np.append(0, np.cumsum(log_probabilities(model.value, tokens, around)))[first]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("row", "doc_id", "n_tokens")), pa.array(np.diff(total))], ["row", "doc_id", "n_tokens", "net"])
 
     return run
 
@@ -301,19 +339,19 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Network, Vocabulary] | None
 
     Trains on ``docs`` unless a model is given; the shares of words in shared ids are those of ``docs`` in any case.
     Words are runs of bytes other than space and tab to carriage return, lower-cased A-Z. Null or empty texts: no
-    tokens, pll 0, mean null. Repeated rows get equal scores, null ids stay null, an empty table gives an empty one;
-    other columns are not read.
+    tokens, pll 0, mean null. Very long texts are scored whole; repeated rows and equal texts (ties) get equal scores,
+    null ids stay null, an empty table gives an empty one; other columns are not read.
     """
     spark = prepare(docs)
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = word_counts(small)
-    net, words = model or train(small, counts)
-    handle = spark.sparkContext.broadcast((net, words))
-    numbered = small.select(F.monotonically_increasing_id().alias("row"), "*")
-    scored = stored(numbered.mapInArrow(_score(handle), "row long, doc_id long, n_tokens long, net double, words array<long>, counts array<int>"), "scored")
-    found = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = model[1] if model else vocabulary(counts)
+    tokens = tokenised(small, words)
+    handle = spark.sparkContext.broadcast(model[0] if model else train(tokens))  # fixed size
+    scored = tokens.select("row", "doc_id", "n_tokens", "tokens").mapInArrow(_score(handle), "row long, doc_id long, n_tokens long, net double")
+    found = tokens.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     # whole numbers, so that the order of the sum does not matter
     inside = found.join(shares(counts, words), "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
     pll = F.col("net") + F.coalesce(F.col("inside") / UNIT, F.lit(0.0))
-    both = scored.select("row", "doc_id", "n_tokens", "net").join(inside, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
+    both = scored.join(inside, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
     return both.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))

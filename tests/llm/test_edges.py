@@ -216,7 +216,7 @@ def test_masked_lm(docs, none):
 
 def test_masked_lm_probabilities_sum_to_one():
     net = mlm.Network.fresh()
-    around = np.repeat(np.array([[3], [1024], [5], [7]]), mlm.TOKENS, axis=1)
+    around = np.repeat(np.array([[3], [mlm.TOKENS], [5], [7]]), mlm.TOKENS, axis=1)
     assert np.exp(mlm.log_probabilities(net, np.arange(mlm.TOKENS), around)).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -235,7 +235,8 @@ def test_masked_lm_tells_words_of_a_shared_id_apart(spark):
 
 def test_masked_lm_learns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    net, words = mlm.train(docs.select("doc_id", "text"))
+    words = mlm.vocabulary(mlm.word_counts(docs.select("doc_id", "text")))
+    net = mlm.train(mlm.tokenised(docs.select("doc_id", "text"), words))
     after = mlm.pseudo_likelihood(docs, (net, words)).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
     before = mlm.pseudo_likelihood(docs, (mlm.Network.fresh(), words)).agg(F.sum("pll") / F.sum("n_tokens")).first()[0]
     assert after > before + 0.3
