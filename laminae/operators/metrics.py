@@ -66,6 +66,11 @@ def composite_score(row: DataFrame) -> DataFrame:
     return row.withColumn("score", 0.30 * F.col("topo") + 0.35 * F.col("nsd") + 0.35 / (1 + 0.3 * (F.col("split") + F.col("merge"))))
 
 
+def soft_overlap(p, y, smooth: float = 1.0):
+    """Column: aggregate soft Dice of probabilities and marks."""
+    return (2 * F.sum(p * y) + smooth) / (F.sum(p * p) + F.sum(y * y) + smooth)
+
+
 def ranking(scores: DataFrame, bins: int = 1000) -> DataFrame:
     """One row (auprc, max_dice) from (p, y, id).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from laminae.session import settled
+
 KEY = ["z", "y", "x"]
 
 
@@ -69,6 +71,42 @@ def nearest(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return best.select("id", F.col("m.other").alias("other"), F.col("m.d2").alias("d2"))
 
 
+def nearest_any(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """(id, other, d2): nearest point of ``right`` at any distance; without points on the right, no rows.
+
+    Cells widen twofold for the points that found nothing, so the rounds are the logarithm of the longest distance.
+    """
+    left = left.select("id", *KEY)
+    if right.isEmpty():
+        return nearest(left, right, cell)
+    found = None
+    while not left.isEmpty():
+        best = settled(nearest(left, right, cell))
+        found = best if found is None else found.union(best)
+        left = settled(left.join(best, "id", "left_anti"))
+        cell *= 2
+    return nearest(left, right, cell) if found is None else found
+
+
+def trace_scores(truth: DataFrame, found: DataFrame, reach: float) -> DataFrame:
+    """One row (n, at2, at4, mean, median): shares of points with a neighbour within 2 and 4, and the mean and upper
+    median of distances, which end at ``reach``."""
+    near = nearest(truth, found, reach).select("id", F.sqrt("d2").alias("d"))
+    d = F.coalesce("d", F.lit(reach))
+    all_ = truth.select("id").join(near, "id", "left").select(d.alias("d"))
+    return all_.agg(F.count("*").alias("n"), F.avg((F.col("d") <= 2).cast("double")).alias("at2"), F.avg((F.col("d") <= 4).cast("double")).alias("at4"), F.avg("d").alias("mean"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d DESC)").alias("median"))
+
+
+def cluster_offsets(cells: DataFrame, cluster: list[str]) -> DataFrame:
+    """(a, b, clusters, offs): mean difference of two meshes' values over the clusters that both reach.
+
+    ``cells`` are (cluster, mesh, value); a mesh counts once in a cluster, so pairs grow with meshes, not with cells.
+    """
+    means = cells.groupBy(*cluster, "mesh").agg(F.avg("value").alias("m"))
+    one, two = (means.select(*cluster, F.col("mesh").alias(n), F.col("m").alias(f"m{n}")) for n in ("a", "b"))
+    return one.join(two, cluster).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("clusters"), F.avg(F.col("mb") - F.col("ma")).alias("offs"))
+
+
 def axis_segments(axis: DataFrame) -> DataFrame:
     """Control points (z, y, x) to half-open segments with their next point; the axis is small, and its last is open."""
     order = Window.orderBy("z")

@@ -83,6 +83,11 @@ def grown_sql(sql: str) -> str:
         ("l_orderkey%16 z", f"l_orderkey//{KEYS_A_SLICE} z"),
         ("range(16) a(i)", f"(SELECT unnest(range({_LAST}+1)) i) a"),
         ("z BETWEEN 0 AND 15", f"z BETWEEN 0 AND {_LAST}"),
+        ("z+dz,0),15)", f"z+dz,0),{_LAST})"),
+        ("least(greatest(zz+t,0),15)", f"least(greatest(zz+t,0),{_LAST})"),
+        ("+k,15)", f"+k,{_LAST})"),
+        ("+i,15)", f"+i,{_LAST})"),
+        ("least(z,15)", f"least(z,{_LAST})"),
         ("z IN (0,15)", f"z IN (0,{_LAST})"),
         ("z%4 b", "z//4 b"),
         ("//2+1],6) base", "//2+1],9) base"),
