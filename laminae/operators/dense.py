@@ -10,13 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from laminae.session import settled
+
 KEY = ["z", "y", "x"]
 
 
-def on_chunks(vox: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], outputs: list[str], side: int, halo: int, shape: tuple[int, int, int]) -> DataFrame:
+def on_chunks(vox: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]], outputs: list[str], side: int, halo: int, shape: tuple[int, int, int], mirrored: bool = True) -> DataFrame:
     """Applies ``work`` to dense blocks of ``side`` and a halo, reflected at the volume's ends; returns present voxels.
 
-    ``work`` maps a block to named arrays of its shape. Missing voxels are 0 inside a block.
+    ``work`` maps a block to named arrays of its shape. Missing voxels are 0 inside a block. Blocks that are not
+    ``mirrored`` stop where the volume stops, for work that has a rule of its own there.
     """
     dealt = vox.select(*KEY, F.col("v").cast("double").alias("v"))
     for a in KEY:
@@ -34,11 +37,13 @@ def on_chunks(vox: DataFrame, work: Callable[[np.ndarray], dict[str, np.ndarray]
         block[tuple(at)] = group["v"].to_numpy()
         before = [halo - (c - b) for c, b in zip(corner, low)]
         after = [halo - (h - min(n, c + side)) for h, n, c in zip(high, shape, corner)]
-        padded = np.pad(block, list(zip(before, after)), mode="symmetric")
-        out = work(padded)
+        if mirrored:
+            low = [b - n for b, n in zip(low, before)]
+            block = np.pad(block, list(zip(before, after)), mode="symmetric")
+        out = work(block)
         core = np.logical_and.reduce([(group[a] >= c) & (group[a] < c + side) for a, c in zip(KEY, corner)])
         inside = group[core]
-        place = tuple(inside[a].to_numpy() - c + halo for a, c in zip(KEY, corner))
+        place = tuple(inside[a].to_numpy() - b for a, b in zip(KEY, low))
         return pd.DataFrame({**{a: inside[a] for a in KEY}, **{name: out[name][place] for name in outputs}})
 
     schema = ", ".join(f"{a} long" for a in KEY) + ", " + ", ".join(f"{name} double" for name in outputs)
@@ -88,36 +93,109 @@ def structure_tensor(vox: DataFrame, sigma: float, side: int, shape) -> DataFram
     return on_chunks(vox, work, ["sheetness", "nz", "ny", "nx"], side, halo, shape)
 
 
-def hessian_plateness(vox: DataFrame, sigma: float, side: int, shape) -> DataFrame:
-    """(z, y, x, plate): share of the strongest curvature that the other two do not have, where it is a ridge."""
+def _second_differences(u: np.ndarray) -> np.ndarray:
+    """Hessians from differences over one voxel either side; zero on the block's own faces."""
+    out = np.zeros((*u.shape, 3, 3))
+    inner = tuple(slice(1, n - 1) for n in u.shape)
+
+    def at(**steps: int) -> np.ndarray:
+        return u[tuple(slice(1 + steps.get(a, 0), n - 1 + steps.get(a, 0)) for a, n in zip(KEY, u.shape))]
+
+    for i, a in enumerate(KEY):
+        out[(*inner, i, i)] = at(**{a: 1}) - 2 * at() + at(**{a: -1})
+        for j, b in enumerate(KEY[:i]):
+            out[(*inner, i, j)] = out[(*inner, j, i)] = (at(**{a: 1, b: 1}) - at(**{a: 1, b: -1}) - at(**{a: -1, b: 1}) + at(**{a: -1, b: -1})) / 4
+    return out
+
+
+def plate_terms(block: np.ndarray, sigma: float) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio of the second to the largest curvature, strength of all) of a blurred block; strength is 0 off bright plates."""
+    values = np.linalg.eigvalsh(_second_differences(blur(block, sigma)) * sigma * sigma)
+    values = np.take_along_axis(values, np.argsort(np.abs(values), -1), -1)
+    strength = np.sqrt((values**2).sum(-1))
+    return np.abs(values[..., 1]) / (np.abs(values[..., 2]) + 1e-9), np.where(values[..., 2] < 0, strength, -strength)
+
+
+def hessian_plateness(vox: DataFrame, sigmas: list[float], side: int, shape, alpha: float = 0.5) -> DataFrame:
+    """(z, y, x, plate): over scales, the most of exp(-ratio^2 / 2 alpha^2) (1 - exp(-strength^2 / 2 c^2)) on bright sheets.
+
+    c is half the largest strength of the whole volume at that scale, so a first aggregate settles it; voxels on the
+    volume's faces have no second differences and get 0.
+    """
+    names = [f"{n}{k}" for k in range(len(sigmas)) for n in ("ratio", "strength")]
 
     def work(block):
-        smooth = blur(block, sigma)
-        first = np.gradient(smooth)
-        second = np.stack([np.stack(np.gradient(g), -1) for g in first], -2)
-        values = np.linalg.eigvalsh((second + np.swapaxes(second, -1, -2)) / 2)
-        strong = -values[..., 0]
-        rest = np.abs(values[..., 1:]).max(-1)
-        return {"plate": np.where(strong > 0, np.clip(1 - rest / (strong + 1e-9), 0, 1), 0.0)}
+        return dict(zip(names, (x for s in sigmas for x in plate_terms(block, s))))
+
+    halo = max(len(gaussian_weights(s)) // 2 for s in sigmas) + 1
+    terms = settled(on_chunks(vox, work, names, side, halo, shape))
+    inside = F.lit(True)
+    for a, n in zip(KEY, shape, strict=True):
+        inside = inside & (F.col(a) > 0) & (F.col(a) < n - 1)
+    top = terms.filter(inside).agg(*(F.greatest(F.max(F.abs(f"strength{k}")), F.lit(1e-9)).alias(f"top{k}") for k in range(len(sigmas))))
+    plates = []
+    for k in range(len(sigmas)):
+        ratio, strength, c = F.col(f"ratio{k}"), F.col(f"strength{k}"), 0.5 * F.col(f"top{k}")
+        value = F.exp(-ratio * ratio / (2 * alpha * alpha)) * (1 - F.exp(-strength * strength / (2 * c * c)))
+        plates.append(F.when(inside & (strength > 0), value).otherwise(0.0))
+    return terms.crossJoin(F.broadcast(top)).select(*KEY, F.greatest(*plates, F.lit(0.0)).alias("plate"))
+
+
+def _clamped_gradient(u: np.ndarray) -> list[np.ndarray]:
+    """Half central differences; beyond the block a neighbour is the voxel itself."""
+    out = []
+    for axis in range(3):
+        wide = np.pad(u, [(1, 1) if k == axis else (0, 0) for k in range(3)], mode="edge")
+        out.append((np.take(wide, range(2, wide.shape[axis]), axis) - np.take(wide, range(wide.shape[axis] - 2), axis)) / 2)
+    return out
+
+
+def along_sheets(block: np.ndarray, steps: int, rate: float, sigma_grad: float, sigma_tensor: float, floor: float) -> np.ndarray:
+    """Diffusion of a block by a tensor that is ``floor`` across its sheets and grows with sheetness along them."""
+    grads = _clamped_gradient(blur(block, sigma_grad))
+    tensor = np.stack([np.stack([blur(a * b, sigma_tensor) for b in grads], -1) for a in grads], -2)
+    values, vectors = np.linalg.eigh(tensor)
+    sheet = np.clip((values[..., 2] - values[..., 1]) / (values[..., 2] + 1e-9), 0, 1)
+    normal = [vectors[..., k, 2] for k in range(3)]
+    along = floor + (1 - floor) * sheet
+    for _ in range(steps):
+        grads = _clamped_gradient(block)
+        across = sum(n * g for n, g in zip(normal, grads))
+        flux = [along * g - (along - floor) * across * n for g, n in zip(grads, normal)]
+        block = block + rate * sum(_clamped_gradient(f)[axis] for axis, f in enumerate(flux))
+    return block
 
-    halo = len(gaussian_weights(sigma)) // 2 + 3
-    return on_chunks(vox, work, ["plate"], side, halo, shape)
 
+def coherence_diffusion(vox: DataFrame, steps: int, rate: float, side: int, shape, sigma_grad: float = 0.5, sigma_tensor: float = 1.0, floor: float = 0.05) -> DataFrame:
+    """(z, y, x, v): explicit diffusion along sheets, whose directions are those of the first volume.
 
-def diffuse(vox: DataFrame, steps: int, rate: float, side: int, shape) -> DataFrame:
-    """(z, y, x, v): explicit edge-stopping diffusion, stable for rates up to 1/6; the halo covers all steps."""
+    The rate is limited to 1/6, where explicit steps are stable. A step reaches two voxels, and the halo covers all.
+    """
+    rate = min(rate, 1 / 6)
+    halo = 2 * steps + 1 + len(gaussian_weights(sigma_grad)) // 2 + len(gaussian_weights(sigma_tensor)) // 2
 
     def work(block):
-        for _ in range(steps):
-            moved = np.zeros_like(block)
-            for axis in range(3):
-                flow = np.diff(block, axis=axis)
-                flow = flow / (1 + (flow / 10.0) ** 2)
-                moved += np.pad(flow, [(0, 1) if k == axis else (0, 0) for k in range(3)]) - np.pad(flow, [(1, 0) if k == axis else (0, 0) for k in range(3)])
-            block = block + rate * moved
-        return {"v": block}
+        return {"v": along_sheets(block, steps, rate, sigma_grad, sigma_tensor, floor)}
+
+    return on_chunks(vox, work, ["v"], side, halo, shape, mirrored=False)
+
 
-    return on_chunks(vox, work, ["v"], side, steps + 1, shape)
+def _envelope(at: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Least (at - p)^2 + d[p] for every place of a sorted line: the lower envelope of parabolas, in one pass each way."""
+    seeds = np.flatnonzero(np.isfinite(d))
+    hull, since = [int(seeds[0])], [-np.inf]
+    for p in seeds[1:].tolist():
+        while True:
+            q = hull[-1]
+            meet = ((d[p] + at[p] ** 2) - (d[q] + at[q] ** 2)) / (2 * (at[p] - at[q]))
+            if meet > since[-1]:
+                break
+            hull.pop()
+            since.pop()
+        hull.append(p)
+        since.append(meet)
+    own = np.array(hull)[np.searchsorted(np.array(since), at, "right") - 1]
+    return (at - at[own]) ** 2 + d[own]
 
 
 def distance_squared(seeds: DataFrame, grid: DataFrame) -> DataFrame:
@@ -127,12 +205,10 @@ def distance_squared(seeds: DataFrame, grid: DataFrame) -> DataFrame:
     """
     def along(axis: str):
         def line(group: pd.DataFrame) -> pd.DataFrame:
-            at = group[axis].to_numpy()
-            d = group["d2"].to_numpy(dtype=float, na_value=np.inf)
-            from_seed = np.isfinite(d)
-            group = group.copy()
-            if from_seed.any():
-                group["d2"] = ((at[:, None] - at[from_seed][None, :]) ** 2 + d[from_seed][None, :]).min(1)
+            group = group.sort_values(axis)
+            at, d = group[axis].to_numpy(), group["d2"].to_numpy(dtype=float, na_value=np.inf)
+            if np.isfinite(d).any():
+                group["d2"] = _envelope(at, d)
             return group[[*KEY, "d2"]]
 
         return line

@@ -636,17 +636,24 @@ def structure_tensor(t):
 
 @query()
 def hessian(t):
-    return dense.hessian_plateness(t.ct(), 1.0, 8, t.shape)
+    return dense.hessian_plateness(t.ct(), [1.0, 2.0], 8, t.shape)
 
 
 @query()
 def ced(t):
-    return dense.diffuse(t.ct(), 3, 0.1, 8, t.shape)
+    return dense.coherence_diffusion(t.ct(), 3, 0.12, 8, t.shape)
 
 
-@query()
+def _blurred(name: str, source: str, axis: str, last: int) -> str:
+    at = f"g.{axis}+d"
+    mirror = f"CASE WHEN {at}<0 THEN -({at})-1 WHEN {at}>{last} THEN 2*{last}+1-({at}) ELSE {at} END"
+    rest = " AND ".join(f"s.{a}=g.{a}" for a in KEY if a != axis)
+    return f"{name} AS (SELECT g.z,g.y,g.x,sum(k.w*coalesce(s.v,0)) v FROM grid g CROSS JOIN k LEFT JOIN {source} s ON {rest} AND s.{axis}={mirror} GROUP BY 1,2,3)"
+
+
+@query(f"WITH t AS (SELECT unnest([-3,-2,-1,0,1,2,3]) d), k AS (SELECT d,exp(-0.5::DOUBLE*d*d)/(SELECT sum(exp(-0.5::DOUBLE*d*d)) FROM t) w FROM t), {_blurred('a', 'ct', 'z', 15)}, {_blurred('b', 'a', 'y', 31)}, {_blurred('c', 'b', 'x', 31)} SELECT ct.z,ct.y,ct.x,round(c.v,6) v FROM ct JOIN c USING (z,y,x)", "ct", "grid")
 def gaussian_blur(t):
-    return dense.gaussian_blur(t.ct(), 1.0, 8, t.shape)
+    return rounded(dense.gaussian_blur(t.ct(), 1.0, 8, t.shape), "v")
 
 
 @query("SELECT page_id,nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',1),'') section,TRY_CAST(nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',2),'') AS BIGINT) item FROM pages")

@@ -83,6 +83,7 @@ def grown_sql(sql: str) -> str:
         ("l_orderkey%16 z", f"l_orderkey//{KEYS_A_SLICE} z"),
         ("range(16) a(i)", f"(SELECT unnest(range({_LAST}+1)) i) a"),
         ("z BETWEEN 0 AND 15", f"z BETWEEN 0 AND {_LAST}"),
+        (">15 THEN 2*15+1-", f">{_LAST} THEN 2*{_LAST}+1-"),
         ("z+dz,0),15)", f"z+dz,0),{_LAST})"),
         ("least(greatest(zz+t,0),15)", f"least(greatest(zz+t,0),{_LAST})"),
         ("+k,15)", f"+k,{_LAST})"),

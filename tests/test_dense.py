@@ -37,6 +37,45 @@ def test_blur_does_not_see_chunks(volume, side):
     assert np.allclose(got, want)
 
 
+@pytest.mark.parametrize("side", [4, 32])
+def test_plateness_does_not_see_chunks(volume, side):
+    block, vox = volume
+    sigmas = [1.0, 1.5]
+    want = np.zeros(block.shape)
+    inner = tuple(slice(1, -1) for _ in range(3))
+    for sigma in sigmas:
+        half = 6
+        ratio, strength = (x[half:-half, half:-half, half:-half] for x in dense.plate_terms(np.pad(block, half, mode="symmetric"), sigma))
+        c = 0.5 * np.abs(strength[inner]).max()
+        plate = np.where(strength > 0, np.exp(-(ratio**2) / 0.5) * (1 - np.exp(-(strength**2) / (2 * c * c))), 0)
+        want[inner] = np.maximum(want, plate)[inner]
+    got = as_block(dense.hessian_plateness(vox, sigmas, side, block.shape), block.shape, "plate")
+    assert np.allclose(got, want) and want.max() > 0.1
+
+
+def test_plateness_of_a_bright_sheet(spark):
+    none = spark.createDataFrame([], "z long, y long, x long")
+    vox = graph.background(none, (12, 12, 12)).withColumn("v", F.when(F.col("x") == 6, 100.0).otherwise(0.0))
+    got = as_block(dense.hessian_plateness(vox, [1.0], 6, (12, 12, 12)), (12, 12, 12), "plate")
+    assert got[5, 5, 6] > 0.8 and got[5, 5, 9] < 0.05 and got[0].max() == 0
+
+
+@pytest.mark.parametrize("side", [5, 32])
+def test_coherence_diffusion_does_not_see_chunks(volume, side):
+    block, vox = volume
+    want = dense.along_sheets(block, 2, 0.12, 0.5, 1.0, 0.05)
+    got = as_block(dense.coherence_diffusion(vox, 2, 0.12, side, block.shape), block.shape)
+    assert np.allclose(got, want)
+
+
+def test_coherence_diffusion_smooths_along_sheets(spark):
+    rng = np.random.default_rng(2)
+    block = (np.arange(16) % 8 < 4)[None, None, :] * 100.0 + rng.normal(0, 5, (10, 10, 16))
+    rows = [(int(z), int(y), int(x), float(v)) for (z, y, x), v in np.ndenumerate(block)]
+    got = as_block(dense.coherence_diffusion(spark.createDataFrame(rows, "z long, y long, x long, v double"), 6, 0.12, 16, block.shape), block.shape)
+    assert got[..., 5].std() < 0.8 * block[..., 5].std() and got[..., 2].mean() - got[..., 5].mean() > 80
+
+
 def test_structure_tensor_of_sheets(spark):
     vox = graph.background(spark.createDataFrame([], "z long, y long, x long"), (8, 8, 16)).withColumn("v", (F.col("x") % 8 < 4).cast("int") * 100)
     rows = dense.structure_tensor(vox, 1.0, 8, (8, 8, 16)).filter("x = 8 and z = 4").collect()
