@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminae.operators.stencil import AROUND, FACES, KEY, euler, shifted
-from laminae.session import settled
+from laminae.session import running_sums, settled
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,8 +44,8 @@ def voxel_components(mask: DataFrame, shape: tuple[int, int, int], full: bool =
 
 def compact(labels: DataFrame) -> DataFrame:
     """Labels as 1, 2, ... in order of first occurrence; the distinct labels are ranked, not the voxels."""
-    ids = labels.select("label").distinct().withColumn("compact", F.row_number().over(Window.orderBy("label")))
-    return labels.join(ids, "label").select(*KEY, F.col("compact").alias("label"))
+    ids = running_sums(labels.select("label").distinct().withColumn("one", F.lit(1).cast("long")), ["label"], ["one"])[0]
+    return labels.join(ids, "label").select(*KEY, F.col("one_upto").cast("int").alias("label"))
 
 
 def remove_small(labels: DataFrame, least: int) -> DataFrame:

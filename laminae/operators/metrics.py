@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laminae.operators.stencil import FACES, shifted
 from laminae.operators.voxel import KEY
+from laminae.session import running_sums
 
 
 def _share(top, bottom, empty: float = 1.0):
@@ -71,18 +72,16 @@ def soft_overlap(p, y, smooth: float = 1.0):
     return (2 * F.sum(p * y) + smooth) / (F.sum(p * p) + F.sum(y * y) + smooth)
 
 
-def ranking(scores: DataFrame, bins: int = 1000) -> DataFrame:
-    """One row (auprc, max_dice) from (p, y, id).
+def ranking(scores: DataFrame) -> DataFrame:
+    """One row (auprc, max_dice) from (p, y, id): scores that tie enter together.
 
-    Scores have ``bins`` levels at most, so precision and recall come from a running sum over levels, not over rows.
-    Ties enter together.
+    Precision and recall come from running sums over distinct scores, in ranges of scores.
     """
-    levels = scores.groupBy("p").agg(F.sum("y").alias("tp"), F.count("*").alias("n"))
-    run = Window.orderBy(F.desc("p"))
-    curve = levels.select("p", F.sum("tp").over(run).alias("tp"), F.sum("n").over(run).alias("n"), F.sum("tp").over(Window.partitionBy()).alias("all"))
-    curve = curve.select((F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("all")).alias("recall"), (2 * F.col("tp") / (F.col("n") + F.col("all"))).alias("dice"), "p")
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(run), F.lit(0.0))
-    return curve.select((gain * F.col("precision")).alias("area"), "dice").agg(F.sum("area").alias("auprc"), F.max("dice").alias("max_dice"))
+    levels = scores.groupBy("p").agg(F.sum("y").cast("double").alias("tp"), F.count("*").cast("double").alias("n"))
+    run, total = running_sums(levels, [F.desc("p")], ["tp", "n"])
+    every = F.lit(total["tp"] or None).cast("double")
+    curve = run.select((F.col("tp") / every * F.col("tp_upto") / F.col("n_upto")).alias("area"), (2 * F.col("tp_upto") / (F.col("n_upto") + every)).alias("dice"))
+    return curve.agg(F.sum("area").alias("auprc"), F.max("dice").alias("max_dice"))
 
 
 def calibration_error(scores: DataFrame, bins: int = 15) -> DataFrame:

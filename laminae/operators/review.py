@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from laminae.functions.numeric import ladder, upper_median, wrap_difference
+from laminae.session import running_sums
 
 #: Limits of the health verdict (bad, suspect), by measure.
 HEALTH_LIMITS = {"fold_detj": (0.05, 0.02), "self_intersect": (0.10, 0.05), "frac_long": (0.08, 0.03), "holes": (100, 20), "edge_cv": (0.5, 0.2)}
@@ -89,9 +90,9 @@ def pair_counts(lines: DataFrame) -> DataFrame:
 def spacing(gaps: DataFrame) -> DataFrame:
     """One row (n, spacing): upper median over patches of the least absolute gap of (patch, gap)."""
     least = gaps.groupBy("patch").agg(F.min(F.abs("gap")).alias("g"))
-    counts = least.groupBy("g").agg(F.count("*").alias("k"))  # a histogram, so the median sees distinct gaps alone
-    run = counts.withColumn("upto", F.sum("k").over(Window.orderBy("g"))).withColumn("n", F.sum("k").over(Window.partitionBy()))
-    return run.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.first("n").alias("n"), F.min("g").alias("spacing"))
+    run, total = running_sums(least.groupBy("g").agg(F.count("*").alias("k")), ["g"], ["k"])
+    n = total["k"]
+    return run.filter(F.col("k_upto") > n // 2).agg(F.lit(n).cast("long").alias("n"), F.min("g").alias("spacing"))
 
 
 def holdout(residuals: DataFrame, tolerance: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laminae.functions.numeric import clamp
+from laminae.session import running_sums
 
 KEY = ["z", "y", "x"]
 
@@ -34,15 +35,15 @@ def min_max(vox: DataFrame) -> DataFrame:
 
 
 def histogram(vox: DataFrame, col: str = "v") -> DataFrame:
-    """(value, n): one row a distinct value, few for integer voxels, so what follows may sort them in one task."""
+    """(value, n): one row a distinct value."""
     return vox.groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
 
 
 def indexed_percentile(hist: DataFrame, p: float) -> DataFrame:
     """One row (q): element trunc(p n), at most n - 1, of all sorted values, from their histogram."""
-    run = hist.withColumn("upto", F.sum("n").over(Window.orderBy("value"))).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    index = F.least((F.lit(p) * F.col("total")).cast("bigint"), F.col("total") - 1)
-    return run.filter(F.col("upto") > index).agg(F.min("value").alias("q"))
+    run, total = running_sums(hist, ["value"], ["n"])
+    index = min(int(p * total["n"]), total["n"] - 1)
+    return run.filter(F.col("n_upto") > index).agg(F.min("value").alias("q"))
 
 
 def percentile_normalize(vox: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:

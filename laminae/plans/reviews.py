@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laminae.operators import filters, frames, mesh, metrics, review, spatial, stencil
+from laminae.operators import filters, frames, mesh, metrics, patches, review, spatial, stencil
 from laminae.plans.catalog import _CELLS, _cells, _wound, query, rounded
 
 KEY = ["z", "y", "x"]
@@ -366,3 +366,11 @@ def soft_dice(t):
     y, p = (F.col("l_returnflag") == "R").cast("int"), F.col("l_discount") * 5
     by = t.lineitem.groupBy(F.floor(F.col("l_orderkey") / 256).alias("s"))
     return rounded(by.agg(F.count("*").alias("n"), F.sum(y * p).alias("hit"), metrics.soft_overlap(p, y).alias("soft")), "hit", "soft")
+
+
+@query("SELECT s_suppkey id,s_suppkey//3-min(s_suppkey//3) OVER (PARTITION BY s_suppkey//10) winding FROM supplier")
+def integer_windings(t):
+    key = F.col("s_suppkey")
+    edges = t.supplier.select(key.alias("a"), (key + 1).alias("b")).filter("a % 10 <> 9").join(t.supplier.select(key.alias("b")), "b", "left_semi")
+    steps = edges.select("a", "b", (F.floor(F.col("b") / 3) - F.floor(F.col("a") / 3)).alias("dwrap"), (0.5 + F.col("a") % 5 / 10.0).alias("certainty"))
+    return patches.integer_windings(t.supplier.select(key.alias("id")), steps)

@@ -93,7 +93,7 @@ def test_distances(spark):
 def test_windings_of_a_chain(spark):
     nodes = spark.range(5)
     edges = spark.createDataFrame([(k, k + 1, 1, 1.0) for k in range(4)], "a long, b long, dwrap long, certainty double")
-    w = {r.id: r.winding for r in patches.integer_windings(nodes, edges, 120).collect()}
+    w = {r.id: r.winding for r in patches.integer_windings(nodes, edges).collect()}
     assert [w[k + 1] - w[k] for k in range(4)] == [1, 1, 1, 1]
 
 
