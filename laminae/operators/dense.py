@@ -217,3 +217,37 @@ def distance_squared(seeds: DataFrame, grid: DataFrame) -> DataFrame:
     for axis in ("x", "y", "z"):
         marked = marked.groupBy(*(a for a in KEY if a != axis)).applyInPandas(along(axis), "z long, y long, x long, d2 double")
     return marked.withColumn("d2", F.when(F.isnan("d2"), None).otherwise(F.col("d2")))
+
+
+def drawn(number, salt: int, n: int):
+    """Column: the place below ``n`` that sample ``number`` draws: one step of a linear generator, so that every worker,
+    however many there are, draws the same for the same sample."""
+    return F.floor((number * 1103515245 + salt) % (1 << 31) / 65536) % n
+
+
+def block_shift(a: np.ndarray, b: np.ndarray) -> tuple[list[int], float]:
+    """(signed shift that moves ``a`` onto ``b``, confidence) from the peak of their phase correlation."""
+    cross = np.fft.fftn(b) * np.conj(np.fft.fftn(a))
+    size = np.abs(cross)
+    live = size > 1e-9 * max(size.max(), 1e-30)
+    peak = np.fft.ifftn(np.where(live, cross / np.where(live, size, 1), 0)).real
+    at = np.unravel_index(int(peak.argmax()), peak.shape)
+    return [int(k) if k <= n // 2 else int(k) - n for k, n in zip(at, peak.shape)], float(peak.max() * peak.size / max(int(live.sum()), 1))
+
+
+def phase_shifts(a: DataFrame, b: DataFrame, side: int) -> DataFrame:
+    """(cz, cy, cx, sz, sy, sx, conf): how far each chunk of ``b`` (z, y, x, v) is moved against that of ``a``.
+
+    A chunk's two blocks meet in one group of bounded size; absent voxels are 0.
+    """
+    both = a.select(*KEY, F.col("v").cast("double").alias("v"), F.lit(0).alias("of")).union(b.select(*KEY, F.col("v").cast("double"), F.lit(1)))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        key = [int(group[f"c{x}"].iloc[0]) for x in KEY]
+        blocks = np.zeros((2, side, side, side))
+        blocks[(group["of"].to_numpy(), *(group[x].to_numpy() - k * side for x, k in zip(KEY, key)))] = group["v"].to_numpy()
+        shift, conf = block_shift(*blocks)
+        return pd.DataFrame([[*key, *shift, conf]], columns=[*(f"c{x}" for x in KEY), *(f"s{x}" for x in KEY), "conf"])
+
+    keyed = both.select("*", *(F.floor(F.col(x) / side).alias(f"c{x}") for x in KEY))
+    return keyed.groupBy(*(f"c{x}" for x in KEY)).applyInPandas(run, "cz long, cy long, cx long, sz long, sy long, sx long, conf double")

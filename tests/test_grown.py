@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from laminae.plans import catalog, reviews  # noqa: F401 (adds queries)
+from laminae.plans import catalog, graphs, reviews  # noqa: F401 (adds queries)
 from laminae.plans.fixtures import GrownTables
 
 FOLDER = "/root/testdata/sf0.001"
