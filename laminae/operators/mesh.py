@@ -88,3 +88,14 @@ def triangle_normals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     cross = [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]
     each = out.select("mesh", F.explode(F.array("a", "b", "c")).alias("vertex"), *(c.alias(f"n{x}") for c, x in zip(cross, AT, strict=True)))
     return each.groupBy("mesh", "vertex").agg(*(F.sum(f"n{x}").alias(f"n{x}") for x in AT))
+
+
+def orientation(points: DataFrame, limit: float, least: int) -> DataFrame:
+    """(mesh, n, consistency): share of a mesh's normals on the commoner side of the radial direction.
+
+    Normals nearly across it, with a cosine up to ``limit``, do not count; nor do meshes of fewer than ``least`` others.
+    """
+    dot, r2, n2 = (sum((F.col(f"{a}{x}") * F.col(f"{b}{x}") for x in AT), F.lit(0.0)) for a, b in (("", "n"), ("", ""), ("n", "n")))
+    clear = points.select("mesh", (dot / F.sqrt(r2 * n2)).alias("d")).filter(F.abs("d") > limit)
+    share = F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0))
+    return clear.groupBy("mesh").agg(F.count("*").alias("n"), F.greatest(share, 1 - share).alias("consistency")).filter(F.col("n") >= least)

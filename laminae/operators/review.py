@@ -226,3 +226,26 @@ def affine(points: DataFrame, matrix: list[list[float]]) -> DataFrame:
     at = [F.col("x"), F.col("y"), F.col("z")]
     moved = [sum((F.lit(float(m)) * c for m, c in zip(row, at)), F.lit(float(row[3]))) for row in matrix]
     return points.withColumns(dict(zip(("x", "y", "z"), moved, strict=True)))
+
+
+def reconciled(rows: DataFrame, key: str, limit: float, strong: float, scale: float) -> DataFrame:
+    """(key, v, conf) from (key, v, c): weighted mean, and mean confidence that fades with the weighted deviation.
+
+    Where sources of at least ``strong`` confidence, two or more, differ by more than ``limit``, it is 0.
+    """
+    mean = F.sum(F.col("c") * F.col("v")) / F.sum("c")
+    spread = F.sqrt(F.greatest(F.sum(F.col("c") * F.col("v") * F.col("v")) / F.sum("c") - mean * mean, F.lit(0.0)))
+    by = rows.groupBy(key).agg(mean.alias("v"), spread.alias("_s"), F.avg("c").alias("_c"), F.sum((F.col("c") >= strong).cast("int")).alias("_n"))
+    conf = F.when((F.col("_s") > limit) & (F.col("_n") >= 2), 0.0).otherwise(F.col("_c") * F.exp(-F.col("_s") / scale))
+    return by.select(key, "v", conf.alias("conf"))
+
+
+def geometric_consensus(rows: DataFrame, by: list[str], floor: float) -> DataFrame:
+    """(by, v): geometric mean of v, each raised by ``floor``, which is taken off again."""
+    return rows.groupBy(*by).agg((F.exp(F.avg(F.ln(F.col("v") + floor))) - floor).alias("v"))
+
+
+def least_median(rows: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """(key, name, median): of each key's names, that with the least upper median; ties go to the first name."""
+    medians = rows.groupBy(key, name).agg(upper_median(value).alias("median"))
+    return medians.groupBy(key).agg(F.min(F.struct("median", name)).alias("_m")).select(key, f"_m.{name}", "_m.median")

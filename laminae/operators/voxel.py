@@ -137,3 +137,27 @@ def union_by_precedence(*masks: DataFrame) -> DataFrame:
     for mask in masks[1:]:
         out = out.unionByName(mask)
     return out.groupBy(*KEY).agg(F.max("label").alias("label"))
+
+
+def composite(vox: DataFrame, absorb: float) -> DataFrame:
+    """(y, x, mean, most, least, beer): what rays along z see, the last by absorption of ``absorb`` a unit of v."""
+    return vox.groupBy("y", "x").agg(F.avg("v").alias("mean"), F.max("v").alias("most"), F.min("v").alias("least"), (1 - F.exp(-absorb * F.sum("v"))).alias("beer"))
+
+
+def with_coverage(vox: DataFrame, stored: DataFrame) -> DataFrame:
+    """(z, y, x, v, coverage): v from 0 up, and whether ``stored`` holds the voxel: ABSENT, ZERO or REAL."""
+    other = stored.select(*KEY, F.col("v").alias("_c"))
+    state = F.when(F.col("_c").isNull(), "ABSENT").when(F.col("_c") == 0, "ZERO").otherwise("REAL")
+    return vox.join(other, KEY, "left").select(*KEY, F.greatest("v", F.lit(0)).alias("v"), state.alias("coverage"))
+
+
+def tile_audit(vox: DataFrame, sides: tuple[int, int, int], limit: float, least: int) -> DataFrame:
+    """(tz, ty, tx, n, mean, miss): by tile of ``least`` voxels or more, the mean and the percentage below ``limit``."""
+    tiles = vox.groupBy(*(F.floor(F.col(a) / n).alias(f"t{a}") for a, n in zip(KEY, sides, strict=True)))
+    miss = 100.0 * F.sum((F.col("v") < limit).cast("int")) / F.count("*")
+    return tiles.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), miss.alias("miss")).filter(F.col("n") >= least)
+
+
+def seeds(vox: DataFrame, n: int) -> DataFrame:
+    """The ``n`` brightest voxels; ties go to the first in scan order."""
+    return vox.orderBy(F.desc("v"), *KEY).limit(n).select(*KEY, "v")

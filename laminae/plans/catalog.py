@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminae.functions import numeric as num
-from laminae.operators import corpus, dense, graph, mesh, metrics, patches, series, spatial, stencil, voxel, winding
+from laminae.operators import corpus, dense, graph, mesh, metrics, patches, review, series, spatial, stencil, voxel, winding
 from laminae.plans.fixtures import GrownTables, Tables, grown_sql, with_views
+from laminae.sources import texts
 from laminae.streaming import windows as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,28 +232,24 @@ def mask_difference(t):
 
 @query("SELECT y,x,round(avg(v),6) mean,max(v) most,min(v) least,round(1-exp(-0.01::DOUBLE*sum(v)),6) beer FROM ct GROUP BY 1,2", "ct")
 def composite_layers(t):
-    return rounded(t.ct().groupBy("y", "x").agg(F.avg("v").alias("mean"), F.max("v").alias("most"), F.min("v").alias("least"), (1 - F.exp(-0.01 * F.sum("v"))).alias("beer")), "mean", "beer")
+    return rounded(voxel.composite(t.ct(), 0.01), "mean", "beer")
 
 
 @query("SELECT k,round(m,6) v,round(CASE WHEN s>12 AND strong>=2 THEN 0 ELSE c*exp(-s/10) END,6) conf FROM (SELECT k,sum(c*v)/sum(c) m,sqrt(greatest(sum(c*v*v)/sum(c)-pow(sum(c*v)/sum(c),2),0)) s,avg(c) c,count(*) FILTER (c>=0.06) strong FROM (SELECT l_orderkey%500 k,l_quantity v,l_discount+0.01::DOUBLE c FROM lineitem) GROUP BY k)")
 def reconcile_conf(t):
     src = t.lineitem.select((F.col("l_orderkey") % 500).alias("k"), F.col("l_quantity").alias("v"), (F.col("l_discount") + 0.01).alias("c"))
-    mean = F.sum(F.expr("c * v")) / F.sum("c")
-    spread = F.sqrt(F.greatest(F.sum(F.expr("c * v * v")) / F.sum("c") - mean * mean, F.lit(0.0)))
-    by = src.groupBy("k").agg(mean.alias("v"), spread.alias("s"), F.avg("c").alias("c"), F.sum((F.col("c") >= 0.06).cast("int")).alias("strong"))
-    return rounded(by.select("k", "v", F.when((F.col("s") > 12) & (F.col("strong") >= 2), 0.0).otherwise(F.col("c") * F.exp(-F.col("s") / 10)).alias("conf")), "v", "conf")
+    return rounded(review.reconciled(src, "k", 12.0, 0.06, 10.0), "v", "conf")
 
 
 @query("SELECT z,y,round(exp(avg(ln(v/50.0::DOUBLE+0.001)))-0.001,6) v FROM ct GROUP BY 1,2", "ct")
 def consensus_geomean(t):
-    return rounded(t.ct().groupBy("z", "y").agg((F.exp(F.avg(F.ln(F.col("v") / 50.0 + 0.001))) - 0.001).alias("v")), "v")
+    return rounded(review.geometric_consensus(t.ct().withColumn("v", F.col("v") / 50.0), ["z", "y"], 0.001), "v")
 
 
 @query("SELECT p.z,p.y,p.x,greatest(p.v,0) v,CASE WHEN c.v IS NULL THEN 'ABSENT' WHEN c.v=0 THEN 'ZERO' ELSE 'REAL' END coverage FROM ct p LEFT JOIN (SELECT z,y,x,CASE WHEN v>30 THEN 0 ELSE v END v FROM gt WHERE v>10) c USING (z,y,x)", "ct", "gt")
 def coverage_states(t):
-    other = t.gt().filter("v > 10").select(*KEY, F.when(F.col("v") > 30, 0).otherwise(F.col("v")).alias("c"))
-    state = F.when(F.col("c").isNull(), "ABSENT").when(F.col("c") == 0, "ZERO").otherwise("REAL")
-    return t.ct().join(other, KEY, "left").select(*KEY, F.greatest("v", F.lit(0)).alias("v"), state.alias("coverage"))
+    stored = t.gt().filter("v > 10").select(*KEY, F.when(F.col("v") > 30, 0).otherwise(F.col("v")).alias("v"))
+    return voxel.with_coverage(t.ct(), stored)
 
 
 # order and windows
@@ -311,19 +308,18 @@ def first_owner(t):
 
 @query("SELECT k,mesh,round(med,6) med FROM (SELECT l_suppkey k,l_returnflag mesh,list_sort(list(l_extendedprice))[count(*)//2+1] med FROM lineitem GROUP BY 1,2) QUALIFY row_number() OVER (PARTITION BY k ORDER BY med,mesh)=1")
 def best_mesh(t):
-    medians = t.lineitem.groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("mesh")).agg(num.upper_median("l_extendedprice").alias("med"))
-    return rounded(medians.groupBy("k").agg(F.min(F.struct("med", "mesh")).alias("m")).select("k", "m.mesh", "m.med"), "med")
+    rows = t.lineitem.select(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("mesh"), F.col("l_extendedprice").alias("d"))
+    return rounded(review.least_median(rows, "k", "mesh", "d").withColumnRenamed("median", "med"), "med")
 
 
 @query("SELECT z,y,x,v FROM ct ORDER BY v DESC,z,y,x LIMIT 50", "ct")
 def topk_seeds(t):
-    return t.ct().orderBy(F.desc("v"), *KEY).limit(50).select(*KEY, "v")
+    return voxel.seeds(t.ct(), 50)
 
 
 @query("SELECT z//4 tz,y//8 ty,x//8 tx,count(*) n,round(avg(v),6) mean,round(100.0::DOUBLE*count(*) FILTER (v<20)/count(*),6) miss FROM gt GROUP BY 1,2,3 HAVING count(*)>=8", "gt")
 def label_audit(t):
-    tiles = t.gt().groupBy(F.floor(F.col("z") / 4).alias("tz"), F.floor(F.col("y") / 8).alias("ty"), F.floor(F.col("x") / 8).alias("tx"))
-    stats = tiles.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), (100.0 * F.sum((F.col("v") < 20).cast("int")) / F.count("*")).alias("miss")).filter("n >= 8")
+    stats = voxel.tile_audit(t.gt(), (4, 8, 8), 20, 8)
     return rounded(stats, "mean", "miss")
 
 
@@ -515,10 +511,7 @@ def rasterize_band(t):
 
 @query("SELECT mesh,count(*) n,round(greatest(avg(CASE WHEN d>0 THEN 1.0 ELSE 0.0 END),1-avg(CASE WHEN d>0 THEN 1.0 ELSE 0.0 END)),6) consistency FROM (SELECT mesh,(z*nz+y*ny+x*nx)/sqrt((z*z+y*y+x*x)*(nz*nz+ny*ny+nx*nx)) d FROM points) WHERE abs(d)>0.2 GROUP BY 1 HAVING count(*)>=2", "points")
 def orientation(t):
-    dot = F.expr("(z*nz + y*ny + x*nx) / sqrt((z*z + y*y + x*x) * (nz*nz + ny*ny + nx*nx))")
-    share = F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0))
-    stats = t.points().select("mesh", dot.alias("d")).filter("abs(d) > 0.2").groupBy("mesh").agg(F.count("*").alias("n"), F.greatest(share, 1 - share).alias("consistency"))
-    return rounded(stats.filter("n >= 2"), "consistency")
+    return rounded(mesh.orientation(t.points(), 0.2, 2), "consistency")
 
 
 # windings
@@ -658,14 +651,13 @@ def gaussian_blur(t):
 
 @query("SELECT page_id,nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',1),'') section,TRY_CAST(nullif(regexp_extract(url,'/([a-z]+)/([0-9]+)',2),'') AS BIGINT) item FROM pages")
 def url_parts(t):
-    part = lambda k: F.nullif(F.regexp_extract("url", "/([a-z]+)/([0-9]+)", k), F.lit(""))
-    return t.pages.select("page_id", part(1).alias("section"), part(2).cast("bigint").alias("item"))
+    section, item = texts.url_parts(F.col("url"))
+    return t.pages.select("page_id", section.alias("section"), item.alias("item"))
 
 
 @query("SELECT event_id,k,round(v,6) v FROM (SELECT event_id,unnest(json_keys(props)) k,TRY_CAST(json_extract_string(props,'$.'||unnest(json_keys(props))) AS DOUBLE) v FROM events) WHERE v IS NOT NULL")
 def scan_meta(t):
-    pairs = F.explode(F.from_json("props", "map<string,string>")).alias("k", "s")
-    return rounded(t.events.select("event_id", pairs).select("event_id", "k", F.expr("try_cast(s as double)").alias("v")).filter("v is not null"), "v")
+    return rounded(texts.numeric_fields(t.events, "event_id", "props"), "v")
 
 
 # corpora and selections

@@ -70,3 +70,15 @@ def json_number(text: Column | str, key: str) -> Column:
 
 def to_microns(value: Column, unit: Column) -> Column:
     return F.when(unit == "mm", value * 1000).otherwise(value)
+
+
+def url_parts(url):
+    """Columns (section, item) of URLs that end in /section/number; null where they do not."""
+    section, item = (F.nullif(F.regexp_extract(url, "/([a-z]+)/([0-9]+)", k), F.lit("")) for k in (1, 2))
+    return section, item.cast("bigint")
+
+
+def numeric_fields(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, k, v): the numbers among the fields of a flat JSON object."""
+    pairs = F.explode(F.from_json(column, "map<string,string>")).alias("k", "_s")
+    return rows.select(key, pairs).select(key, "k", F.expr("try_cast(_s as double)").alias("v")).filter("v is not null")
