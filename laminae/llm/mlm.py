@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import prepare, stored
 from .grams import Piece, pieces, word_hashes, words_of
 
-CLASSES, MEMBERS = 48, 48
+CLASSES, MEMBERS = 40, 40
 TOKENS = CLASSES * MEMBERS
-COMMON = 2048
+COMMON = 1344
 PLACES = (-2, -1, 1, 2)
-HIDDEN = 32
+HIDDEN = 24
 #: One position in so many trains, in each round another one: the rounds together train all.
 STRIDE = 3
 ROUNDS = STRIDE
@@ -39,6 +39,8 @@ CHUNK = 8192
 PIECE_TOKENS = 1 << 17
 #: Log-probabilities that a join sums are whole multiples of 1 / UNIT.
 UNIT = 10**9
+#: Scores before a softmax lie between plus and minus this.
+_LIMIT = 40.0
 _EDGE = TOKENS  # the neighbour beyond a document's end
 
 
@@ -72,39 +74,50 @@ class Network(NamedTuple):
         return cls(*out)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    return x
+def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp of scores, in place, and its sum by row); scores are limited, so that neither over- nor underflows."""
+    np.clip(x, -_LIMIT, _LIMIT, out=x)
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x, total = _exponentials(x)
+    x /= total[:, None]
     return x
 
 
+def _log_share(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at one place."""
+    chosen = np.clip(x[np.arange(len(x)), at], -_LIMIT, _LIMIT)
+    return chosen - np.log(_exponentials(x)[1])
+
+
 def hidden(net: Network, around: np.ndarray) -> np.ndarray:
-    total = net.bias + net.places[0][around[0]]
+    total = np.take(net.places[0], around[0], 0)
+    total += net.bias
     for k in range(1, len(PLACES)):
-        total += net.places[k][around[k]]
-    return np.tanh(total)
+        total += np.take(net.places[k], around[k], 0)
+    return np.tanh(total, out=total)
 
 
 def log_probabilities(net: Network, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
-    """log P(token | neighbours) of each position."""
+    """log P(token | neighbours) of each position, a batch at a time."""
+    parts = [slice(at, at + BATCH) for at in range(0, len(tokens), BATCH)]
+    return np.concatenate([_log_probabilities(net, tokens[part], around[:, part]) for part in parts]) if parts else np.zeros(0)
+
+
+def _log_probabilities(net: Network, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     order = np.argsort(tokens // MEMBERS, kind="stable")
     tokens = tokens[order]
     state = hidden(net, around[:, order])
     group, member = np.divmod(tokens, MEMBERS)
-    rows = np.arange(len(tokens))
-    out = _log_softmax(state @ net.classes + net.class_bias)[rows, group]
+    out = _log_share(state @ net.classes + net.class_bias, group)
     cuts = np.searchsorted(group, np.arange(CLASSES + 1))
     for c in range(CLASSES):
         lo, hi = cuts[c], cuts[c + 1]
         if hi > lo:
-            out[lo:hi] += _log_softmax(state[lo:hi] @ net.members[c] + net.member_bias[c])[np.arange(hi - lo), member[lo:hi]]
+            out[lo:hi] += _log_share(state[lo:hi] @ net.members[c] + net.member_bias[c], member[lo:hi])
     back = np.empty(len(tokens), np.float64)
     back[order] = out
     return back
@@ -135,14 +148,11 @@ def train_batch(net: Network, squares: Network, tokens: np.ndarray, around: np.n
     for value, square, grad in zip(net[1:], squares[1:], grads[1:], strict=True):
         square += grad * grad
         value -= RATE * grad / np.sqrt(square + 1e-8)
-    # vectors of tokens that are no neighbours here have no gradient and stay
+    columns = np.ascontiguousarray(down.T, np.float64)
     for value, square, near in zip(net.places, squares.places, around, strict=True):
-        order = np.argsort(near, kind="stable")
-        starts = np.flatnonzero(np.diff(near[order], prepend=-1))
-        rows = near[order[starts]]
-        grad = np.add.reduceat(down[order], starts)
-        square[rows] += grad * grad
-        value[rows] -= RATE * grad / np.sqrt(square[rows] + 1e-8)
+        grad = np.stack([np.bincount(near, column, TOKENS + 1) for column in columns], 1).astype(value.dtype)
+        square += grad * grad
+        value -= RATE * grad / np.sqrt(square + 1e-8)
 
 
 def shared_ids(piece: Piece, words) -> np.ndarray:

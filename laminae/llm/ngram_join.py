@@ -39,6 +39,8 @@ PIVOT_ROUNDS = 4
 PIVOTS = 64
 #: Members of a list outside its largest component that one task pairs with the whole list.
 LIST_BLOCK = 2000
+#: A list with at least one in so many postings is broadcast, so at most so many are.
+HOT_SHARE = 1000
 LONGEST_MULTI = 8
 #: Words of 64 bits in a class's signature: the parity of its shared shingles by hash.
 SIGNATURE_WORDS = 8
@@ -367,23 +369,32 @@ def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     return labels.join(merged, labels["component"] == merged["node"], "left").select("rep", F.coalesce(merged["component"], labels["component"]).alias("component")).checkpoint()
 
 
-def _outside(postings: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings with their component and their list's largest one, as a_*; lists of two components or more)."""
+def _outside(postings: DataFrame, labels: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Postings (as a_*, with their component and their list's largest one) outside that component, and those of it.
+
+    Only lists of two components or more count; the facts of lists of ``least`` postings or more are broadcast.
+    """
     tagged = postings.join(labels, "rep")
     parts = tagged.groupBy("token", "component").agg(F.count("*").alias("k"))
     heads = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("top")).filter("parts > 1")
-    heads = heads.select("token", (-F.col("top.c")).alias("largest"), F.col("top.k").alias("members"), F.ceil((F.col("all") - F.col("top.k")) / LIST_BLOCK).cast("int").alias("blocks"))
-    named = tagged.join(heads, "token").select("token", "component", "largest", "members", "blocks", *(F.col(c).alias(f"a_{c}") for c in _POSTING))
+    heads = heads.select("token", (-F.col("top.c")).alias("largest"), F.col("top.k").alias("members"), F.ceil((F.col("all") - F.col("top.k")) / LIST_BLOCK).cast("int").alias("blocks"), "all")
+    # lists of a thousandth of all postings, a thousand at most, are broadcast; their postings' key deals them out
+    facts = ("largest", "members", "blocks")
+    hot = F.broadcast(heads.filter(F.col("all") >= least).select(F.col("token").alias("_hot"), *(F.col(c).alias(f"hot_{c}") for c in facts)))
+    cold = heads.filter(F.col("all") < least).select(F.col("token").alias("_cold"), *facts)
+    seen = tagged.join(hot, tagged["token"] == hot["_hot"], "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("token")).otherwise(F.xxhash64("rep")))
+    both = seen.join(cold, (F.col("_key") == F.col("_cold")) & F.col("_hot").isNull(), "left").filter("_hot is not null or _cold is not null")
+    named = both.select("token", "component", *(F.coalesce(f"hot_{c}", c).alias(c) for c in facts), *(F.col(c).alias(f"a_{c}") for c in _POSTING))
     return named.filter("component <> largest"), named.filter("component = largest")
 
 
-def _with_pivots(postings: DataFrame, labels: DataFrame, salt: int) -> DataFrame:
+def _with_pivots(postings: DataFrame, labels: DataFrame, salt: int, least: int) -> DataFrame:
     """Postings outside their list's largest component (a_*), each with one of up to PIVOTS members of it (b_*).
 
     Pivots are the members of least hash in each of a list's shares; which share a posting asks depends on itself, so
     over its lists a class meets many members of a component, at one pair a posting.
     """
-    minor, major = _outside(postings, labels)
+    minor, major = _outside(postings, labels, least)
     shares = F.least("members", F.lit(PIVOTS))
     turn = F.struct(F.xxhash64("a_rep", F.lit(salt)).alias("turn"), *(F.col(f"a_{c}").alias(c) for c in _POSTING))
     pivots = major.groupBy("token", F.pmod(F.xxhash64("a_rep", F.lit(salt + 100)), shares).alias("share")).agg(F.min(turn).alias("pivot"))
@@ -403,15 +414,16 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ranked = tokens.join(counts, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")).filter(F.size("ranked") >= need)
     whole = stored(ranked.mapInArrow(_prefixes(percent), "rep long, n long, m long, multi int, short int, sig array<long>, reach int, tokens array<long>"), "ranked")
     postings = stored(whole.select("rep", "n", "m", "multi", "short", "sig", F.posexplode(F.slice("tokens", 1, F.col("reach"))).alias("pos", "token")), "postings")
+    least = max(2, -(-postings.count() // HOT_SHARE))
     labels = whole.select("rep", F.col("rep").alias("component")).checkpoint()
     for salt in range(PIVOT_ROUNDS):
-        met = _with_pivots(postings, labels, salt).filter(_possible(percent))
+        met = _with_pivots(postings, labels, salt, least).filter(_possible(percent))
         pairs = met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
         links = _verified(pairs, whole, percent).checkpoint()
         if links.isEmpty():
             break
         labels = _relabel(labels, links)
-    minor, major = _outside(postings, labels)
+    minor, major = _outside(postings, labels, least)
     # members of the largest component are met from the other side; two others meet once, in the order of components
     block = F.pmod(F.xxhash64("a_rep"), F.col("blocks")).cast("int")
     asking = minor.select("token", block.alias("block"), "component", *(f"a_{c}" for c in _POSTING))

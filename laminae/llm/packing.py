@@ -3,8 +3,9 @@
 A round range-sorts unplaced pieces and open gaps together, largest first. Each task sweeps its range: a piece takes
 the smallest gap that it fits (its successor among the gaps not yet taken), and what rests of the gap is a gap again
 as soon as pieces are small enough. What a range cannot settle, pieces left over and gaps left over, is settled by
-rank: the counts of each range, two numbers a task, tell which gaps of larger ranges the pieces of a smaller range take,
-the tightest first; each gap gets one piece at most. Gaps shrink, and the round repeats. When a round places nothing,
+rank: the counts and sizes of each range, a few numbers a task, tell which gaps of larger ranges the pieces of a
+smaller range take, the tightest first; a gap gets a run of as many pieces as are sure to fit. Gaps shrink, and the
+round repeats; a gap halves in a round at least, or its pieces are at an end. When a round places nothing,
 pieces of the largest sizes open sequences, as many as they fill among themselves. Rounds are the same at every size
 and end when no piece is left.
 """
@@ -19,7 +20,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
@@ -108,20 +109,26 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["what", "id", "bin", "offset", "size", "part", "rank"])
 
 
-def _by_rank(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
-    """Which left-over pieces take which left-over gaps: (part, first rank, end rank, gaps' part, first gap rank)."""
+def _by_rank(summary: dict[tuple[int, int], tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Which left-over pieces take which left-over gaps: (part, first rank, end rank, gaps' part, first gap rank, run).
+
+    ``summary``: (number, least size, largest size) by range and kind. A gap takes a run of as many pieces as surely fit.
+    """
     stack, out = [], []
-    for part in sorted({p for p, _ in counts}):
-        rank, left = 0, counts.get((part, PIECE), 0)
+    for part in sorted({p for p, _ in summary}):
+        left, _, largest = summary.get((part, PIECE), (0, 0, 0))
+        rank = 0
         while left and stack:
-            owner, used, free = stack.pop()
-            n = min(left, free)
-            out.append((part, rank, rank + n, owner, used))
+            owner, used, free, least = stack.pop()
+            run = max(1, least // largest)
+            n = min(left, free * run)
+            taken = -(-n // run)
+            out.append((part, rank, rank + n, owner, used, run))
             rank, left = rank + n, left - n
-            if free > n:
-                stack.append((owner, used + n, free - n))
-        if counts.get((part, GAP)):
-            stack.append((part, 0, counts[part, GAP]))
+            if free > taken:
+                stack.append((owner, used + taken, free - taken, least))
+        if (part, GAP) in summary:
+            stack.append((part, 0, *summary[part, GAP][:2]))
     return out
 
 
@@ -163,18 +170,22 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         order = [F.desc("size"), F.asc("kind"), F.asc("id")]
         swept = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
         placed.append(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
-        summary = {(r["part"], r["what"]): r["n"] for r in swept.groupBy("part", "what").agg(F.count("*").alias("n")).collect()}  # a row a task and kind
+        counts = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("largest")).collect()  # a row a task and kind
+        summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"]) for r in counts}
         over, open_gaps = swept.filter(f"what = {PIECE}"), swept.filter(f"what = {GAP}")
         shares = _by_rank(summary)
         left = over.select(F.col("id").alias("uid"), F.col("size").alias("length"), "part", "rank")
         gaps = swept.filter(f"what = {SHRUNK}").select(F.col("id").alias("bin"), F.col("size").alias("gap"))
         if shares:
-            taking = spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long")
-            wanted = over.join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "owner", (F.col("rank") - F.col("lo") + F.col("at")).alias("turn"))
+            taking = spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long, run long")
+            place = F.col("rank") - F.col("lo")
+            wanted = over.join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "rank", "owner", (F.floor(place / F.col("run")) + F.col("at")).alias("turn"))
             given = open_gaps.select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-            crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap")).alias("offset"), (F.col("gap") - F.col("length")).alias("rest")).checkpoint()
+            before = F.sum("length").over(Window.partitionBy("bin").orderBy("rank")) - F.col("length")
+            crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + before).alias("offset"), "gap", "length").checkpoint()
             placed.append(crossed.select("uid", "bin", "offset"))
-            gaps = gaps.union(open_gaps.join(crossed.select(F.col("bin").alias("id")), "id", "left_anti").select("id", "size")).union(crossed.filter("rest > 0").select("bin", "rest"))
+            rests = crossed.groupBy(F.col("bin").alias("id")).agg((F.first("gap") - F.sum("length")).alias("rest"))
+            gaps = gaps.union(open_gaps.join(rests, "id", "left_anti").select("id", "size")).union(rests.filter("rest > 0"))
             left = left.join(crossed.select("uid"), "uid", "left_anti")
         else:
             gaps = gaps.union(open_gaps.select("id", "size"))
