@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, stored
-from .grams import Piece, pieces, word_hashes, words_of
+from .grams import Piece, pieces, run_starts, word_hashes, words_of
 
 CLASSES, MEMBERS = 40, 40
 TOKENS = CLASSES * MEMBERS
@@ -190,23 +190,25 @@ def neighbours(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(batches):
-    total: list[np.ndarray] = []
-    shared: list[np.ndarray] = []
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def flush():
-        keys, at, counts = np.unique(np.concatenate(total), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.concatenate(shared)[at].astype(np.int32)), pa.array(counts)], ["word", "token", "n"])
+        keys, shared, counts = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(keys)
+        starts = run_starts(keys[order])
+        return pa.RecordBatch.from_arrays([pa.array(keys[order][starts].view(np.int64)), pa.array(shared[order][starts]), pa.array(np.add.reduceat(counts[order], starts))], ["word", "token", "n"])
 
     for batch in batches:
         for piece in pieces(batch, "doc_id", "text"):
             spans = words_of(piece)
-            total.append(word_hashes(piece, spans, fold_case=True))
-            shared.append(shared_ids(piece, spans).astype(np.int32))
-            size += len(total[-1])
-            if size > 3_000_000:
+            keys, at, counts = np.unique(word_hashes(piece, spans, fold_case=True), return_index=True, return_counts=True)
+            own = spans._replace(starts=spans.starts[at], ends=spans.ends[at])
+            held.append((keys, shared_ids(piece, own).astype(np.int32), counts))
+            size += len(keys)
+            if size > 2_000_000:
                 yield flush()
-                total, shared, size = [], [], 0
+                held, size = [], 0
     if size:
         yield flush()
 
@@ -361,7 +363,8 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Network, Vocabulary] | None
     scored = tokens.select("row", "doc_id", "n_tokens", "tokens").mapInArrow(_score(handle), "row long, doc_id long, n_tokens long, net double")
     found = tokens.select("row", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     # whole numbers, so that the order of the sum does not matter
-    inside = found.join(shares(counts, words), "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
+    # and the distinct words of a partition fit a hash table, so the words of all rows need no sort
+    inside = found.join(shares(counts, words).hint("shuffle_hash"), "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("inside"))
     pll = F.col("net") + F.coalesce(F.col("inside") / UNIT, F.lit(0.0))
     both = scored.join(inside, "row", "left").select("doc_id", "n_tokens", pll.alias("pll"))
     return both.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
