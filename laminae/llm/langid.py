@@ -152,7 +152,7 @@ def _predict(handle):
         model: Model | None = handle.value
         for batch in batches:
             names, odds, clear = [], [], []
-            marked = np.asarray(batch.column("letters"))
+            marked = np.asarray(pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\pL"), False))
             for piece in pieces(batch, "doc_id", "text"):
                 letters = marked[piece.first_row : piece.first_row + len(piece.ids)]
                 if model is None:
@@ -179,23 +179,18 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     spark = prepare(docs)
     model = fit(train, id_col, text_col, lang_col)
     handle = spark.sparkContext.broadcast(model)  # fixed size: FEATURES weights a bit
-    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), has_letter(text_col).alias("letters"))
+    small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return small.mapInArrow(_predict(handle), "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
-def has_letter(text_col: str):
-    """Column: the text has a letter; false for null."""
-    return F.coalesce(F.col(text_col).cast("string").rlike(r"\p{L}"), F.lit(False))
-
-
-def _keep(handle, id_col: str, text_col: str, letters: str):
+def _keep(handle, id_col: str, text_col: str):
     predict = _predict(handle)
 
     def run(batches):
         for batch in batches:
-            small = pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, text_col, letters)], ["doc_id", "text", "letters"])
+            small = pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, text_col)], ["doc_id", "text"])
             for marks in predict([small]):
-                yield batch.drop_columns([letters]).filter(pc.invert(marks.column("ambiguous")))
+                yield batch.filter(pc.invert(marks.column("ambiguous")))
 
     return run
 
@@ -208,8 +203,7 @@ def keep_identified(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", t
     """
     spark = prepare(docs)
     handle = spark.sparkContext.broadcast(fit(train, id_col, text_col, lang_col))
-    letters = f"_letters_{len(docs.columns)}"
-    return docs.withColumn(letters, has_letter(text_col)).mapInArrow(_keep(handle, id_col, text_col, letters), docs.schema)
+    return docs.mapInArrow(_keep(handle, id_col, text_col), docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
