@@ -5,7 +5,7 @@ the smallest gap that it fits (its successor among the gaps not yet taken), and
 as soon as pieces are small enough. What a range cannot settle, pieces left over and gaps left over, is settled by
 rank: the counts and sizes of each range, a few numbers a task, tell which gaps of larger ranges the pieces of a
 smaller range take, the tightest first; a gap gets a run of as many pieces as are sure to fit. Gaps shrink, and the
-round repeats; a gap halves in a round at least, or its pieces are at an end. When a round places nothing,
+round repeats; a gap halves in a round at least, or its pieces are at an end. When a round places little or nothing,
 pieces of the largest sizes open sequences, as many as they fill among themselves. Rounds are the same at every size
 and end when no piece is left.
 """
@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import zlib
 from bisect import insort
+from collections import Counter
 from heapq import heappop, heappush
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from .tokens import library_cache, vocabulary_path
 TEXT_BYTES = 1 << 20
 #: Rows that one task sweeps.
 SWEEP_ROWS = 100_000
-#: So many pieces in a sequence, and it does not matter which of them start it.
-SMALL = 8
+#: A round that places less than one in so many of the pieces it leaves also opens sequences.
+LITTLE = 20
 PLACED, PIECE, GAP, SHRUNK = range(4)
 _SWEPT = "what int, id long, bin long, offset long, size long, part int, rank long"
 
@@ -132,73 +132,65 @@ def _by_rank(summary: dict[tuple[int, int], tuple[int, int, int]]) -> list[tuple
     return out
 
 
-def _opened(left: DataFrame, capacity: int) -> DataFrame:
-    """``left`` (uid, length, part, rank) with ``opens``: whether a piece starts a sequence of its own.
+def _facts(summary: dict, shares: list[tuple], capacity: int) -> tuple[list[tuple], int]:
+    """((part, gaps taken, pieces crossed, pieces left before) of each range; every how many-th left piece opens a sequence).
 
-    If j pieces of the largest size fill a sequence, every j-th of the pieces of which no more than j fit starts one;
-    once j is SMALL, the largest start as many as the rest needs at least.
+    Takers come in the order of rank, so what is taken of a range is a prefix. Sequences are opened, if little else was
+    placed, by pieces of the largest size left: if j of them fill a sequence, by every j-th of which no more than j fit.
     """
-    counts = left.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.max("length").alias("largest")).collect()  # a row a task
-    needed, together = -(-sum(r["total"] for r in counts) // capacity), capacity // max(r["largest"] for r in counts)
-    before = dict(zip(sorted(r["part"] for r in counts), accumulate((r["n"] for r in sorted(counts, key=lambda r: r["part"])), initial=0), strict=False))
-    starts = left.sparkSession.createDataFrame(list(before.items()), "part int, before long")
-    place = F.col("rank") + F.col("before")
-    if together < SMALL:
-        opens = (place % together == 0) & (F.col("length") * (together + 1) > capacity)
-    else:
-        opens = place < needed
-    return left.join(starts, "part").withColumn("opens", opens)
+    taken, crossed = Counter(), Counter()
+    for part, lo, hi, owner, at, run in shares:
+        crossed[part] = max(crossed[part], hi)
+        taken[owner] = max(taken[owner], at - (-(hi - lo) // run))
+    rows, before, largest = [], 0, 0
+    for part in sorted({p for p, _ in summary}):
+        rows.append((part, taken[part], crossed[part], before))
+        n, _, top = summary.get((part, PIECE), (0, 0, 0))
+        if n > crossed[part]:
+            largest = max(largest, top)
+        before += n - crossed[part]
+    placed = sum(n for (_, what), (n, _, _) in summary.items() if what == PLACED) + sum(crossed.values())
+    return rows, capacity // largest if largest and placed * LITTLE <= before else 0
 
 
 def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     """(uid, bin, offset) for items (uid long, length long) with 1 <= length <= capacity; bins are named by an item."""
     spark = prepare(items)
     items = items.select("uid", "length")
-    own = items.filter(2 * F.col("length") > capacity)
-    placed = [own.select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))]
-    gaps = own.select(F.col("uid").alias("bin"), (capacity - F.col("length")).alias("gap"))
-    left = items.filter(2 * F.col("length") <= capacity)
-    while True:
-        count, least = left.agg(F.count("*"), F.min("length")).first()
-        if not count:
-            break
-        gaps = gaps.filter(F.col("gap") >= least)
-        rows = gaps.select(F.col("bin").alias("id"), F.col("gap").alias("size"), F.lit(GAP).alias("kind"))
-        ranges = -(-(count + rows.count()) // SWEEP_ROWS)
-        # equal sizes: gaps stand before pieces
-        rows = rows.union(left.select(F.col("uid"), F.col("length"), F.lit(GAP + 1)))
-        order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-        swept = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
-        placed.append(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
+    alone = 2 * F.col("length") > capacity
+    out = items.filter(alone).select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    rows = items.select(F.col("uid").alias("id"), F.when(alone, capacity - F.col("length")).otherwise(F.col("length")).alias("size"), F.when(alone, GAP).otherwise(GAP + 1).alias("kind")).filter("size > 0")
+    n = items.count()
+    # equal sizes: gaps stand before pieces
+    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
+    while n:
+        swept = rows.repartitionByRange(-(-n // SWEEP_ROWS), *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
+        out = out.union(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
         counts = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("largest")).collect()  # a row a task and kind
         summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"]) for r in counts}
-        over, open_gaps = swept.filter(f"what = {PIECE}"), swept.filter(f"what = {GAP}")
+        if not any(what == PIECE for _, what in summary):
+            break
         shares = _by_rank(summary)
-        left = over.select(F.col("id").alias("uid"), F.col("size").alias("length"), "part", "rank")
-        gaps = swept.filter(f"what = {SHRUNK}").select(F.col("id").alias("bin"), F.col("size").alias("gap"))
+        facts, together = _facts(summary, shares, capacity)
+        known = swept.filter(f"what <> {PLACED}").join(spark.createDataFrame(facts, "part int, taken long, crossed long, before long"), "part")
+        left = known.filter(f"what = {PIECE} and rank >= crossed")
+        place = F.col("rank") - F.col("crossed") + F.col("before")
+        opens = (place % max(together, 1) == 0) & (F.col("size") * (together + 1) > capacity) if together else F.lit(False)
+        fresh = left.filter(opens)
+        out = out.union(fresh.select(F.col("id").alias("uid"), F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset")))
+        rows = known.filter(f"what = {SHRUNK} or what = {GAP} and rank >= taken").select("id", "size", F.lit(GAP).alias("kind"))
+        rows = rows.union(left.filter(~opens).select("id", "size", F.lit(GAP + 1))).union(fresh.select("id", capacity - F.col("size"), F.lit(GAP)))
         if shares:
             taking = spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long, run long")
-            place = F.col("rank") - F.col("lo")
-            wanted = over.join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "rank", "owner", (F.floor(place / F.col("run")) + F.col("at")).alias("turn"))
-            given = open_gaps.select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-            before = F.sum("length").over(Window.partitionBy("bin").orderBy("rank")) - F.col("length")
-            crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + before).alias("offset"), "gap", "length").checkpoint()
-            placed.append(crossed.select("uid", "bin", "offset"))
-            rests = crossed.groupBy(F.col("bin").alias("id")).agg((F.first("gap") - F.sum("length")).alias("rest"))
-            gaps = gaps.union(open_gaps.join(rests, "id", "left_anti").select("id", "size")).union(rests.filter("rest > 0"))
-            left = left.join(crossed.select("uid"), "uid", "left_anti")
-        else:
-            gaps = gaps.union(open_gaps.select("id", "size"))
-        if not shares and not any(what == PLACED for _, what in summary):
-            ranked = _opened(left, capacity).checkpoint()
-            fresh = ranked.filter("opens")
-            placed.append(fresh.select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset")))
-            gaps = gaps.union(fresh.select("uid", capacity - F.col("length")))
-            left = ranked.filter("not opens")
-        gaps, left = gaps.checkpoint(), left.select("uid", "length").checkpoint()
-    out = placed[0]
-    for part in placed[1:]:
-        out = out.union(part)
+            turn = F.floor((F.col("rank") - F.col("lo")) / F.col("run")) + F.col("at")
+            wanted = swept.filter(f"what = {PIECE}").join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "rank", "owner", turn.alias("turn"))
+            given = swept.filter(f"what = {GAP}").select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
+            own = Window.partitionBy("owner", "turn").orderBy("rank")
+            upto = F.sum("length").over(own)
+            crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + upto - F.col("length")).alias("offset"), (F.col("gap") - upto).alias("rest"), F.lead("uid").over(own).isNull().alias("last")).checkpoint()
+            out = out.union(crossed.select("uid", "bin", "offset"))
+            rows = rows.union(crossed.filter("last and rest > 0").select("bin", "rest", F.lit(GAP)))
+        n = sum(k for (_, what), (k, _, _) in summary.items() if what != PLACED)
     return out
 
 
