@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, mlm, ngram_join, packing, quality, substring_dedup, token_files, webp
+from . import bpe, exact_dedup, langid, mlm, neighbours, ngram_join, packing, periodic, quality, resampling, substring_dedup, token_files, webp
 from .common import read_table
 
 
@@ -61,6 +61,35 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, labels, host="source", path="concat_ws('/', source, lang)")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), k=20, query="vec_id % 20 = 0")
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``, where every tenth document, by a hash of its id, repeats itself from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    g, n = F.floor(F.col("h") / 10), F.size("own")
+    from_word = F.col("g") % F.col("n")
+    period = F.lit(1) + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))
+    again = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.element_at("own", (F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")) + 1).cast("int"))), " ")
+    told = docs.select("doc_id", "text", h.alias("h")).withColumn("own", F.when(F.col("h") % 10 == 0, words)).withColumn("g", g).withColumn("n", n.cast("long"))
+    told = told.withColumn("a", F.when(F.col("n") > 0, from_word)).withColumn("p", F.when(F.col("n") > 0, period))
+    return told.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(planted(read_table(spark, sf_dir, "documents")))
+    collapsed = F.coalesce(F.sha2(F.col("collapsed").cast("binary"), 256), F.col("plain_sha256"))
+    listing = F.sha2(F.coalesce("listing", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", listing.alias("runs_sha256"), collapsed.alias("collapsed_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (read_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return resampling.resample(docs, target, percent=10, longest=1, buckets=10000, least_words=20, seed="2024")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -72,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality": op10_quality,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: DuckDB SQL where SQL has the functions; the other queries are held against brute force in tests/llm.
