@@ -5,9 +5,10 @@ the smallest gap that it fits (its successor among the gaps not yet taken), and
 as soon as pieces are small enough. What a range cannot settle, pieces left over and gaps left over, is settled by
 rank: the counts and sizes of each range, a few numbers a task, tell which gaps of larger ranges the pieces of a
 smaller range take, the tightest first; a gap gets a run of as many pieces as are sure to fit. Gaps shrink, and the
-round repeats; a gap halves in a round at least, or its pieces are at an end. When a round places little or nothing,
-pieces of the largest sizes open sequences, as many as they fill among themselves. Rounds are the same at every size
-and end when no piece is left.
+round repeats; a gap halves in a round at least, or its pieces are at an end. When it places little, pieces left
+open sequences: large ones by the number that fits, the others as many at once as their volume needs, so rounds grow
+with the logarithm of the input and not with the number of sizes. They are the same at every size of input and end when
+no piece is left.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ TEXT_BYTES = 1 << 20
 SWEEP_ROWS = 100_000
 #: A round that places less than one in so many of the pieces it leaves also opens sequences.
 LITTLE = 20
+#: Largest pieces that fill a sequence, from which on sequences are opened by volume.
+COARSE = 8
 PLACED, PIECE, GAP, SHRUNK = range(4)
 _SWEPT = "what int, id long, bin long, offset long, size long, part int, rank long"
 
@@ -109,14 +112,14 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["what", "id", "bin", "offset", "size", "part", "rank"])
 
 
-def _by_rank(summary: dict[tuple[int, int], tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+def _by_rank(summary: dict[tuple[int, int], tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
     """Which left-over pieces take which left-over gaps: (part, first rank, end rank, gaps' part, first gap rank, run).
 
-    ``summary``: (number, least size, largest size) by range and kind. A gap takes a run of as many pieces as surely fit.
+    ``summary``: (number, least size, largest size, sum of sizes) by range and kind. A gap takes a run of as many pieces as surely fit.
     """
     stack, out = [], []
     for part in sorted({p for p, _ in summary}):
-        left, _, largest = summary.get((part, PIECE), (0, 0, 0))
+        left, _, largest, _ = summary.get((part, PIECE), (0, 0, 0, 0))
         rank = 0
         while left and stack:
             owner, used, free, least = stack.pop()
@@ -132,25 +135,36 @@ def _by_rank(summary: dict[tuple[int, int], tuple[int, int, int]]) -> list[tuple
     return out
 
 
-def _facts(summary: dict, shares: list[tuple], capacity: int) -> tuple[list[tuple], int]:
-    """((part, gaps taken, pieces crossed, pieces left before) of each range; every how many-th left piece opens a sequence).
+def _facts(summary: dict, shares: list[tuple], capacity: int) -> tuple[list[tuple], int, int]:
+    """((part, gaps taken, pieces crossed, pieces left before) of each range; how many of the left pieces may open a
+    sequence; every how many-th does).
 
-    Takers come in the order of rank, so what is taken of a range is a prefix. Sequences are opened, if little else was
-    placed, by pieces of the largest size left: if j of them fill a sequence, by every j-th of which no more than j fit.
+    ``summary``: (number, least size, largest size, sum of sizes) by range and kind. Takers come in the order of rank, so
+    what is taken of a range is a prefix. Small pieces open as many sequences as the volume left needs beyond the open
+    gaps or, if the round placed little, so that gaps are of no more use, as it needs by itself. Where fewer than
+    COARSE of the largest fill a sequence, volume says little of what fits; if little was placed, every j-th opens one,
+    if j of them fill it, among those of which no more than j fit.
     """
     taken, crossed = Counter(), Counter()
     for part, lo, hi, owner, at, run in shares:
         crossed[part] = max(crossed[part], hi)
         taken[owner] = max(taken[owner], at - (-(hi - lo) // run))
-    rows, before, largest = [], 0, 0
+    rows, before, volume, space, largest = [], 0, 0, 0, 0
     for part in sorted({p for p, _ in summary}):
         rows.append((part, taken[part], crossed[part], before))
-        n, _, top = summary.get((part, PIECE), (0, 0, 0))
+        n, _, top, total = summary.get((part, PIECE), (0, 0, 0, 0))
         if n > crossed[part]:
             largest = max(largest, top)
         before += n - crossed[part]
-    placed = sum(n for (_, what), (n, _, _) in summary.items() if what == PLACED) + sum(crossed.values())
-    return rows, capacity // largest if largest and placed * LITTLE <= before else 0
+        # sizes inside a range are alike: its mean stands for those that cross
+        volume += total * (n - crossed[part]) // max(n, 1)
+        space += sum(summary.get((part, what), (0, 0, 0, 0))[3] for what in (GAP, SHRUNK))
+    placed = sum(facts[0] for (_, what), facts in summary.items() if what == PLACED) + sum(crossed.values())
+    little = placed * LITTLE <= before
+    together = capacity // largest if largest else 0
+    if together < COARSE:
+        return rows, before if little else 0, together
+    return rows, -(-volume // capacity) if little else -(-max(0, volume - space) // capacity), 1
 
 
 def best_fit(items: DataFrame, capacity: int) -> DataFrame:
@@ -166,16 +180,16 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     while n:
         swept = rows.repartitionByRange(-(-n // SWEEP_ROWS), *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
         out = out.union(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
-        counts = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("largest")).collect()  # a row a task and kind
-        summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"]) for r in counts}
+        counts = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("largest"), F.sum("size").alias("total")).collect()  # a row a task and kind
+        summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"], r["total"]) for r in counts}
         if not any(what == PIECE for _, what in summary):
             break
         shares = _by_rank(summary)
-        facts, together = _facts(summary, shares, capacity)
+        facts, needed, together = _facts(summary, shares, capacity)
         known = swept.filter(f"what <> {PLACED}").join(spark.createDataFrame(facts, "part int, taken long, crossed long, before long"), "part")
         left = known.filter(f"what = {PIECE} and rank >= crossed")
         place = F.col("rank") - F.col("crossed") + F.col("before")
-        opens = (place % max(together, 1) == 0) & (F.col("size") * (together + 1) > capacity) if together else F.lit(False)
+        opens = (place < needed) & (place % max(together, 1) == 0) & ((F.col("size") * (together + 1) > capacity) | F.lit(together == 1))
         fresh = left.filter(opens)
         out = out.union(fresh.select(F.col("id").alias("uid"), F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset")))
         rows = known.filter(f"what = {SHRUNK} or what = {GAP} and rank >= taken").select("id", "size", F.lit(GAP).alias("kind"))
@@ -190,7 +204,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
             crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + upto - F.col("length")).alias("offset"), (F.col("gap") - upto).alias("rest"), F.lead("uid").over(own).isNull().alias("last")).checkpoint()
             out = out.union(crossed.select("uid", "bin", "offset"))
             rows = rows.union(crossed.filter("last and rest > 0").select("bin", "rest", F.lit(GAP)))
-        n = sum(k for (_, what), (k, _, _) in summary.items() if what != PLACED)
+        n = sum(facts[0] for (_, what), facts in summary.items() if what != PLACED)
     return out
 
 
