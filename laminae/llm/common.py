@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from laminae.session import running_sums
+
 #: Rows of a batch handed to Python at most, so that a batch of long texts still fits a worker.
 ARROW_ROWS = "2000"
 
@@ -59,12 +61,40 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, id_col: str, key: str) -> tuple[DataFrame, int]:
-    """``docs`` with column ``key``: the doc_id, behind which a row that shares it has a number in its lowest bits."""
-    most = docs.groupBy(F.col(id_col).alias("_k")).agg(F.count("*").alias("n")).filter("_k is not null").agg(F.max("n")).first()[0] or 1
+#: Tasks that number the rows of one repeated id.
+TURN_SHARES = 64
+
+
+def keyed(docs: DataFrame, id_col: str, key: str) -> tuple[DataFrame, int, DataFrame | None]:
+    """(``docs`` with column ``key``, its number of low bits, names): a number of its own for every row with an id.
+
+    Keys are in the order of ids, and rows that share an id differ in the low bits alone. Where ids leave no room for
+    these, what stands above them is the id's rank, and names (rank, id) tell whose. Null ids have a null key. Only rows
+    of repeated ids are numbered, each id's in TURN_SHARES tasks.
+    """
     number = F.col(id_col).cast("long")
-    if most == 1:
-        return docs.withColumn(key, number), 0
-    bits = (most - 1).bit_length()
-    turn = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)) - 1
-    return stored(docs.withColumn(key, F.shiftleft(number, bits) + turn), "keyed"), bits
+    k, turn, share = (f"{key}_{x}" for x in ("k", "turn", "share"))
+    again = stored(docs.groupBy(number.alias(k)).agg(F.count("*").alias("n")).filter(f"n > 1 and {k} is not null").select(k), "repeated")
+    if again.isEmpty():
+        return docs.withColumn(key, number), 0, None
+    some = docs.filter(number.isNotNull())
+    once = some.join(again, number == again[k], "left_anti").withColumn(turn, F.lit(0).cast("long"))
+    many = some.join(again, number == again[k], "left_semi").withColumn(share, F.pmod(F.monotonically_increasing_id(), F.lit(TURN_SHARES)))
+    own = Window.partitionBy(number, share).orderBy(share)
+    many = many.withColumn(turn, (F.row_number().over(own) - 1) * TURN_SHARES + F.col(share)).drop(share)
+    rows = stored(once.union(many), "keyed")
+    low, high, most = rows.agg(F.min(number), F.max(number), F.max(turn)).first()
+    bits, names = most.bit_length(), None
+    room = 1 << (63 - bits)
+    if -room <= low and high < room:
+        rows = rows.withColumn(key, F.shiftleft(number, bits) + F.col(turn))
+    else:
+        ids = rows.select(number.alias("id")).distinct().withColumn("rank", F.lit(1).cast("long"))
+        ranked, total = running_sums(ids, ["id"], ["rank"])
+        if total["rank"] >= room:
+            raise ValueError("too many ids and too many rows of one id for a key of 64 bits")
+        names = stored(ranked.select(F.col("rank_upto").alias("rank"), "id"), "names")
+        rank = names.select(F.col("rank").alias(k), F.col("id").alias(share))
+        rows = rows.join(rank, number == rank[share]).withColumn(key, F.shiftleft(k, bits) + F.col(turn))
+    nameless = docs.filter(number.isNull()).withColumn(key, F.lit(None).cast("long"))
+    return rows.select(*docs.columns, key).union(nameless), bits, names

@@ -445,7 +445,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     own. Very long texts are read whole. An empty table gives an empty one; other columns are not read.
     """
     prepare(docs)
-    rows, bits = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "key")
+    rows, bits, names = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "key")
     sets = shingle_sets(rows, width, percent, "key", "text")
     classes, labels = class_links(sets, percent)
     same = ["set_hash", "set_check", "n_shingles"]
@@ -455,4 +455,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     unnamed = docs.filter(F.col(id_col).isNull()).select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     unnamed = unnamed.mapInArrow(_count_sets(width), "n_shingles long").select(F.lit(None).cast("long").alias("doc_id"), "n_shingles", F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("component_id"))
     named = paired.select("doc_id", "n_shingles", "class_id", "component_id").union(alone)
-    return named.select(F.shiftright("doc_id", bits).alias("doc_id"), "n_shingles", *(F.shiftright(c, bits).alias(c) for c in ("class_id", "component_id"))).union(unnamed)
+    result = named.select(F.shiftright("doc_id", bits).alias("doc_id"), "n_shingles", *(F.shiftright(c, bits).alias(c) for c in ("class_id", "component_id")))
+    for c in ("doc_id", "class_id", "component_id") if names is not None else ():
+        result = result.join(names.select(F.col("rank").alias(c), F.col("id").alias("named")), c).drop(c).withColumnRenamed("named", c)
+    return result.select("doc_id", "n_shingles", "class_id", "component_id").union(unnamed)

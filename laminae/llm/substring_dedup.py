@@ -280,6 +280,16 @@ def _rewrite(text_col: str, length_col: str | None, spans: tuple[str, str, str],
     return run
 
 
+def _with_spans(rows: DataFrame, key: str, spans: DataFrame) -> DataFrame:
+    """Rows with their removal intervals, null without any; rows without a key stay out of the exchange."""
+    owner = spans.columns[0]
+    joined = rows.filter(F.col(key).isNotNull()).join(spans, F.col(key) == spans[owner], "left")
+    nameless = rows.filter(F.col(key).isNull())
+    for field in spans.schema:
+        nameless = nameless.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return joined.union(nameless)
+
+
 def cut_documents(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs``, all columns, with repeated passages cut from the text; a document of which nothing is left goes.
 
@@ -287,10 +297,9 @@ def cut_documents(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text
     follows a text that is cut. Ties, repeated rows, very long texts and empty tables: as in ``remove_repeats``.
     """
     names = [f"_span_{k}_{len(docs.columns)}" for k in range(4)]
-    rows, bits = keyed(docs, id_col, names[3])
+    rows, bits, _ = keyed(docs, id_col, names[3])
     spans = repeated_spans(rows, width, names[3], text_col, bits).toDF(*names[:3])
-    joined = rows.join(spans, rows[names[3]] == spans[names[0]], "left")
-    return joined.mapInArrow(_rewrite(text_col, length_col, tuple(names[:3]), docs.columns), docs.schema)
+    return _with_spans(rows, names[3], spans).mapInArrow(_rewrite(text_col, length_col, tuple(names[:3]), docs.columns), docs.schema)
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,6 +312,6 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     texts are read whole. An empty table gives an empty one; other columns of ``docs``, whatever their names, are not
     read.
     """
-    small, bits = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "key")
-    spans = repeated_spans(small, width, "key", "text", bits).withColumnRenamed("doc_id", "key")
-    return small.join(spans, "key", "left").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept_text string")
+    small, bits, _ = keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "key")
+    spans = repeated_spans(small, width, "key", "text", bits).withColumnRenamed("doc_id", "owner")
+    return _with_spans(small, "key", spans).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, starts array<int>, ends array<int>, kept_text string")
