@@ -66,10 +66,11 @@ def ridges(field: DataFrame, vox: DataFrame, shape, least: float, step: float =
     kept = field.filter(F.col("v") >= least).withColumn("id", F.struct(*KEY))
     sides = kept.withColumn("_s", F.explode(F.array(F.lit(-step), F.lit(step))))
     points = sides.select(F.struct("id", "_s").alias("id"), *((F.col(a) + F.col("_s") * F.col(f"n{a}")).cast("double").alias(a) for a in KEY))
-    sampled = trilinear(points, vox, shape).select(F.col("id.id").alias("id"), (F.col("id._s") > 0).alias("ahead"), "value")
+    # taps come in any order: nine places make ties what they are
+    sampled = trilinear(points, vox, shape).select(F.col("id.id").alias("id"), (F.col("id._s") > 0).alias("ahead"), F.round("value", 9).alias("value"))
     both = sampled.groupBy("id").agg(F.max(F.when(F.col("ahead"), F.col("value"))).alias("f"), F.max(F.when(~F.col("ahead"), F.col("value"))).alias("b"))
     bend = F.col("b") - 2 * F.col("v") + F.col("f")
-    inside = (bend >= -1e-3) | (F.abs(0.5 * (F.col("b") - F.col("f")) / bend) <= 0.5)
+    inside = (bend >= -1e-3) | (F.round(F.abs(0.5 * (F.col("b") - F.col("f")) / bend), 9) <= 0.5)
     return kept.join(both, "id").filter((F.col("v") >= F.col("f")) & (F.col("v") >= F.col("b")) & inside).select(*KEY)
 
 

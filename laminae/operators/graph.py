@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +36,64 @@ def linear(shape: tuple[int, int, int]):
     return (F.col("z") * shape[1] + F.col("y")) * shape[2] + F.col("x")
 
 
-def voxel_components(mask: DataFrame, shape: tuple[int, int, int], full: bool = False) -> DataFrame:
-    """(z, y, x, label) under 6- or 26-connectivity; label: least scan-order id of the component."""
+def _local_roots(at: np.ndarray, offsets: list[tuple[int, int, int]]) -> np.ndarray:
+    """Index of the first voxel, in the order given, of each voxel's component: ``at`` (n x 3), offsets pointing forward.
+
+    Trees of least indices: each tree hooks on to the least one beside it, and paths are halved until they end.
+    """
+    at = at - at.min(0)
+    reach = max(max(map(abs, o)) for o in offsets)
+    grid = np.full(tuple(at.max(0) + 1 + 2 * reach), -1, np.int64)
+    place = tuple(at[:, k] + reach for k in range(3))
+    grid[place] = np.arange(len(at))
+    pairs = []
+    for o in offsets:
+        other = grid[tuple(c + d for c, d in zip(place, o, strict=True))]
+        has = np.flatnonzero(other >= 0)
+        pairs.append(np.stack([has, other[has]]))
+    a, b = np.concatenate(pairs, 1)
+    root = np.arange(len(at))
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
+def voxel_components(mask: DataFrame, shape: tuple[int, int, int], full: bool = False, side: int = 32) -> DataFrame:
+    """(z, y, x, label) under 6- or 26-connectivity; label: least scan-order id of the component.
+
+    Chunk by chunk first: a task labels a chunk of ``side`` voxels a way by itself, so only voxels on chunk faces meet
+    across chunks, and rounds run over the graph of chunks' components, not of voxels.
+    """
     offsets = [o for o in (AROUND if full else FACES) if o > (0, 0, 0)]
-    here = settled(mask.select(*KEY, linear(shape).alias("id")))
-    near = shifted(here.select(*KEY, F.col("id").alias("a")), offsets).join(here.withColumnRenamed("id", "b"), KEY).select("a", "b")
-    return here.join(components(here, near), "id").select(*KEY, "label")
+    chunk = [f"_c{a}" for a in KEY]
+
+    def label(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(KEY)
+        ids = group["id"].to_numpy()
+        return group.assign(root=ids[_local_roots(group[KEY].to_numpy(), offsets)])[[*KEY, "id", "root"]]
+
+    dealt = mask.select(*(F.col(a).cast("long").alias(a) for a in KEY), linear(shape).cast("long").alias("id"), *(F.floor(F.col(a) / side).alias(c) for a, c in zip(KEY, chunk, strict=True)))
+    here = settled(dealt.groupBy(*chunk).applyInPandas(label, "z long, y long, x long, id long, root long"))
+    edge = F.lit(False)
+    for a in KEY:
+        edge = edge | (F.pmod(a, F.lit(side)) == 0) | (F.pmod(a, F.lit(side)) == side - 1)
+    rim = here.filter(edge)
+    apart = F.lit(False)
+    for a in KEY:
+        apart = apart | (F.floor(F.col(a) / side) != F.floor(F.col(f"from_{a}") / side))
+    steps = shifted(rim.select(*KEY, *(F.col(a).alias(f"from_{a}") for a in KEY), F.col("root").alias("a")), offsets).filter(apart)
+    faces = settled(steps.join(rim.select(*KEY, F.col("root").alias("b")), KEY).select("a", "b").distinct())
+    nodes = faces.select(F.col("a").alias("id")).union(faces.select("b")).distinct()
+    merged = components(nodes, faces).withColumnRenamed("id", "root")
+    return here.join(merged, "root", "left").select(*KEY, F.coalesce("label", "root").alias("label"))
 
 
 def compact(labels: DataFrame) -> DataFrame:

@@ -49,16 +49,33 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         labels = settled(components(labels.select("id"), taken).withColumnRenamed("label", "tree"))
 
 
+def _ends(parents: DataFrame) -> DataFrame:
+    """(id, to, delta) with every pointer followed to its end, deltas summed; each round doubles what a pointer spans."""
+    while True:
+        on = parents.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("delta").alias("more"))
+        ahead = settled(parents.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("delta") + F.coalesce("more", F.lit(0))).alias("delta"), F.col("next").isNotNull().alias("moved")))
+        parents = ahead.select("id", "to", "delta")
+        if ahead.filter("moved").isEmpty():
+            return parents
+
+
 def tree_offsets(forest: DataFrame) -> DataFrame:
-    """(id, root, offset): each node's sum of steps from its tree's least node, over edges (a, b, step: b less a)."""
-    both = settled(forest.select("a", "b", "step").union(forest.select("b", "a", -F.col("step"))))
-    from laminae.operators.graph import components
+    """(id, root, offset): each node's sum of steps from its tree's least node, over edges (a, b, step: b less a).
 
-    labels = components(forest.select(F.col("a").alias("id")).union(forest.select("b")).distinct(), forest)
-    known = settled(labels.filter("id = label").select("id", F.col("label").alias("root"), F.lit(0).cast("long").alias("offset")))
-    fresh = known
-    while not fresh.isEmpty():
-        reached = both.join(fresh.select(F.col("id").alias("a"), "root", "offset"), "a").select(F.col("b").alias("id"), "root", (F.col("offset") + F.col("step")).alias("offset"))
-        fresh = settled(reached.join(known.select("id"), "id", "left_anti"))
-        known = settled(known.union(fresh))
+    Trees contract: each hooks on to the least neighbour below it, chains of hooks are followed by pointer doubling,
+    and edges are rewritten between what is left. So rounds grow with the logarithm of the tree, not with its depth.
+    """
+    kind = dict(forest.dtypes)["step"]
+    edges = settled(forest.select("a", "b", "step"))
+    known = settled(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().select("id", F.col("id").alias("root"), F.lit(0).cast(kind).alias("offset")))
+    while not edges.isEmpty():
+        both = edges.select(F.col("b").alias("id"), F.col("a").alias("to"), F.col("step").alias("delta")).union(edges.select("a", "b", -F.col("step")))
+        hooks = both.filter("to < id").groupBy("id").agg(F.min(F.struct("to", "delta")).alias("m")).select("id", "m.to", "m.delta")
+        ends = _ends(settled(hooks))
+        known = settled(known.join(ends.withColumnRenamed("id", "root"), "root", "left").select("id", F.coalesce("to", "root").alias("root"), (F.col("offset") + F.coalesce("delta", F.lit(0).cast(kind))).alias("offset")))
+        one, two = (ends.select(F.col("id").alias(x), F.col("to").alias(f"t{x}"), F.col("delta").alias(f"d{x}")) for x in ("a", "b"))
+        moved = edges.join(one, "a", "left").join(two, "b", "left")
+        none = F.lit(0).cast(kind)
+        step = F.col("step") + F.coalesce("db", none) - F.coalesce("da", none)
+        edges = settled(moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), step.alias("step")).filter("a <> b"))
     return known

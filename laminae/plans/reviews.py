@@ -39,7 +39,7 @@ def relax_sweep(t):
     return rounded(filters.relax(t.ct(), 2.0, 1), "v")
 
 
-@query("WITH s AS (SELECT z,y,x,v,d FROM ct,(SELECT unnest([-1.0::DOUBLE,1.0::DOUBLE]) d) WHERE v>=30), p AS (SELECT z,y,x,v,d,least(greatest(y+d*0.6::DOUBLE,0),31) py,least(greatest(x+d*0.8::DOUBLE,0),31) px FROM s), k AS (SELECT b.i j,c.i k FROM range(2) b(i),range(2) c(i)), q AS (SELECT p.z,p.y,p.x,any_value(p.v) v,d,sum((CASE j WHEN 1 THEN py-floor(py) ELSE 1-(py-floor(py)) END)*(CASE k WHEN 1 THEN px-floor(px) ELSE 1-(px-floor(px)) END)*coalesce(ct.v,0)) s FROM p CROSS JOIN k LEFT JOIN ct ON ct.z=p.z AND ct.y=least(CAST(floor(py) AS BIGINT)+j,31) AND ct.x=least(CAST(floor(px) AS BIGINT)+k,31) GROUP BY p.z,p.y,p.x,d), w AS (SELECT z,y,x,any_value(v) v,max(s) FILTER (d>0) f,max(s) FILTER (d<0) b FROM q GROUP BY 1,2,3) SELECT z,y,x FROM w WHERE v>=f AND v>=b AND (b-2*v+f>=-1e-3 OR abs(0.5::DOUBLE*(b-f)/(b-2*v+f))<=0.5)", "ct")
+@query("WITH s AS (SELECT z,y,x,v,d FROM ct,(SELECT unnest([-1.0::DOUBLE,1.0::DOUBLE]) d) WHERE v>=30), p AS (SELECT z,y,x,v,d,least(greatest(y+d*0.6::DOUBLE,0),31) py,least(greatest(x+d*0.8::DOUBLE,0),31) px FROM s), k AS (SELECT b.i j,c.i k FROM range(2) b(i),range(2) c(i)), q AS (SELECT p.z,p.y,p.x,any_value(p.v) v,d,sum((CASE j WHEN 1 THEN py-floor(py) ELSE 1-(py-floor(py)) END)*(CASE k WHEN 1 THEN px-floor(px) ELSE 1-(px-floor(px)) END)*coalesce(ct.v,0)) s FROM p CROSS JOIN k LEFT JOIN ct ON ct.z=p.z AND ct.y=least(CAST(floor(py) AS BIGINT)+j,31) AND ct.x=least(CAST(floor(px) AS BIGINT)+k,31) GROUP BY p.z,p.y,p.x,d), w AS (SELECT z,y,x,any_value(v) v,round(max(s) FILTER (d>0),9) f,round(max(s) FILTER (d<0),9) b FROM q GROUP BY 1,2,3) SELECT z,y,x FROM w WHERE v>=f AND v>=b AND (b-2*v+f>=-1e-3 OR round(abs(0.5::DOUBLE*(b-f)/(b-2*v+f)),9)<=0.5)", "ct")
 def ridge_nms(t):
     field = t.ct().select(*KEY, F.col("v"), F.lit(0.0).alias("nz"), F.lit(0.6).alias("ny"), F.lit(0.8).alias("nx"))
     return filters.ridges(field, t.ct(), t.shape, 30)
