@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import insort
 from collections import Counter
+from functools import reduce
 from heapq import heappop, heappush
 
 import numpy as np
@@ -172,40 +173,56 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     spark = prepare(items)
     items = items.select("uid", "length")
     alone = 2 * F.col("length") > capacity
-    out = items.filter(alone).select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
+    opened = items.filter(alone).select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
     rows = items.select(F.col("uid").alias("id"), F.when(alone, capacity - F.col("length")).otherwise(F.col("length")).alias("size"), F.when(alone, GAP).otherwise(GAP + 1).alias("kind")).filter("size > 0")
-    n = items.count()
+    n, placed = items.count(), [opened]
     # equal sizes: gaps stand before pieces
     order = [F.desc("size"), F.asc("kind"), F.asc("id")]
     while n:
         swept = rows.repartitionByRange(-(-n // SWEEP_ROWS), *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
-        out = out.union(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
+        placed.append(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
         counts = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("largest"), F.sum("size").alias("total")).collect()  # a row a task and kind
         summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"], r["total"]) for r in counts}
         if not any(what == PIECE for _, what in summary):
             break
-        shares = _by_rank(summary)
-        facts, needed, together = _facts(summary, shares, capacity)
-        known = swept.filter(f"what <> {PLACED}").join(spark.createDataFrame(facts, "part int, taken long, crossed long, before long"), "part")
-        left = known.filter(f"what = {PIECE} and rank >= crossed")
-        place = F.col("rank") - F.col("crossed") + F.col("before")
-        opens = (place < needed) & (place % max(together, 1) == 0) & ((F.col("size") * (together + 1) > capacity) | F.lit(together == 1))
-        fresh = left.filter(opens)
-        out = out.union(fresh.select(F.col("id").alias("uid"), F.col("id").alias("bin"), F.lit(0).cast("long").alias("offset")))
-        rows = known.filter(f"what = {SHRUNK} or what = {GAP} and rank >= taken").select("id", "size", F.lit(GAP).alias("kind"))
-        rows = rows.union(left.filter(~opens).select("id", "size", F.lit(GAP + 1))).union(fresh.select("id", capacity - F.col("size"), F.lit(GAP)))
-        if shares:
-            taking = spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long, run long")
-            turn = F.floor((F.col("rank") - F.col("lo")) / F.col("run")) + F.col("at")
-            wanted = swept.filter(f"what = {PIECE}").join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "rank", "owner", turn.alias("turn"))
-            given = swept.filter(f"what = {GAP}").select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-            own = Window.partitionBy("owner", "turn").orderBy("rank")
-            upto = F.sum("length").over(own)
-            crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + upto - F.col("length")).alias("offset"), (F.col("gap") - upto).alias("rest"), F.lead("uid").over(own).isNull().alias("last")).checkpoint()
-            out = out.union(crossed.select("uid", "bin", "offset"))
-            rows = rows.union(crossed.filter("last and rest > 0").select("bin", "rest", F.lit(GAP)))
+        settled = _settle(swept, *_plan(summary, capacity), capacity).checkpoint()
+        placed.append(settled.filter("uid is not null").select("uid", "bin", "offset"))
+        rows = settled.filter("size is not null").select("id", "size", "kind")
         n = sum(facts[0] for (_, what), facts in summary.items() if what != PLACED)
-    return out
+    return reduce(DataFrame.union, placed)
+
+
+def _plan(summary: dict, capacity: int) -> tuple[list[tuple], list[tuple], int, int]:
+    shares = _by_rank(summary)
+    return shares, *_facts(summary, shares, capacity)
+
+
+def _settle(swept: DataFrame, shares: list[tuple], facts: list[tuple], needed: int, together: int, capacity: int) -> DataFrame:
+    """What a round does after its sweeps: rows (uid, bin, offset) of pieces placed and (id, size, kind) left for the next.
+
+    Pieces that cross to another range's gaps go behind each other in order of rank; other left pieces open sequences
+    if they are to. A row may be of both sorts: an opener and its gap. Facts and shares are a few rows a task.
+    """
+    spark = swept.sparkSession
+    known = swept.filter(f"what <> {PLACED}").join(F.broadcast(spark.createDataFrame(facts, "part int, taken long, crossed long, before long")), "part")
+    place = F.col("rank") - F.col("crossed") + F.col("before")
+    opens = (place < needed) & (place % max(together, 1) == 0) & ((F.col("size") * (together + 1) > capacity) | F.lit(together == 1))
+    piece = F.col("what") == PIECE
+    opens = piece & opens
+    stays = F.when(piece, F.col("rank") >= F.col("crossed")).when(F.col("what") == GAP, F.col("rank") >= F.col("taken")).otherwise(True)
+    own = F.when(opens, F.col("id"))
+    after = known.filter(stays).select(own.alias("uid"), own.alias("bin"), F.when(opens, F.lit(0).cast("long")).alias("offset"), "id", F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size"), F.when(piece & ~opens, GAP + 1).otherwise(GAP).alias("kind"))
+    if not shares:
+        return after
+    taking = F.broadcast(spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long, run long"))
+    turn = F.floor((F.col("rank") - F.col("lo")) / F.col("run")) + F.col("at")
+    wanted = swept.filter(f"what = {PIECE}").join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "rank", "owner", turn.alias("turn"))
+    given = swept.filter(f"what = {GAP}").select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
+    run = Window.partitionBy("owner", "turn").orderBy("rank")
+    upto = F.sum("length").over(run)
+    rest = F.when(F.lead("uid").over(run).isNull() & (F.col("gap") > upto), F.col("gap") - upto)
+    crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + upto - F.col("length")).alias("offset"), F.col("bin").alias("id"), rest.alias("size"), F.lit(GAP).alias("kind"))
+    return after.union(crossed)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
