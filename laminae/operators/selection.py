@@ -76,6 +76,6 @@ def tree_offsets(forest: DataFrame) -> DataFrame:
         one, two = (ends.select(F.col("id").alias(x), F.col("to").alias(f"t{x}"), F.col("delta").alias(f"d{x}")) for x in ("a", "b"))
         moved = edges.join(one, "a", "left").join(two, "b", "left")
         none = F.lit(0).cast(kind)
-        step = F.col("step") + F.coalesce("db", none) - F.coalesce("da", none)
+        step = F.col("step") - F.coalesce("db", none) + F.coalesce("da", none)
         edges = settled(moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), step.alias("step")).filter("a <> b"))
     return known
