@@ -12,7 +12,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+#: Edges of a partition, at least, between exchanges: a graph that has shrunk does not leave files in every partition.
+PART_EDGES = 100_000
+
+
+def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Large: links each node's larger neighbours to its least one; small: its smaller neighbours and itself."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
@@ -25,7 +29,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b").coalesce(parts).distinct().coalesce(parts)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -38,7 +42,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").distinct().checkpoint()
     state = _state(edges)
     while state[0]:
-        edges = _stars(_stars(edges, True), False).checkpoint()
+        parts = -(-2 * state[0] // PART_EDGES)
+        edges = _stars(_stars(edges.coalesce(parts), True, parts), False, parts).checkpoint()
         new = _state(edges)
         if new == state:
             break

@@ -185,7 +185,7 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
         summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"], r["total"]) for r in counts}
         if not any(what == PIECE for _, what in summary):
             break
-        settled = _settle(swept, *_plan(summary, capacity), capacity).checkpoint()
+        settled = _settle(swept, *_plan(summary, capacity), capacity).coalesce(-(-n // SWEEP_ROWS)).checkpoint()
         placed.append(settled.filter("uid is not null").select("uid", "bin", "offset"))
         rows = settled.filter("size is not null").select("id", "size", "kind")
         n = sum(facts[0] for (_, what), facts in summary.items() if what != PLACED)
