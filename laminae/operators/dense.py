@@ -251,3 +251,71 @@ def phase_shifts(a: DataFrame, b: DataFrame, side: int) -> DataFrame:
 
     keyed = both.select("*", *(F.floor(F.col(x) / side).alias(f"c{x}") for x in KEY))
     return keyed.groupBy(*(f"c{x}" for x in KEY)).applyInPandas(run, "cz long, cy long, cx long, sz long, sy long, sx long, conf double")
+
+
+def gaussian_response(shape: tuple[int, ...], sigma: float) -> np.ndarray:
+    """What a Gaussian blur leaves of each frequency of a real transform of ``shape``."""
+    axes = [*(np.fft.fftfreq(n) for n in shape[:-1]), np.fft.rfftfreq(shape[-1])]
+    square = sum(np.reshape(f * f, [-1 if k == axis else 1 for k in range(len(shape))]) for axis, f in enumerate(axes))
+    return np.exp(-2 * np.pi**2 * sigma**2 * square)
+
+
+def _filtered(vox: DataFrame, response: Callable[[tuple[int, ...]], np.ndarray], side: int, halo: int, shape) -> DataFrame:
+    """Overlap-save: each chunk and its halo go through the transform, and what the halo's ends spoil is not kept."""
+
+    def work(block):
+        return {"v": np.fft.irfftn(np.fft.rfftn(block) * response(block.shape), block.shape, axes=(0, 1, 2))}
+
+    return on_chunks(vox, work, ["v"], side, halo, shape)
+
+
+def point_spread(vox: DataFrame, sigma: float, side: int, halo: int, shape) -> DataFrame:
+    """(z, y, x, v): Gaussian blur by frequencies; the volume is mirrored at its ends."""
+    return _filtered(vox, lambda s: gaussian_response(s, sigma), side, halo, shape)
+
+
+def wiener(vox: DataFrame, sigma: float, side: int, halo: int, shape, reg: float = 0.015) -> DataFrame:
+    """(z, y, x, v): a Gaussian blur of ``sigma`` taken back, as far as ``reg`` lets weak frequencies rise.
+
+    The filter's own reach must be inside the halo: some six sigmas; what lies beyond it is lost, and tests bound it.
+    """
+
+    def response(size):
+        h = gaussian_response(size, sigma)
+        return h / (h * h + reg)
+
+    return _filtered(vox, response, side, halo, shape)
+
+
+def _binomial(block: np.ndarray) -> np.ndarray:
+    """Weights 1, 4, 6, 4, 1 along each axis; beyond the block its last voxel stands."""
+    for axis in range(3):
+        wide = np.pad(block, [(2, 2) if k == axis else (0, 0) for k in range(3)], mode="edge")
+        taps = [np.take(wide, range(k, k + block.shape[axis]), axis) for k in range(5)]
+        block = (taps[0] + 4 * taps[1] + 6 * taps[2] + 4 * taps[3] + taps[4]) / 16
+    return block
+
+
+def gain_levels(block: np.ndarray, levels: int, power: float, core: float, top: float) -> np.ndarray:
+    """A block's details, octave by octave, under a sublinear gain; voxels at 0 and ``top`` say nothing and stay."""
+    base = block / top
+    sure = (base > 0) & (base < 1)
+    value, weight = np.where(sure, base, 0.0), sure.astype(float)
+    start, raised = base, np.zeros(block.shape)
+    for level in range(levels):
+        for _ in range(1 << level):
+            value, weight = _binomial(value), _binomial(weight)
+        mean = np.where(weight > 1e-6, value / np.maximum(weight, 1e-6), base)
+        detail = base - mean
+        size = np.abs(detail)
+        gained = 0.5 * np.sign(detail) * (size / 0.5) ** power
+        if core > 0:
+            gained = np.where(size < core, detail * size / (core + 1e-8), gained)
+        raised += gained
+        base = mean
+    return np.where(sure, np.clip(base + raised, 0, 1), start) * top
+
+
+def gain_pyramid(vox: DataFrame, levels: int, side: int, shape, power: float = 0.7, core: float = 0.0, top: float = 255.0) -> DataFrame:
+    """(z, y, x, v): ``gain_levels`` on chunks, with a halo as deep as all octaves' blurs reach: 2 (2^levels - 1) voxels."""
+    return on_chunks(vox, lambda b: {"v": gain_levels(b, levels, power, core, top)}, ["v"], side, 2 * ((1 << levels) - 1), shape, mirrored=False)

@@ -86,6 +86,7 @@ def grown_sql(sql: str) -> str:
         (">15 THEN 2*15+1-", f">{_LAST} THEN 2*{_LAST}+1-"),
         ("z+dz,0),15)", f"z+dz,0),{_LAST})"),
         ("least(greatest(zz+t,0),15)", f"least(greatest(zz+t,0),{_LAST})"),
+        ("least(greatest(i.z+d,0),15)", f"least(greatest(i.z+d,0),{_LAST})"),
         ("+k,15)", f"+k,{_LAST})"),
         ("+i,15)", f"+i,{_LAST})"),
         ("least(z,15)", f"least(z,{_LAST})"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laminae.operators import fields
+from laminae.operators import dense, fields
 from laminae.plans.catalog import FIXED, query, rounded
 
 KEY = ["z", "y", "x"]
@@ -78,3 +78,35 @@ def mutex_triples(t):
     pairs = keys.join(keys.withColumnRenamed("a", "b"), F.floor(F.col("a") / 3) == F.floor(F.col("b") / 3)).filter("a < b")
     edges = pairs.withColumn("w", (F.col("a") * 37 + F.col("b") * 11) % 201 - 100)
     return fields.mutex_clusters(edges, keys.select(F.col("a").alias("id")))
+
+
+# filters over chunks with halos
+
+
+_LEVEL = "SELECT z,y,x,v/64.0::DOUBLE b,CAST(v>0 AND v<64 AS DOUBLE) s,CASE WHEN v>0 AND v<64 THEN v/64.0::DOUBLE ELSE 0 END p FROM (SELECT g.z,g.y,g.x,coalesce(v,0) v FROM grid g LEFT JOIN ct USING (z,y,x))"
+_TAPS = "k5 AS (SELECT * FROM (VALUES (-2,1),(-1,4),(0,6),(1,4),(2,1)) t(d,c))"
+_LINE = "{j} AS (SELECT {keep},sum(c*p)/16 p,sum(c*s)/16 s FROM (SELECT i.z,i.y,i.x,c,q.p,q.s FROM {i} i,k5 JOIN {i} q ON {on}) GROUP BY z,y,x)"
+
+
+def _blurred_sql(source: str) -> str:
+    ons = []
+    for axis, last in (("z", "15"), ("y", "31"), ("x", "31")):
+        same = " AND ".join(f"q.{a}=i.{a}" for a in KEY if a != axis)
+        ons.append(f"q.{axis}=least(greatest(i.{axis}+d,0),{last}) AND {same}")
+    names = [source, "bz", "by_", "bx"]
+    return ", ".join(_LINE.format(i=i, j=j, keep="z,y,x", on=on) for i, j, on in zip(names, names[1:], ons, strict=False))
+
+
+@query(f"WITH {_TAPS}, l0 AS ({_LEVEL}), {_blurred_sql('l0')}, m AS (SELECT l0.z,l0.y,l0.x,l0.b,l0.s>0 sure,CASE WHEN bx.s>1e-6 THEN bx.p/bx.s ELSE l0.b END mean FROM l0 JOIN bx USING (z,y,x)) SELECT z,y,x,round(CASE WHEN sure THEN least(greatest(mean+0.5*sign(b-mean)*pow(abs(b-mean)/0.5,0.7::DOUBLE),0),1) ELSE b END*64,5) v FROM m SEMI JOIN ct USING (z,y,x)", "ct", "grid")
+def gain_level(t):
+    return rounded(dense.gain_pyramid(t.ct(), 1, 8, t.shape, top=64.0), "v", places=5)
+
+
+@query()
+def gain_octaves(t):
+    return dense.gain_pyramid(t.ct(), 3, 16, t.shape, core=0.01, top=64.0)
+
+
+@query()
+def wiener_deconvolution(t):
+    return dense.wiener(t.ct(), 1.0, 16, 8, t.shape)
