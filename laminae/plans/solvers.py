@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from laminae.operators import dense, fields
 from laminae.plans.catalog import FIXED, query, rounded
+from laminae.session import shared_folder
+from laminae.sources import npy, tiff
 
 KEY = ["z", "y", "x"]
 #: Iterations until a volume settles: their grown forms would only repeat them at length.
@@ -110,3 +114,21 @@ def gain_octaves(t):
 @query()
 def wiener_deconvolution(t):
     return dense.wiener(t.ct(), 1.0, 16, 8, t.shape)
+
+
+# files
+
+
+@query("SELECT g.z,g.y,g.x,CAST(coalesce(v,0) AS DOUBLE) v FROM grid g LEFT JOIN ct USING (z,y,x)", "ct", "grid")
+def npy_slabs(t):
+    path = f"{shared_folder(t.spark)}/npy-{uuid.uuid4().hex}"
+    npy.write(t.ct(), path, t.shape, "|u1", depth=8)
+    return npy.read(t.spark, path)
+
+
+@query("SELECT CAST(z AS VARCHAR) mesh,x u,y v,z/2.0::DOUBLE z,CAST(y AS DOUBLE) y,CAST(v AS DOUBLE) x FROM ct", "ct")
+def surface_files(t):
+    path = f"{shared_folder(t.spark)}/surfaces-{uuid.uuid4().hex}"
+    cells = t.ct().select(F.col("z").alias("mesh"), F.col("x").alias("u"), F.col("y").alias("v"), (F.col("z") / 2.0).alias("z"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("x"))
+    tiff.write_surfaces(cells, path)
+    return tiff.read_surfaces(t.spark, path).filter("valid").drop("valid")
