@@ -22,7 +22,7 @@ def edge_stats(cells: DataFrame) -> DataFrame:
     """(mesh, n, mean, sd, median, long): population deviation, upper median, share of edges over twice the mean."""
     e = edges(cells)
     stats = e.groupBy("mesh").agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.stddev_pop("length").alias("sd"), upper_median("length").alias("median"))
-    long = e.join(F.broadcast(stats.select("mesh", "mean")), "mesh").groupBy("mesh").agg(F.avg((F.col("length") > 2 * F.col("mean")).cast("double")).alias("long"))
+    long = e.join(stats.select("mesh", "mean"), "mesh").groupBy("mesh").agg(F.avg((F.col("length") > 2 * F.col("mean")).cast("double")).alias("long"))
     return stats.join(long, "mesh")
 
 

@@ -12,7 +12,7 @@ from laminae.functions.numeric import polar, upper_median, winding
 
 def field(vox: DataFrame, axis: DataFrame, pitch: float, places: int = 9) -> DataFrame:
     """(z, y, x, v, w): winding about the axis (z, cy, cx), rounded so that bins are stable."""
-    joined = vox.join(F.broadcast(axis), "z")
+    joined = vox.join(axis, "z")
     w = winding(F.col("y") - F.col("cy"), F.col("x") - F.col("cx"), pitch)
     return joined.select("z", "y", "x", "v", F.round(w, places).alias("w"))
 

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from laminae.operators import dense, fields
+from laminae.operators import bands, dense, fields
 from laminae.plans.catalog import FIXED, query, rounded
 from laminae.session import shared_folder
-from laminae.sources import npy, tiff
+from laminae.sources import archive, npy, tiff
 
 KEY = ["z", "y", "x"]
 #: Iterations until a volume settles: their grown forms would only repeat them at length.
@@ -132,3 +132,21 @@ def surface_files(t):
     cells = t.ct().select(F.col("z").alias("mesh"), F.col("x").alias("u"), F.col("y").alias("v"), (F.col("z") / 2.0).alias("z"), F.col("y").cast("double").alias("y"), F.col("v").cast("double").alias("x"))
     tiff.write_surfaces(cells, path)
     return tiff.read_surfaces(t.spark, path).filter("valid").drop("valid")
+
+
+# bands
+
+
+_NEAR = "p AS (SELECT z,y,x FROM gt WHERE v>=40 AND y<12)"
+
+
+@query(f"WITH {_NEAR}, k AS (SELECT a.i*8 z,b.i*8 y,c.i*8 x FROM range(500) a(i),range(5) b(i),range(5) c(i)) SELECT DISTINCT greatest(k.z-1,0) z,greatest(k.y-1,0) y,greatest(k.x-1,0) x,k.z+9-greatest(k.z-1,0) dz,k.y+9-greatest(k.y-1,0) dy,k.x+9-greatest(k.x-1,0) dx FROM k JOIN p ON p.z>=k.z-3 AND p.z<k.z+11 AND p.y>=k.y-3 AND p.y<k.y+11 AND p.x>=k.x-3 AND p.x<k.x+11", "gt")
+def band_blocks(t):
+    return bands.band_blocks(t.gt().filter("v >= 40 and y < 12"), 8, 1, 2)
+
+
+@query(f"WITH {_NEAR}, c AS (SELECT DISTINCT (p.z+a.i)//8 cz,(p.y+b.i)//8 cy,(p.x+c.i)//8 cx FROM p,range(-2,4) a(i),range(-2,4) b(i),range(-2,4) c(i) WHERE p.z+a.i>=0 AND p.y+b.i>=0 AND p.x+c.i>=0 AND a.i<=2 AND b.i<=2 AND c.i<=2) SELECT z,y,x,CAST(v AS DOUBLE) v FROM ct JOIN c ON cz=z//8 AND cy=y//8 AND cx=x//8", "ct", "gt")
+def band_ingest(t):
+    path = f"{shared_folder(t.spark)}/archive-{uuid.uuid4().hex}"
+    archive.write(t.ct(), path, 8)
+    return archive.read_band(t.spark, path, t.gt().filter("v >= 40 and y < 12"), 2)

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laminae.functions.numeric import morton
+from laminae.operators.bands import reached
+from laminae.session import settled
 
 KEY = ("z", "y", "x")
 CHUNK = [f"c{a}" for a in KEY]
@@ -114,6 +116,38 @@ def read(spark: SparkSession, path: str, low: tuple[int, int, int] | None = None
     return rows.mapInArrow(_decode(side, about["dtype"]), "z long, y long, x long, v double").filter(inside)
 
 
+#: Ranges of Morton codes that a scan is told to keep to, at most.
+CODE_RANGES = 64
+
+
+def read_chunks(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
+    """(z, y, x, v) of the present voxels of chunks (cz, cy, cx); no others are decoded, and files without any are passed over.
+
+    The chunks' codes, gathered into CODE_RANGES ranges, are pushed to the scan, whose file statistics are ranges of codes.
+    """
+    about = describe(spark, path)
+    code = morton(F.col("cz"), F.col("cy"), F.col("cx"), 20)
+    asked = settled(chunks.select(*CHUNK).distinct().withColumn("code", code))
+    low, high = asked.agg(F.min("code"), F.max("code")).first()
+    if low is None:
+        return spark.createDataFrame([], "z long, y long, x long, v double")
+    width = (high - low) // CODE_RANGES + 1
+    ranges = asked.groupBy(F.floor((F.col("code") - low) / width)).agg(F.min("code").alias("a"), F.max("code").alias("b")).collect()  # CODE_RANGES rows at most
+    within = F.lit(False)
+    for r in ranges:
+        within = within | F.col("code").between(r["a"], r["b"])
+    data = spark.read.option("recursiveFileLookup", "true").schema(f"{_ROWS}, code long").parquet(f"{path}/data").filter(within)
+    data = data.withColumn("part", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    known = ledger(spark, path).select(*CHUNK, "part").join(asked.select(*CHUNK), CHUNK, "left_semi")
+    rows = data.join(known, [*CHUNK, "part"], "left_semi").select(*CHUNK, "body")
+    return rows.mapInArrow(_decode(about["side"], about["dtype"]), "z long, y long, x long, v double")
+
+
+def read_band(spark: SparkSession, path: str, cells: DataFrame, reach: float) -> DataFrame:
+    """(z, y, x, v) of chunks that come within ``reach`` of a surface cell (z, y, x), whole."""
+    return read_chunks(spark, path, reached(cells, describe(spark, path)["side"], reach, CHUNK))
+
+
 def gather(points: DataFrame, spark: SparkSession, path: str, shape: tuple[int, int, int]) -> DataFrame:
     """(id, value) of points (id, z, y, x), clamped into ``shape``; absent voxels are 0. Only chunks that are asked for are decoded."""
     about = describe(spark, path)
