@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laminae.operators.stencil import AROUND, FACES, KEY, euler, shifted
+from laminae.operators.stencil import AROUND, FACES, KEY, contacts, euler, shifted
 from laminae.session import running_sums, settled
 
 
@@ -155,3 +155,10 @@ def stitch_offsets(faces: DataFrame, tolerance: float) -> DataFrame:
     """Blocks' face measurements (a, b, d, n) to whole steps: offset round(d), quality, and conflict."""
     q = 1 - 2 * F.abs(F.col("d") - F.round("d"))
     return faces.select("a", "b", F.round("d").cast("bigint").alias("step"), (q * F.col("n")).alias("weight"), (F.abs(F.col("d") - F.round("d")) > tolerance).alias("conflict"))
+
+
+def block_faces(blocks: DataFrame) -> DataFrame:
+    """(z, y, x, axis, d, q): difference of a block's value (z, y, x, v) to that of the next block along each axis, and how
+    near it is to a whole step: 1 there, 0 half way."""
+    d = F.col("b") - F.col("a")
+    return contacts(blocks).select(*KEY, "axis", d.alias("d"), (1 - 2 * F.abs(d - F.rint(d))).alias("q"))

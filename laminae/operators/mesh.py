@@ -99,3 +99,9 @@ def orientation(points: DataFrame, limit: float, least: int) -> DataFrame:
     clear = points.select("mesh", (dot / F.sqrt(r2 * n2)).alias("d")).filter(F.abs("d") > limit)
     share = F.avg(F.when(F.col("d") > 0, 1.0).otherwise(0.0))
     return clear.groupBy("mesh").agg(F.count("*").alias("n"), F.greatest(share, 1 - share).alias("consistency")).filter(F.col("n") >= least)
+
+
+def summary(points: DataFrame) -> DataFrame:
+    """(mesh, n, z0, z1, ..., peak): points of a mesh, the ends of its box, and the sum of its squared normals."""
+    ends = [f(a).alias(f"{a}{k}") for a in AT for k, f in enumerate((F.min, F.max))]
+    return points.groupBy("mesh").agg(F.count("*").alias("n"), *ends, F.sum(sum((F.col(f"n{a}") * F.col(f"n{a}") for a in AT), F.lit(0.0))).alias("peak"))

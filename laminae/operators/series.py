@@ -118,3 +118,8 @@ def registry_union(key: str, **tables: DataFrame) -> DataFrame:
 def repeat_suspects(runs: DataFrame, item: str, run: str, least: int = 2) -> DataFrame:
     """Items that several runs suspect."""
     return runs.groupBy(item).agg(F.countDistinct(run).alias("runs"), F.sum("loss").alias("loss")).filter(F.col("runs") >= least)
+
+
+def steps(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``step``: the value less that of the row before in its series; null at the first."""
+    return rows.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(*by).orderBy(*order)))

@@ -161,3 +161,13 @@ def tile_audit(vox: DataFrame, sides: tuple[int, int, int], limit: float, least:
 def seeds(vox: DataFrame, n: int) -> DataFrame:
     """The ``n`` brightest voxels; ties go to the first in scan order."""
     return vox.orderBy(F.desc("v"), *KEY).limit(n).select(*KEY, "v")
+
+
+def summary(vox: DataFrame, side: int) -> DataFrame:
+    """One row: chunks with voxels, voxels, least and most value, and the ends of chunk numbers along each axis.
+
+    Chunks are summed first, so the last step sees a row a chunk.
+    """
+    chunks = vox.groupBy(*(F.floor(F.col(a) / side).alias(f"p{a}") for a in KEY)).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
+    ends = [f(f"p{a}").alias(f"{a}{k}") for a in KEY for k, f in enumerate((F.min, F.max))]
+    return chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("voxels"), F.min("least").alias("least"), F.max("most").alias("most"), *ends)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from laminae.operators import filters, frames, mesh, metrics, patches, review, spatial, stencil
+from laminae.operators import filters, frames, graph, mesh, metrics, patches, review, series, spatial, voxel
 from laminae.plans.catalog import _CELLS, _cells, _wound, query, rounded
 
 KEY = ["z", "y", "x"]
@@ -74,16 +74,13 @@ def composite_alpha(t):
 
 @query("WITH p AS (SELECT z//8 pz,y//8 py,x//8 px,count(*) n,min(v) least,max(v) most,round(avg(v),6) mean FROM ct GROUP BY 1,2,3) SELECT count(*) chunks,CAST(sum(n) AS BIGINT) voxels,min(least) least,max(most) most,min(pz) z0,max(pz) z1,min(py) y0,max(py) y1,min(px) x0,max(px) x1 FROM p", "ct")
 def volume_summary(t):
-    chunks = t.ct().groupBy(*(F.floor(F.col(a) / 8).alias(f"p{a}") for a in KEY)).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"))
-    ends = [f(f"p{a}").alias(f"{a}{k}") for a in KEY for k, f in enumerate((F.min, F.max))]
-    return chunks.agg(F.count("*").alias("chunks"), F.sum("n").alias("voxels"), F.min("least").alias("least"), F.max("most").alias("most"), *ends)
+    return voxel.summary(t.ct(), 8)
 
 
 @query("WITH b AS (SELECT z//4 bz,y//4 byy,x//4 bx,avg(v)/10.0::DOUBLE u FROM ct GROUP BY 1,2,3), o AS (SELECT * FROM (VALUES (0,1,0,0),(1,0,1,0),(2,0,0,1)) t(axis,dz,dy,dx)) SELECT axis,a.bz,a.byy,a.bx,round(b.u-a.u,6) d,round(1-2*abs((b.u-a.u)-round_even(b.u-a.u,0)),6) q FROM b a,o JOIN b ON b.bz=a.bz+dz AND b.byy=a.byy+dy AND b.bx=a.bx+dx", "ct")
 def block_faces(t):
-    blocks = t.ct().groupBy(F.floor(F.col("z") / 4).alias("z"), F.floor(F.col("y") / 4).alias("y"), F.floor(F.col("x") / 4).alias("x")).agg((F.avg("v") / 10.0).alias("v"))
-    d = F.col("b") - F.col("a")
-    out = stencil.contacts(blocks).select("axis", F.col("z").alias("bz"), F.col("y").alias("byy"), F.col("x").alias("bx"), d.alias("d"), (1 - 2 * F.abs(d - F.rint(d))).alias("q"))
+    means = t.ct().groupBy(*(F.floor(F.col(a) / 4).alias(a) for a in KEY)).agg((F.avg("v") / 10.0).alias("v"))
+    out = graph.block_faces(means).select("axis", F.col("z").alias("bz"), F.col("y").alias("byy"), F.col("x").alias("bx"), "d", "q")
     return rounded(out, "d", "q")
 
 
@@ -250,10 +247,7 @@ def last_measurement(t):
 
 @query("SELECT user_id,event_id,round(value-lag(value) OVER (PARTITION BY user_id ORDER BY ts,event_id),6) step FROM events")
 def relative_steps(t):
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return rounded(t.events.select("user_id", "event_id", (F.col("value") - F.lag("value").over(order)).alias("step")), "step")
+    return rounded(series.steps(t.events, ["user_id"], ["ts", "event_id"], "value").select("user_id", "event_id", "step"), "step")
 
 
 @query("WITH p AS (SELECT l_suppkey a,l_partkey b,CASE l_returnflag WHEN 'A' THEN 'AGREE' WHEN 'R' THEN 'DISAGREE' ELSE 'OFFSET' END verdict FROM lineitem WHERE l_linenumber<4) SELECT name,verdict,count(*) n FROM (SELECT concat('s',a) AS name,verdict FROM p UNION ALL SELECT concat('p',b),verdict FROM p) GROUP BY 1,2")
@@ -357,8 +351,8 @@ def label_palette(t):
 
 @query("SELECT mesh,count(*) n,round(min(z),6) z0,round(max(z),6) z1,round(min(y),6) y0,round(max(y),6) y1,round(min(x),6) x0,round(max(x),6) x1,round(sum(nz*nz+ny*ny+nx*nx),6) peak FROM points GROUP BY 1", "points")
 def surface_summary(t):
-    ends = [F.round(f(a), 6).alias(f"{a}{k}") for a in KEY for k, f in enumerate((F.min, F.max))]
-    return t.points().groupBy("mesh").agg(F.count("*").alias("n"), *ends, F.round(F.sum(F.col("nz") * F.col("nz") + F.col("ny") * F.col("ny") + F.col("nx") * F.col("nx")), 6).alias("peak"))
+    out = mesh.summary(t.points())
+    return rounded(out, *(f"{a}{k}" for a in KEY for k in (0, 1)), "peak")
 
 
 @query("WITH m AS (SELECT l_orderkey//256 s,CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END y,l_discount*5 p FROM lineitem) SELECT s,count(*) n,round(sum(y*p),6) hit,round((2*sum(y*p)+1.0)/(sum(p*p)+sum(y*y)+1.0),6) soft FROM m GROUP BY 1")
