@@ -133,3 +133,10 @@ def composite_alpha(vox: DataFrame, opacity: Column, stop: float = 0.01) -> Data
         return F.struct(value.alias("value"), F.when(open_, s["left"] * (1 - sample["a"])).otherwise(s["left"]).alias("left"))
 
     return rays.select("y", "x", F.aggregate("ray", start, step).alias("s")).select("y", "x", "s.value", "s.left")
+
+
+def composite_beer(vox: DataFrame, absorption: float, scale: float, step: float = 1.0) -> DataFrame:
+    """(y, x, value): samples along z, each dimmed by what lies before it: the exponential of their summed depth."""
+    before = Window.partitionBy("y", "x").orderBy("z").rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum(F.col("v") * (scale * step)).over(before), F.lit(0.0))
+    return vox.select("y", "x", (F.col("v") * F.exp(-absorption * depth)).alias("light")).groupBy("y", "x").agg(F.sum("light").alias("value"))

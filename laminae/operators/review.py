@@ -29,6 +29,41 @@ def health(measures: DataFrame) -> DataFrame:
     return measures.withColumn("health", ladder((unknown, "unknown"), (over(0), "bad"), (over(1), "suspect"), otherwise="ok"))
 
 
+#: Least share on bright material, most spread, least coherence and largest offset (none: any) of a tier;
+#: least ridge score and most spread where that share was not measured; crops that settle a doubt.
+ALIGN_LIMITS = {"A": (90, 7, 70, 3), "B": (84, 8, 60, 4), "C": (70, 12, 45, None)}
+RIDGE_LIMITS = {"A": (72, 5), "B": (62, 6), "C": (50, 10)}
+MIXED, BRIGHT, CROPS, ENOUGH_CROPS = 0.4, 50, 8, 32
+
+
+def alignment(cards: DataFrame) -> DataFrame:
+    """Adds ``tier`` from columns pap, pap_low, pap_high, iqr, alpha_iqr, coh, off, ridge, good and crops, each maybe null.
+
+    Spread counts by iqr, by alpha_iqr with one to spare, or by coherence. A tier that the ends of pap's interval do not
+    share, on few crops, has a question mark. Without pap ridge scores decide; nothing measured is unknown.
+    """
+    number = {c: F.col(c).cast("double") for c in ("pap", "pap_low", "pap_high", "iqr", "alpha_iqr", "coh", "off", "ridge", "good")}
+    mixed = F.coalesce(number["good"], F.lit(0.0)) >= MIXED
+
+    def sure(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False))
+
+    def tier_at(p: Column) -> Column:
+        steps = []
+        for name, (least, spread, coherent, most) in ALIGN_LIMITS.items():
+            tight = sure(number["iqr"] <= spread) | sure(number["alpha_iqr"] <= spread + 1) | sure(number["coh"] >= coherent)
+            centred = F.lit(True) if most is None else F.coalesce(F.abs(number["off"]) <= most, F.lit(True))
+            steps.append((sure(p >= least) & tight & centred, name))
+        return ladder(*steps, (mixed | sure(p >= BRIGHT), "D"), otherwise="E")
+
+    at = [tier_at(number[c]) for c in ("pap", "pap_low", "pap_high")]
+    doubtful = number["pap_low"].isNotNull() & number["pap_high"].isNotNull() & ((at[0] != at[1]) | (at[0] != at[2])) & (F.coalesce("crops", F.lit(CROPS)) < ENOUGH_CROPS)
+    ridges = [(sure(number["ridge"] >= least) & sure(number["iqr"] <= spread), name) for name, (least, spread) in RIDGE_LIMITS.items()]
+    unknown = F.coalesce(*number.values()).isNull()
+    tier = F.when(unknown, "unknown").when(number["pap"].isNull(), ladder(*ridges, (mixed, "D"), otherwise="E")).when(doubtful, F.concat(at[0], F.lit("?"))).otherwise(at[0])
+    return cards.withColumn("tier", tier)
+
+
 def grade(cards: DataFrame) -> DataFrame:
     """Adds ``grade`` from columns tier, health, disagree, dup_bad, dup_good: the tier, capped by health and by peers.
 

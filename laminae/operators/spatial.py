@@ -114,14 +114,21 @@ def axis_segments(axis: DataFrame) -> DataFrame:
 
 
 def on_axis(points: DataFrame, axis: DataFrame) -> DataFrame:
-    """Adds cy, cx: the axis at each point's z, interpolated between control points and clamped at its ends."""
-    segments = axis_segments(axis)
-    first = axis.agg(F.min("z").alias("z_first"))
-    z = F.greatest(F.col("z"), F.col("z_first"))
+    """Adds cy, cx: the axis at each point's z, interpolated between control points and clamped at its ends.
+
+    Segments are dealt to cells of z about as long as a segment, so points meet theirs by the number of a cell.
+    """
+    ends = axis.agg(F.min("z").cast("double").alias("low"), F.max("z").cast("double").alias("high"), F.count("z").alias("n")).first()
+    if not ends["n"]:
+        return points.select("*", *(F.lit(None).cast("double").alias(f"c{a}") for a in ("y", "x"))).limit(0)
+    cell = max((ends["high"] - ends["low"]) / ends["n"], 1e-9)
+    number = lambda z: F.floor((z - ends["low"]) / cell)
+    segments = axis_segments(axis).withColumn("_cell", F.explode(F.sequence(number(F.col("z0")), number(F.coalesce("z1", "z0")))))
+    z = F.least(F.greatest(F.col("z").cast("double"), F.lit(ends["low"])), F.lit(ends["high"]))
     inside = (F.col("zc") >= F.col("z0")) & (F.col("z1").isNull() | (F.col("zc") < F.col("z1")))
     share = F.when(F.col("z1").isNull(), 0.0).otherwise((F.col("zc") - F.col("z0")) / (F.col("z1") - F.col("z0")))
-    out = points.crossJoin(F.broadcast(first)).withColumn("zc", z).join(F.broadcast(segments), inside)
-    return out.select(*points.columns, *((F.col(f"{a}0") + share * F.coalesce(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(0.0))).alias(f"c{a}") for a in ("y", "x")))
+    out = points.withColumn("zc", z).withColumn("_cell", number(F.col("zc"))).join(segments, "_cell").filter(inside)
+    return out.select(*(points[c] for c in points.columns), *((F.col(f"{a}0") + share * F.coalesce(F.col(f"{a}1") - F.col(f"{a}0"), F.lit(0.0))).alias(f"c{a}") for a in ("y", "x")))
 
 
 def trilinear(points: DataFrame, vox: DataFrame, shape: tuple[int, int, int]) -> DataFrame:

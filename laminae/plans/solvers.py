@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from laminae.operators import bands, dense, fields
+from laminae.operators import bands, dense, fields, filters, review
 from laminae.plans.catalog import FIXED, query, rounded
 from laminae.session import shared_folder
 from laminae.sources import archive, npy, tiff
@@ -150,3 +150,34 @@ def band_ingest(t):
     path = f"{shared_folder(t.spark)}/archive-{uuid.uuid4().hex}"
     archive.write(t.ct(), path, 8)
     return archive.read_band(t.spark, path, t.gt().filter("v >= 40 and y < 12"), 2)
+
+
+# rays and verdicts
+
+
+@query("SELECT y,x,round(sum(v*exp(-4*coalesce(d,0))),6) AS value FROM (SELECT y,x,v,sum(v*(1/500.0::DOUBLE)) OVER (PARTITION BY y,x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) d FROM ct) GROUP BY 1,2", "ct")
+def composite_beer(t):
+    return rounded(filters.composite_beer(t.ct(), 4.0, 1 / 500.0), "value")
+
+
+_MEASURED = "c AS (SELECT o_orderkey k,CASE WHEN k%11<>0 THEN k*7%60+41.0 END pap,CASE WHEN k%5<>0 THEN pap-k%4 END lo,CASE WHEN k%5<>0 THEN pap+k%3 END hi,CASE WHEN k%4<>0 THEN k//3%15 END iqr,CASE WHEN k%3=0 THEN k//7%15 END aiqr,CASE WHEN k%6<3 THEN k//2%100 END coh,CASE WHEN k%9<>0 THEN k//5%11-5 END off_,k%10/10.0 good,k//2%90 ridge,CASE WHEN k%7=0 THEN 32 ELSE 16 END crops FROM orders)"
+_TIER = "CASE WHEN {p}>=90 AND (coalesce(iqr<=7,false) OR coalesce(aiqr<=8,false) OR coalesce(coh>=70,false)) AND coalesce(abs(off_)<=3,true) THEN 'A' WHEN {p}>=84 AND (coalesce(iqr<=8,false) OR coalesce(aiqr<=9,false) OR coalesce(coh>=60,false)) AND coalesce(abs(off_)<=4,true) THEN 'B' WHEN {p}>=70 AND (coalesce(iqr<=12,false) OR coalesce(aiqr<=13,false) OR coalesce(coh>=45,false)) THEN 'C' WHEN good>=0.4 OR {p}>=50 THEN 'D' ELSE 'E' END"
+
+
+@query(f"WITH {_MEASURED}, t AS (SELECT *,{_TIER.format(p='pap')} m,{_TIER.format(p='lo')} l,{_TIER.format(p='hi')} h FROM c) SELECT k,CASE WHEN pap IS NULL THEN CASE WHEN ridge>=72 AND coalesce(iqr<=5,false) THEN 'A' WHEN ridge>=62 AND coalesce(iqr<=6,false) THEN 'B' WHEN ridge>=50 AND coalesce(iqr<=10,false) THEN 'C' WHEN good>=0.4 THEN 'D' ELSE 'E' END WHEN lo IS NOT NULL AND (m<>l OR m<>h) AND crops<32 THEN m||'?' ELSE m END tier FROM t")
+def align_verdict(t):
+    k = F.col("o_orderkey")
+    pap = F.when(k % 11 != 0, k * 7 % 60 + 41.0)
+    measured = {
+        "pap": pap,
+        "pap_low": F.when(k % 5 != 0, pap - k % 4),
+        "pap_high": F.when(k % 5 != 0, pap + k % 3),
+        "iqr": F.when(k % 4 != 0, F.floor(k / 3) % 15),
+        "alpha_iqr": F.when(k % 3 == 0, F.floor(k / 7) % 15),
+        "coh": F.when(k % 6 < 3, F.floor(k / 2) % 100),
+        "off": F.when(k % 9 != 0, F.floor(k / 5) % 11 - 5),
+        "good": k % 10 / 10.0,
+        "ridge": F.floor(k / 2) % 90,
+        "crops": F.when(k % 7 == 0, 32).otherwise(16),
+    }
+    return review.alignment(t.orders.select(k.alias("k"), *(c.alias(n) for n, c in measured.items()))).select("k", "tier")
