@@ -30,6 +30,8 @@ FIRST = 8
 TILE_STEPS = 64
 #: Words that the Z-functions of a task work on at a time.
 LANE_WORDS = 4_000_000
+#: Bytes of tiles that a task solves, about: they are few for the work they are.
+TASK_BYTES = 1 << 20
 #: Lanes below which a loop of its own for each is faster than steps for all.
 FEW_LANES = 64
 _DOC = "kind int, row long, doc_id long, n_words long, plain string, words string, base long, low long, ids binary"
@@ -335,7 +337,9 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     prepare(docs)
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scanned = stored(small.mapInArrow(_scan(fresh_seed()), _DOC), "tiles")
-    tiles = scanned.filter("kind = 1").select("row", "base", "low", "ids").repartition("row", "low", "base")
+    tiles = scanned.filter("kind = 1").select("row", "base", "low", "ids")
+    size = tiles.agg(F.sum(F.length("ids"))).first()[0] or 0
+    tiles = tiles.repartition(max(1, -(-size // TASK_BYTES)), "row", "low", "base")
     fragments = tiles.mapInArrow(_solve, "row long, period long, start long, end long")
     runs = periodic_runs(fragments)
     better = F.struct((F.col("length") / F.col("period")).alias("e"), (-F.col("start")).alias("s"), (-F.col("period")).alias("p"), F.col("length").alias("n"))
