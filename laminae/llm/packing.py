@@ -36,7 +36,7 @@ SWEEP_ROWS = 100_000
 LITTLE = 20
 #: Largest pieces that fill a sequence, from which on sequences are opened by volume.
 COARSE = 8
-PLACED, PIECE, GAP, SHRUNK = range(4)
+PLACED, PIECE, GAP, SHRUNK, SUMMARY = range(5)
 _SWEPT = "what int, id long, bin long, offset long, size long, part int, rank long"
 
 
@@ -76,12 +76,27 @@ def _cut_lazily(*args):
     return lambda batches: _cut(*args)(batches)
 
 
+class _Told:
+    """Number, least and largest size, and sum of sizes of a task's rows of each kind."""
+
+    def __init__(self):
+        self.of: dict[int, tuple[int, int, int, int]] = {}
+
+    def update(self, rows: list[tuple]) -> None:
+        for what, _, _, _, size, _, _ in rows:
+            n, least, largest, total = self.of.get(what, (0, size, size, 0))
+            self.of[what] = n + 1, min(least, size), max(largest, size), total + size
+
+    def rows(self, part: int) -> list[tuple]:
+        return [(SUMMARY, what, n, least, largest, part, total) for what, (n, least, largest, total) in self.of.items()]
+
+
 def _sweep(capacity: int):
     def run(batches):
         part = TaskContext.get().partitionId()
         gaps: list[tuple[int, int]] = []  # (-size, bin) in ascending order: the smallest gap is last
         small: list[tuple[int, int]] = []  # a heap of gaps below the piece size, the largest first
-        out, left = [], 0
+        out, left, told = [], 0, _Told()
         for batch in batches:
             for kind, size, row in zip(batch.column("kind").to_pylist(), batch.column("size").to_pylist(), batch.column("id").to_pylist(), strict=True):
                 while small and -small[0][0] >= size:
@@ -98,10 +113,13 @@ def _sweep(capacity: int):
                     if rest:
                         heappush(small, (-rest, to))
             if len(out) > 50_000:
+                told.update(out)
                 yield _rows(out)
                 out = []
         out += [(SHRUNK, to, None, None, -gap, part, None) for gap, to in small]
         out += [(GAP, to, None, None, -gap, part, rank) for rank, (gap, to) in enumerate(reversed(gaps))]
+        told.update(out)
+        out += told.rows(part)
         if out:
             yield _rows(out)
 
@@ -181,8 +199,8 @@ def best_fit(items: DataFrame, capacity: int) -> DataFrame:
     while n:
         swept = rows.repartitionByRange(-(-n // SWEEP_ROWS), *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
         placed.append(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
-        counts = swept.groupBy("part", "what").agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("largest"), F.sum("size").alias("total")).collect()  # a row a task and kind
-        summary = {(r["part"], r["what"]): (r["n"], r["least"], r["largest"], r["total"]) for r in counts}
+        told = swept.filter(f"what = {SUMMARY}").collect()  # a row a task and kind
+        summary = {(r["part"], r["id"]): (r["bin"], r["offset"], r["size"], r["rank"]) for r in told}
         if not any(what == PIECE for _, what in summary):
             break
         settled = _settle(swept, *_plan(summary, capacity), capacity).coalesce(-(-n // SWEEP_ROWS)).checkpoint()
@@ -197,31 +215,76 @@ def _plan(summary: dict, capacity: int) -> tuple[list[tuple], list[tuple], int,
     return shares, *_facts(summary, shares, capacity)
 
 
+_AFTER = "uid long, bin long, offset long, id long, size long, kind int"
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [np.asarray(batch.column(c).fill_null(-1)) for c in names]
+
+
+def _stays(facts: list[tuple], needed: int, together: int, capacity: int):
+    """What goes on by itself: gaps and pieces that no other range meets, and pieces that open sequences, with their gap."""
+    known = {part: rest for part, *rest in facts}
+
+    def run(batches):
+        for batch in batches:
+            what, ids, sizes, rank = _columns(batch, "what", "id", "size", "rank")
+            taken, crossed, before = known[int(batch.column("part")[0].as_py())] if len(batch) else (0, 0, 0)
+            piece = what == PIECE
+            place = rank - crossed + before
+            opens = piece & (rank >= crossed) & (place < needed) & (place % max(together, 1) == 0) & ((sizes * (together + 1) > capacity) | (together == 1))
+            keep = piece & (rank >= crossed) | (what == GAP) & (rank >= taken) | (what == SHRUNK)
+            own = pa.array(ids, mask=~opens)
+            left = np.where(opens, capacity - sizes, sizes)
+            out = [own, own, pa.array(np.zeros(len(ids), np.int64), mask=~opens), pa.array(ids), pa.array(left), pa.array(np.where(piece & ~opens, GAP + 1, GAP).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(out, ["uid", "bin", "offset", "id", "size", "kind"]).filter(pa.array(keep))
+
+    return run
+
+
+def _meets(shares: list[tuple]):
+    """Pieces and the gaps of other ranges that they take, under the range and rank of the gap."""
+    by_piece, by_gap = {}, {}
+    for part, lo, hi, owner, at, run in shares:
+        by_piece.setdefault(part, []).append((lo, hi, owner, at, run))
+        by_gap.setdefault(owner, []).append((at, at - (-(hi - lo) // run)))
+
+    def work(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = int(batch.column("part")[0].as_py())
+            what, ids, sizes, rank = _columns(batch, "what", "id", "size", "rank")
+            for first, end in by_gap.get(part, ()):
+                hit = (what == GAP) & (rank >= first) & (rank < end)
+                yield _met(part, rank[hit], GAP, ids[hit], sizes[hit], rank[hit])
+            for lo, hi, owner, at, run in by_piece.get(part, ()):
+                hit = (what == PIECE) & (rank >= lo) & (rank < hi)
+                yield _met(owner, (rank[hit] - lo) // run + at, GAP + 1, ids[hit], sizes[hit], rank[hit])
+
+    return work
+
+
+def _met(owner: int, turn: np.ndarray, kind: int, ids: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    same = [pa.array(np.full(len(ids), x, np.int64)) for x in (owner, kind)]
+    return pa.RecordBatch.from_arrays([same[0], pa.array(turn), same[1], pa.array(ids), pa.array(sizes), pa.array(rank)], ["owner", "turn", "kind", "id", "size", "rank"])
+
+
 def _settle(swept: DataFrame, shares: list[tuple], facts: list[tuple], needed: int, together: int, capacity: int) -> DataFrame:
     """What a round does after its sweeps: rows (uid, bin, offset) of pieces placed and (id, size, kind) left for the next.
 
     Pieces that cross to another range's gaps go behind each other in order of rank; other left pieces open sequences
-    if they are to. A row may be of both sorts: an opener and its gap. Facts and shares are a few rows a task.
+    if they are to. A row may be of both sorts: an opener and its gap. Facts and shares are a few numbers a task.
     """
-    spark = swept.sparkSession
-    known = swept.filter(f"what <> {PLACED}").join(F.broadcast(spark.createDataFrame(facts, "part int, taken long, crossed long, before long")), "part")
-    place = F.col("rank") - F.col("crossed") + F.col("before")
-    opens = (place < needed) & (place % max(together, 1) == 0) & ((F.col("size") * (together + 1) > capacity) | F.lit(together == 1))
-    piece = F.col("what") == PIECE
-    opens = piece & opens
-    stays = F.when(piece, F.col("rank") >= F.col("crossed")).when(F.col("what") == GAP, F.col("rank") >= F.col("taken")).otherwise(True)
-    own = F.when(opens, F.col("id"))
-    after = known.filter(stays).select(own.alias("uid"), own.alias("bin"), F.when(opens, F.lit(0).cast("long")).alias("offset"), "id", F.when(opens, capacity - F.col("size")).otherwise(F.col("size")).alias("size"), F.when(piece & ~opens, GAP + 1).otherwise(GAP).alias("kind"))
+    after = swept.filter(f"what in ({PIECE}, {GAP}, {SHRUNK})").mapInArrow(_stays(facts, needed, together, capacity), _AFTER)
     if not shares:
         return after
-    taking = F.broadcast(spark.createDataFrame(shares, "part int, lo long, hi long, owner int, at long, run long"))
-    turn = F.floor((F.col("rank") - F.col("lo")) / F.col("run")) + F.col("at")
-    wanted = swept.filter(f"what = {PIECE}").join(taking, "part").filter("rank >= lo and rank < hi").select(F.col("id").alias("uid"), F.col("size").alias("length"), "rank", "owner", turn.alias("turn"))
-    given = swept.filter(f"what = {GAP}").select(F.col("part").alias("owner"), F.col("rank").alias("turn"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-    run = Window.partitionBy("owner", "turn").orderBy("rank")
-    upto = F.sum("length").over(run)
-    rest = F.when(F.lead("uid").over(run).isNull() & (F.col("gap") > upto), F.col("gap") - upto)
-    crossed = wanted.join(given, ["owner", "turn"]).select("uid", "bin", (capacity - F.col("gap") + upto - F.col("length")).alias("offset"), F.col("bin").alias("id"), rest.alias("size"), F.lit(GAP).alias("kind"))
+    met = swept.filter(f"what in ({PIECE}, {GAP})").mapInArrow(_meets(shares), "owner long, turn long, kind long, id long, size long, rank long")
+    run = Window.partitionBy("owner", "turn").orderBy("kind", "rank")
+    gap, upto = F.first("size").over(run), F.sum(F.when(F.col("kind") > GAP, F.col("size"))).over(run)
+    placed = met.select("kind", "size", "id", F.first("id").over(run).alias("bin"), gap.alias("gap"), upto.alias("upto"), F.lead("id").over(run).isNull().alias("last")).filter(f"kind > {GAP}")
+    rest = F.when(F.col("last") & (F.col("gap") > F.col("upto")), F.col("gap") - F.col("upto"))
+    crossed = placed.select(F.col("id").alias("uid"), "bin", (capacity - F.col("gap") + F.col("upto") - F.col("size")).alias("offset"), F.col("bin").alias("id"), rest.alias("size"), F.lit(GAP).alias("kind"))
     return after.union(crossed)
 
 
