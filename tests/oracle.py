@@ -1,7 +1,6 @@
 """Runs a query and its SQL side by side and compares their rows, columns sorted by name."""
 
 import math
-import sys
 
 import duckdb
 
@@ -42,6 +41,3 @@ def difference(spark, con, run, sql, folder):
         return f"{len(got)} and {len(want)} rows; {odd}"
     return None
 
-
-if __name__ == "__main__":
-    print(sys.argv)
