@@ -1,43 +1,35 @@
-"""Best-fit packing of token pieces, bulk-synchronous.
-
-A round range-sorts unplaced pieces and open gaps together, largest first. Each task sweeps its range: a piece takes
-the smallest gap that it fits (its successor among the gaps not yet taken), and what rests of the gap is a gap again
-as soon as pieces are small enough. What a range cannot settle, pieces left over and gaps left over, is settled by
-rank: the counts and sizes of each range, a few numbers a task, tell which gaps of larger ranges the pieces of a
-smaller range take, the tightest first; a gap gets a run of as many pieces as are sure to fit. Gaps shrink, and the
-round repeats; a gap halves in a round at least, or its pieces are at an end. When it places little, pieces left
-open sequences: large ones by the number that fits, the others as many at once as their volume needs, so rounds grow
-with the logarithm of the input and not with the number of sizes. They are the same at every size of input and end when
-no piece is left.
+"""Best-fit decreasing packing of token pieces, in one pass.
+
+Pieces are range-sorted, largest first, and each learns its place in the whole order: a range tells how many pieces of
+each size it holds, so the sums take a row a range and a row a size. Sizes are whole numbers up to the capacity, and
+sequences of equal room are alike; what best fit does to them follows from the number of pieces of each size alone. That
+plan is made over sizes and not over pieces: all sequences of the tightest room that a size fits take as many of its
+pieces as they hold, before wider ones do. Of each size only one room is left half taken, and a sequence more than
+halves its room with each size it takes, so the plan has fewer than 3 x capacity x (2 + log2 capacity) entries,
+whatever the number of pieces. Tasks then look up the sequence and offset of each place.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import insort
+from bisect import bisect_left, insort
 from collections import Counter
-from functools import reduce
-from heapq import heappop, heappush
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import prepare, stored
 from .grams import pieces
 from .tokens import library_cache, vocabulary_path
 
 TEXT_BYTES = 1 << 20
-#: Rows that one task sweeps.
+#: Rows that one task sorts.
 SWEEP_ROWS = 100_000
-#: A round that places less than one in so many of the pieces it leaves also opens sequences.
-LITTLE = 20
-#: Largest pieces that fill a sequence, from which on sequences are opened by volume.
-COARSE = 8
-PLACED, PIECE, GAP, SHRUNK, SUMMARY = range(5)
-_SWEPT = "what int, id long, bin long, offset long, size long, part int, rank long"
 
 
 def _cut(vocabulary: str, end_id: int, capacity: int):
@@ -76,230 +68,109 @@ def _cut_lazily(*args):
     return lambda batches: _cut(*args)(batches)
 
 
-class _Told:
-    """Number, least and largest size, and sum of sizes of a task's rows of each kind."""
+def _ranked(batches):
+    """Rows with their range and place in it; after them, how many rows of each length the range holds."""
+    part, at, held, schema = TaskContext.get().partitionId(), 0, Counter(), None
+    for batch in batches:
+        n, schema = batch.num_rows, batch.schema
+        sizes, counts = np.unique(np.asarray(batch.column("length")), return_counts=True)
+        held.update(dict(zip(sizes.tolist(), counts.tolist(), strict=True)))
+        yield _with(batch, part=pa.array(np.full(n, part, np.int32)), place=pa.array(np.arange(at, at + n)), many=pa.nulls(n, pa.int64()))
+        at += n
+    if held:
+        n = len(held)
+        told = [pa.array(list(held), pa.int64()) if f.name == "length" else pa.nulls(n, f.type) for f in schema]
+        told = pa.RecordBatch.from_arrays(told, schema.names)
+        yield _with(told, part=pa.array(np.full(n, part, np.int32)), place=pa.nulls(n, pa.int64()), many=pa.array(list(held.values()), pa.int64()))
 
-    def __init__(self):
-        self.of: dict[int, tuple[int, int, int, int]] = {}
 
-    def update(self, rows: list[tuple]) -> None:
-        for what, _, _, _, size, _, _ in rows:
-            n, least, largest, total = self.of.get(what, (0, size, size, 0))
-            self.of[what] = n + 1, min(least, size), max(largest, size), total + size
+def _with(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
-    def rows(self, part: int) -> list[tuple]:
-        return [(SUMMARY, what, n, least, largest, part, total) for what, (n, least, largest, total) in self.of.items()]
 
+def fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int]]:
+    """Best-fit decreasing of ``counts`` pieces by size: (first place, pieces a sequence, first sequence, offset) each.
 
-def _sweep(capacity: int):
-    def run(batches):
-        part = TaskContext.get().partitionId()
-        gaps: list[tuple[int, int]] = []  # (-size, bin) in ascending order: the smallest gap is last
-        small: list[tuple[int, int]] = []  # a heap of gaps below the piece size, the largest first
-        out, left, told = [], 0, _Told()
-        for batch in batches:
-            for kind, size, row in zip(batch.column("kind").to_pylist(), batch.column("size").to_pylist(), batch.column("id").to_pylist(), strict=True):
-                while small and -small[0][0] >= size:
-                    insort(gaps, heappop(small))
-                if kind == GAP:
-                    insort(gaps, (-size, row))
-                elif not gaps:
-                    out.append((PIECE, row, None, None, size, part, left))
-                    left += 1
-                else:
-                    gap, to = gaps.pop()
-                    out.append((PLACED, row, to, capacity + gap, size, part, None))
-                    rest = -gap - size
-                    if rest:
-                        heappush(small, (-rest, to))
-            if len(out) > 50_000:
-                told.update(out)
-                yield _rows(out)
-                out = []
-        out += [(SHRUNK, to, None, None, -gap, part, None) for gap, to in small]
-        out += [(GAP, to, None, None, -gap, part, rank) for rank, (gap, to) in enumerate(reversed(gaps))]
-        told.update(out)
-        out += told.rows(part)
-        if out:
-            yield _rows(out)
-
-    return run
-
-
-def _rows(out: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["what", "id", "bin", "offset", "size", "part", "rank"])
-
-
-def _by_rank(summary: dict[tuple[int, int], tuple[int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
-    """Which left-over pieces take which left-over gaps: (part, first rank, end rank, gaps' part, first gap rank, run).
-
-    ``summary``: (number, least size, largest size, sum of sizes) by range and kind. A gap takes a run of as many pieces as surely fit.
+    Places number the pieces, largest first. The pieces from an entry's first place up to the next entry's go to
+    consecutive sequences, so many to each, behind each other from the offset on.
     """
-    stack, out = [], []
-    for part in sorted({p for p, _ in summary}):
-        left, _, largest, _ = summary.get((part, PIECE), (0, 0, 0, 0))
-        rank = 0
-        while left and stack:
-            owner, used, free, least = stack.pop()
-            run = max(1, least // largest)
-            n = min(left, free * run)
-            taken = -(-n // run)
-            out.append((part, rank, rank + n, owner, used, run))
-            rank, left = rank + n, left - n
-            if free > taken:
-                stack.append((owner, used + taken, free - taken, least))
-        if (part, GAP) in summary:
-            stack.append((part, 0, *summary[part, GAP][:2]))
+    rooms: list[int] = []  # in ascending order
+    alike: dict[int, list[tuple[int, int]]] = {}  # by room: first sequence and number of sequences
+    out, place, opened = [], 0, 0
+
+    def put(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in alike:
+                insort(rooms, room)
+            alike.setdefault(room, []).append((first, n))
+
+    for size in sorted(counts, reverse=True):
+        left = counts[size]
+        while left:
+            k = bisect_left(rooms, size)
+            if k < len(rooms):
+                room = rooms[k]
+                first, free = alike[room].pop()
+                if not alike[room]:
+                    del alike[room], rooms[k]
+            else:
+                room, first, free = capacity, opened, -(-left // (capacity // size))
+                opened += free
+            run = room // size
+            taken = min(free, -(-left // run))
+            n = min(left, taken * run)
+            out.append((place, run, first, capacity - room))
+            whole, some = divmod(n, run)
+            put(room - run * size, first, whole)
+            put(room - some * size, first + whole, int(some > 0))
+            put(room, first + taken, free - taken)
+            place, left = place + n, left - n
     return out
 
 
-def _facts(summary: dict, shares: list[tuple], capacity: int) -> tuple[list[tuple], int, int]:
-    """((part, gaps taken, pieces crossed, pieces left before) of each range; how many of the left pieces may open a
-    sequence; every how many-th does).
-
-    ``summary``: (number, least size, largest size, sum of sizes) by range and kind. Takers come in the order of rank, so
-    what is taken of a range is a prefix. Small pieces open as many sequences as the volume left needs beyond the open
-    gaps or, if the round placed little, so that gaps are of no more use, as it needs by itself. Where fewer than
-    COARSE of the largest fill a sequence, volume says little of what fits; if little was placed, every j-th opens one,
-    if j of them fill it, among those of which no more than j fit.
-    """
-    taken, crossed = Counter(), Counter()
-    for part, lo, hi, owner, at, run in shares:
-        crossed[part] = max(crossed[part], hi)
-        taken[owner] = max(taken[owner], at - (-(hi - lo) // run))
-    rows, before, volume, space, largest = [], 0, 0, 0, 0
-    for part in sorted({p for p, _ in summary}):
-        rows.append((part, taken[part], crossed[part], before))
-        n, _, top, total = summary.get((part, PIECE), (0, 0, 0, 0))
-        if n > crossed[part]:
-            largest = max(largest, top)
-        before += n - crossed[part]
-        # sizes inside a range are alike: its mean stands for those that cross
-        volume += total * (n - crossed[part]) // max(n, 1)
-        space += sum(summary.get((part, what), (0, 0, 0, 0))[3] for what in (GAP, SHRUNK))
-    placed = sum(facts[0] for (_, what), facts in summary.items() if what == PLACED) + sum(crossed.values())
-    little = placed * LITTLE <= before
-    together = capacity // largest if largest else 0
-    if together < COARSE:
-        return rows, before if little else 0, together
-    return rows, -(-volume // capacity) if little else -(-max(0, volume - space) // capacity), 1
-
-
-def best_fit(items: DataFrame, capacity: int) -> DataFrame:
-    """(uid, bin, offset) for items (uid long, length long) with 1 <= length <= capacity; bins are named by an item."""
-    spark = prepare(items)
-    items = items.select("uid", "length")
-    alone = 2 * F.col("length") > capacity
-    opened = items.filter(alone).select("uid", F.col("uid").alias("bin"), F.lit(0).cast("long").alias("offset"))
-    rows = items.select(F.col("uid").alias("id"), F.when(alone, capacity - F.col("length")).otherwise(F.col("length")).alias("size"), F.when(alone, GAP).otherwise(GAP + 1).alias("kind")).filter("size > 0")
-    n, placed = items.count(), [opened]
-    # equal sizes: gaps stand before pieces
-    order = [F.desc("size"), F.asc("kind"), F.asc("id")]
-    while n:
-        swept = rows.repartitionByRange(-(-n // SWEEP_ROWS), *order).sortWithinPartitions(*order).mapInArrow(_sweep(capacity), _SWEPT).checkpoint()
-        placed.append(swept.filter(f"what = {PLACED}").select(F.col("id").alias("uid"), "bin", "offset"))
-        told = swept.filter(f"what = {SUMMARY}").collect()  # a row a task and kind
-        summary = {(r["part"], r["id"]): (r["bin"], r["offset"], r["size"], r["rank"]) for r in told}
-        if not any(what == PIECE for _, what in summary):
-            break
-        settled = _settle(swept, *_plan(summary, capacity), capacity).coalesce(-(-n // SWEEP_ROWS)).checkpoint()
-        placed.append(settled.filter("uid is not null").select("uid", "bin", "offset"))
-        rows = settled.filter("size is not null").select("id", "size", "kind")
-        n = sum(facts[0] for (_, what), facts in summary.items() if what != PLACED)
-    return reduce(DataFrame.union, placed)
-
-
-def _plan(summary: dict, capacity: int) -> tuple[list[tuple], list[tuple], int, int]:
-    shares = _by_rank(summary)
-    return shares, *_facts(summary, shares, capacity)
-
-
-_AFTER = "uid long, bin long, offset long, id long, size long, kind int"
-
-
-def _columns(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
-    return [np.asarray(batch.column(c).fill_null(-1)) for c in names]
-
-
-def _stays(facts: list[tuple], needed: int, together: int, capacity: int):
-    """What goes on by itself: gaps and pieces that no other range meets, and pieces that open sequences, with their gap."""
-    known = {part: rest for part, *rest in facts}
-
+def _placed(plan: list[tuple[int, int, int, int]], before: list[int]):
     def run(batches):
+        starts, runs, firsts, offsets = np.array(plan, np.int64).reshape(-1, 4).T
+        upto = np.array(before, np.int64)
         for batch in batches:
-            what, ids, sizes, rank = _columns(batch, "what", "id", "size", "rank")
-            taken, crossed, before = known[int(batch.column("part")[0].as_py())] if len(batch) else (0, 0, 0)
-            piece = what == PIECE
-            place = rank - crossed + before
-            opens = piece & (rank >= crossed) & (place < needed) & (place % max(together, 1) == 0) & ((sizes * (together + 1) > capacity) | (together == 1))
-            keep = piece & (rank >= crossed) | (what == GAP) & (rank >= taken) | (what == SHRUNK)
-            own = pa.array(ids, mask=~opens)
-            left = np.where(opens, capacity - sizes, sizes)
-            out = [own, own, pa.array(np.zeros(len(ids), np.int64), mask=~opens), pa.array(ids), pa.array(left), pa.array(np.where(piece & ~opens, GAP + 1, GAP).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(out, ["uid", "bin", "offset", "id", "size", "kind"]).filter(pa.array(keep))
+            part, place, length = (np.asarray(batch.column(c)) for c in ("part", "place", "length"))
+            place = upto[part] + place
+            entry = np.searchsorted(starts, place, "right") - 1
+            turn = place - starts[entry]
+            rows = batch.select([c for c in batch.schema.names if c not in ("part", "place", "many")])
+            yield _with(rows, bin=pa.array(firsts[entry] + turn // runs[entry]), offset=pa.array(offsets[entry] + turn % runs[entry] * length))
 
     return run
 
 
-def _meets(shares: list[tuple]):
-    """Pieces and the gaps of other ranges that they take, under the range and rank of the gap."""
-    by_piece, by_gap = {}, {}
-    for part, lo, hi, owner, at, run in shares:
-        by_piece.setdefault(part, []).append((lo, hi, owner, at, run))
-        by_gap.setdefault(owner, []).append((at, at - (-(hi - lo) // run)))
-
-    def work(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            part = int(batch.column("part")[0].as_py())
-            what, ids, sizes, rank = _columns(batch, "what", "id", "size", "rank")
-            for first, end in by_gap.get(part, ()):
-                hit = (what == GAP) & (rank >= first) & (rank < end)
-                yield _met(part, rank[hit], GAP, ids[hit], sizes[hit], rank[hit])
-            for lo, hi, owner, at, run in by_piece.get(part, ()):
-                hit = (what == PIECE) & (rank >= lo) & (rank < hi)
-                yield _met(owner, (rank[hit] - lo) // run + at, GAP + 1, ids[hit], sizes[hit], rank[hit])
-
-    return work
-
-
-def _met(owner: int, turn: np.ndarray, kind: int, ids: np.ndarray, sizes: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
-    same = [pa.array(np.full(len(ids), x, np.int64)) for x in (owner, kind)]
-    return pa.RecordBatch.from_arrays([same[0], pa.array(turn), same[1], pa.array(ids), pa.array(sizes), pa.array(rank)], ["owner", "turn", "kind", "id", "size", "rank"])
-
-
-def _settle(swept: DataFrame, shares: list[tuple], facts: list[tuple], needed: int, together: int, capacity: int) -> DataFrame:
-    """What a round does after its sweeps: rows (uid, bin, offset) of pieces placed and (id, size, kind) left for the next.
+def best_fit(items: DataFrame, capacity: int) -> DataFrame:
+    """``items`` (uid long, length long, other columns) with bin and offset, as best-fit decreasing packs them.
 
-    Pieces that cross to another range's gaps go behind each other in order of rank; other left pieces open sequences
-    if they are to. A row may be of both sorts: an opener and its gap. Facts and shares are a few numbers a task.
+    Lengths are from 1 to ``capacity``; bins are numbered from 0.
     """
-    after = swept.filter(f"what in ({PIECE}, {GAP}, {SHRUNK})").mapInArrow(_stays(facts, needed, together, capacity), _AFTER)
-    if not shares:
-        return after
-    met = swept.filter(f"what in ({PIECE}, {GAP})").mapInArrow(_meets(shares), "owner long, turn long, kind long, id long, size long, rank long")
-    run = Window.partitionBy("owner", "turn").orderBy("kind", "rank")
-    gap, upto = F.first("size").over(run), F.sum(F.when(F.col("kind") > GAP, F.col("size"))).over(run)
-    placed = met.select("kind", "size", "id", F.first("id").over(run).alias("bin"), gap.alias("gap"), upto.alias("upto"), F.lead("id").over(run).isNull().alias("last")).filter(f"kind > {GAP}")
-    rest = F.when(F.col("last") & (F.col("gap") > F.col("upto")), F.col("gap") - F.col("upto"))
-    crossed = placed.select(F.col("id").alias("uid"), "bin", (capacity - F.col("gap") + F.col("upto") - F.col("size")).alias("offset"), F.col("bin").alias("id"), rest.alias("size"), F.lit(GAP).alias("kind"))
-    return after.union(crossed)
+    prepare(items)
+    fields = [StructField(f.name, f.dataType) for f in items.schema]
+    kinds = StructType([*fields, StructField("part", IntegerType()), StructField("place", LongType()), StructField("many", LongType())])
+    order = [F.desc("length"), F.asc("uid")]
+    ranges = max(1, -(-items.count() // SWEEP_ROWS))
+    ranked = items.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(_ranked, kinds).checkpoint()
+    counts, parts = Counter(), Counter()
+    for r in ranked.filter("many is not null").select("part", "length", "many").collect():  # a row a range and a row a size
+        counts[r["length"]] += r["many"]
+        parts[r["part"]] += r["many"]
+    before = list(accumulate((parts[k] for k in range(max(parts, default=0))), initial=0))
+    kinds = StructType([*fields, StructField("bin", LongType()), StructField("offset", LongType())])
+    return ranked.filter("many is null").mapInArrow(_placed(fit_plan(counts, capacity), before), kinds)
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document's ids are the tokenizers library's for its whole text (null and empty: none) and ``end_id``. Longer ones
-    than ``capacity`` are cut into full pieces after a first, maybe shorter, piece. Full pieces fill sequences of their
-    own. Ties: equal lengths are taken in the order of an internal row number; repeated rows and rows with a null
-    doc_id are packed like any other; a very long text is cut like any longer one. An empty table gives an empty one;
-    other columns are not read.
+    than ``capacity`` are cut into full pieces after a first, maybe shorter, piece. Ties: equal lengths are taken in the
+    order of an internal row number; repeated rows and rows with a null doc_id are packed like any other; a very long
+    text is cut like any longer one. An empty table gives an empty one; other columns are not read.
     """
     prepare(docs)
     cut = token_pieces(docs, capacity, end_id, vocabulary, id_col, text_col)
-    full = cut.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    short = cut.filter(F.col("length") < capacity)
-    bins = best_fit(short, capacity).select(F.col("uid").alias("_uid"), F.col("bin").alias("sequence_id"), "offset")
-    return short.join(bins, short["uid"] == bins["_uid"]).select(*full.columns).union(full)
+    return best_fit(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
