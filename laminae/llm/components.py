@@ -24,7 +24,7 @@ def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = both.join(least, "u")
+    moved = both.join(least.hint("merge"), "u")
     if large:
         out = moved.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
@@ -32,21 +32,24 @@ def _stars(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     return out.filter("a <> b").coalesce(parts).distinct().coalesce(parts)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, component) of every node that an edge (a, b) touches; component: its least reachable node.
 
     Loops and repeated edges are harmless, edges with a null end are ignored, no edges give an empty table. A round
-    is two grouped joins whose rows never exceed the edges; states are checkpointed in the shared folder.
+    is two grouped joins whose rows never exceed the edges; states are checkpointed in the shared folder. ``parts``: as
+    many partitions as the edges are known to need.
     """
     prepare(edges)
-    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").distinct().checkpoint()
+    edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a is not null and b is not null and a <> b").distinct()
+    edges = (edges.coalesce(parts) if parts else edges).checkpoint()
     state = _state(edges)
     while state[0]:
-        parts = -(-2 * state[0] // PART_EDGES)
-        edges = _stars(_stars(edges.coalesce(parts), True, parts), False, parts).checkpoint()
+        few = -(-2 * state[0] // PART_EDGES)
+        edges = _stars(_stars(edges.coalesce(few), True, few), False, few).checkpoint()
         new = _state(edges)
         if new == state:
             break
         state = new
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members.union(edges.select("b", "b")).distinct()
+    members = members.union(edges.select("b", "b")).distinct()
+    return members.coalesce(parts) if parts else members

@@ -41,6 +41,9 @@ PIVOTS = 64
 LIST_BLOCK = 2000
 #: A list with at least one in so many postings is broadcast, so at most so many are.
 HOT_SHARE = 1000
+#: Postings of a partition, at least, between the exchanges of the rounds: what is small does not go through every
+#: partition of each, where a task's own files and records take more room than its rows.
+PART_POSTINGS = 10_000
 LONGEST_MULTI = 8
 #: Words of 64 bits in a class's signature: the parity of its shared shingles by hash.
 SIGNATURE_WORDS = 8
@@ -324,14 +327,19 @@ def _prefixes(percent: int):
 _POSTING = ("rep", "n", "m", "multi", "short", "sig", "pos")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, matched: bool = False) -> DataFrame:
+def _met(left: DataFrame, right: DataFrame, on, parts: int, how: str = "inner") -> DataFrame:
+    """A join whose sides meet where they are dealt, in ``parts`` partitions; a broadcast would collect each one again."""
+    return left.join(right.hint("merge"), on, how).coalesce(parts)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, parts: int, matched: bool = False) -> DataFrame:
     """Links among candidate pairs (a, b), on whole sets; first, unless they ``matched`` before, on their prefixes."""
     one, two = (sets.select(F.col("rep").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("n", "multi", "reach", "tokens"))) for x in ("a", "b"))
     prefixes = [F.slice(f"{x}_tokens", 1, F.col(f"{x}_reach")) for x in ("a", "b")]
     enough = F.lit(True) if matched else F.size(F.array_intersect(*prefixes)) >= F.least("a_multi", "b_multi")
     common = F.size(F.array_intersect("a_tokens", "b_tokens")).cast("long")
     linked = F.when(enough, (100 + percent) * common >= percent * (F.col("a_n") + F.col("b_n"))).otherwise(False)
-    return pairs.join(one, "a").join(two, "b").filter(linked).select("a", "b")
+    return _met(_met(pairs, one, "a", parts), two, "b", parts).filter(linked).select("a", "b")
 
 
 def _possible(percent: int):
@@ -361,46 +369,47 @@ def _matching(pairs: DataFrame, percent: int) -> DataFrame:
     return met.filter("possible").select("a", "b")
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _relabel(labels: DataFrame, links: DataFrame, parts: int) -> DataFrame:
     """Components after more links; only components are joined, so the graph shrinks from round to round."""
     one = labels.select(F.col("rep").alias("a"), F.col("component").alias("ca"))
     two = labels.select(F.col("rep").alias("b"), F.col("component").alias("cb"))
-    merged = connected_components(links.join(one, "a").join(two, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    return labels.join(merged, labels["component"] == merged["node"], "left").select("rep", F.coalesce(merged["component"], labels["component"]).alias("component")).checkpoint()
+    named = _met(_met(links, one, "a", parts), two, "b", parts).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    merged = connected_components(named, parts)
+    return _met(labels, merged, labels["component"] == merged["node"], parts, "left").select("rep", F.coalesce(merged["component"], labels["component"]).alias("component")).checkpoint()
 
 
-def _outside(postings: DataFrame, labels: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+def _outside(postings: DataFrame, labels: DataFrame, least: int, parts: int) -> tuple[DataFrame, DataFrame]:
     """Postings (as a_*, with their component and their list's largest one) outside that component, and those of it.
 
     Only lists of two components or more count; the facts of lists of ``least`` postings or more are broadcast.
     """
-    tagged = postings.join(labels, "rep")
-    parts = tagged.groupBy("token", "component").agg(F.count("*").alias("k"))
-    heads = parts.groupBy("token").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("top")).filter("parts > 1")
-    heads = heads.select("token", (-F.col("top.c")).alias("largest"), F.col("top.k").alias("members"), F.ceil((F.col("all") - F.col("top.k")) / LIST_BLOCK).cast("int").alias("blocks"), "all")
+    tagged = _met(postings, labels, "rep", parts)
+    shares = tagged.groupBy("token", "component").agg(F.count("*").alias("k")).coalesce(parts)
+    heads = shares.groupBy("token").agg(F.count("*").alias("parts"), F.sum("k").alias("all"), F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("top")).filter("parts > 1")
+    heads = heads.select("token", (-F.col("top.c")).alias("largest"), F.col("top.k").alias("members"), F.ceil((F.col("all") - F.col("top.k")) / LIST_BLOCK).cast("int").alias("blocks"), "all").coalesce(parts)
     # lists of a thousandth of all postings, a thousand at most, are broadcast; their postings' key deals them out
     facts = ("largest", "members", "blocks")
     hot = F.broadcast(heads.filter(F.col("all") >= least).select(F.col("token").alias("_hot"), *(F.col(c).alias(f"hot_{c}") for c in facts)))
     cold = heads.filter(F.col("all") < least).select(F.col("token").alias("_cold"), *facts)
     seen = tagged.join(hot, tagged["token"] == hot["_hot"], "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col("token")).otherwise(F.xxhash64("rep")))
-    both = seen.join(cold, (F.col("_key") == F.col("_cold")) & F.col("_hot").isNull(), "left").filter("_hot is not null or _cold is not null")
+    both = _met(seen, cold, (F.col("_key") == F.col("_cold")) & F.col("_hot").isNull(), parts, "left").filter("_hot is not null or _cold is not null")
     named = both.select("token", "component", *(F.coalesce(f"hot_{c}", c).alias(c) for c in facts), *(F.col(c).alias(f"a_{c}") for c in _POSTING))
     return named.filter("component <> largest"), named.filter("component = largest")
 
 
-def _with_pivots(postings: DataFrame, labels: DataFrame, salt: int, least: int) -> DataFrame:
+def _with_pivots(postings: DataFrame, labels: DataFrame, salt: int, least: int, parts: int) -> DataFrame:
     """Postings outside their list's largest component (a_*), each with one of up to PIVOTS members of it (b_*).
 
     Pivots are the members of least hash in each of a list's shares; which share a posting asks depends on itself, so
     over its lists a class meets many members of a component, at one pair a posting.
     """
-    minor, major = _outside(postings, labels, least)
+    minor, major = _outside(postings, labels, least, parts)
     shares = F.least("members", F.lit(PIVOTS))
     turn = F.struct(F.xxhash64("a_rep", F.lit(salt)).alias("turn"), *(F.col(f"a_{c}").alias(c) for c in _POSTING))
     pivots = major.groupBy("token", F.pmod(F.xxhash64("a_rep", F.lit(salt + 100)), shares).alias("share")).agg(F.min(turn).alias("pivot"))
-    pivots = pivots.select("token", "share", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in _POSTING))
+    pivots = pivots.select("token", "share", *(F.col(f"pivot.{c}").alias(f"b_{c}") for c in _POSTING)).coalesce(parts)
     asked = minor.withColumn("share", F.pmod(F.xxhash64("a_rep", "token", F.lit(salt)), shares))
-    return asked.join(pivots, ["token", "share"])
+    return _met(asked, pivots, ["token", "share"], parts)
 
 
 def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -414,23 +423,24 @@ def class_links(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     ranked = tokens.join(counts, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked")).filter(F.size("ranked") >= need)
     whole = stored(ranked.mapInArrow(_prefixes(percent), "rep long, n long, m long, multi int, short int, sig array<long>, reach int, tokens array<long>"), "ranked")
     postings = stored(whole.select("rep", "n", "m", "multi", "short", "sig", F.posexplode(F.slice("tokens", 1, F.col("reach"))).alias("pos", "token")), "postings")
-    least = max(2, -(-postings.count() // HOT_SHARE))
+    many = postings.count()
+    least, parts = max(2, -(-many // HOT_SHARE)), max(1, -(-many // PART_POSTINGS))
     labels = whole.select("rep", F.col("rep").alias("component")).checkpoint()
     for salt in range(PIVOT_ROUNDS):
-        met = _with_pivots(postings, labels, salt, least).filter(_possible(percent))
-        pairs = met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
-        links = _verified(pairs, whole, percent).checkpoint()
+        met = _with_pivots(postings, labels, salt, least, parts).filter(_possible(percent))
+        pairs = met.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct().coalesce(parts)
+        links = _verified(pairs, whole, percent, parts).checkpoint()
         if links.isEmpty():
             break
-        labels = _relabel(labels, links)
-    minor, major = _outside(postings, labels, least)
+        labels = _relabel(labels, links, parts)
+    minor, major = _outside(postings, labels, least, parts)
     # members of the largest component are met from the other side; two others meet once, in the order of components
     block = F.pmod(F.xxhash64("a_rep"), F.col("blocks")).cast("int")
     asking = minor.select("token", block.alias("block"), "component", *(f"a_{c}" for c in _POSTING))
     asked = minor.union(major).select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("component").alias("b_component"), (F.col("component") == F.col("largest")).alias("of_largest"), *(F.col(f"a_{c}").alias(f"b_{c}") for c in _POSTING))
     crossing = (F.col("component") != F.col("b_component")) & (F.col("of_largest") | (F.col("component") < F.col("b_component")))
     pairs = asking.join(asked, ["token", "block"]).filter(crossing & _possible(percent))
-    labels = _relabel(labels, _verified(_matching(pairs, percent), whole, percent, matched=True).checkpoint())
+    labels = _relabel(labels, _verified(_matching(pairs, percent), whole, percent, parts, matched=True).checkpoint(), parts)
     return classes.select("set_hash", "set_check", "n", "rep"), labels
 
 
