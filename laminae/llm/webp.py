@@ -46,8 +46,8 @@ SHORTEST, LONGEST = 8, 4096
 STRETCH = 1 << 20
 #: Odd factor that brings the bits of a window to the top of 64.
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Images, at least, that are decoded in lockstep; fewer are each decoded to their end.
-TOGETHER = 128
+#: Images, at least, that are decoded in lockstep; fewer are each decoded to their end, which takes less time from there.
+TOGETHER = 300
 #: Images in lockstep at most, of alike sizes: their tables stay in a core's cache.
 GROUP = 2048
 #: Predictor modes that the store chooses from (black, left, top, top-left), and the bits of its blocks' sides.
@@ -82,6 +82,10 @@ class BitWriter:
 # prefix codes
 
 
+#: More than any sum of counts.
+NEVER = float("inf")
+
+
 def code_lengths(counts: Iterable[int], limit: int) -> list[int]:
     """Huffman lengths of at most ``limit`` bits; 0 for unused symbols, 1 for a lone one."""
     counts = list(counts)
@@ -95,18 +99,23 @@ def code_lengths(counts: Iterable[int], limit: int) -> list[int]:
     while True:
         leaves = sorted(used, key=weights.__getitem__)
         n = len(leaves)
-        sums = [weights[s] for s in leaves]
-        parents, leaf, node = [0] * (2 * n - 1), 0, n
-        for new in range(n, 2 * n - 1):  # joins rise, so the least of all is the next leaf or the next join
-            total = 0
-            for _ in range(2):
-                if leaf < n and (node == new or sums[leaf] <= sums[node]):
-                    k, leaf = leaf, leaf + 1
-                else:
-                    k, node = node, node + 1
-                parents[k] = new
-                total += sums[k]
-            sums.append(total)
+        sums = [*(weights[s] for s in leaves), NEVER]
+        joins = [NEVER] * n
+        parents, leaf, node = [0] * (2 * n - 1), 0, 0
+        for new in range(n - 1):  # joins rise, so the least of all is the next leaf or the next join
+            if (one := sums[leaf]) <= (other := joins[node]):
+                parents[leaf] = n + new
+                leaf += 1
+            else:
+                parents[n + node], one = n + new, other
+                node += 1
+            if (two := sums[leaf]) <= (other := joins[node]):
+                parents[leaf] = n + new
+                leaf += 1
+            else:
+                parents[n + node], two = n + new, other
+                node += 1
+            joins[new] = one + two
         level = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
             level[k] = level[parents[k]] + 1
@@ -118,12 +127,16 @@ def code_lengths(counts: Iterable[int], limit: int) -> list[int]:
     return lengths
 
 
+#: Numbers of 15 bits, the most of a code, with their bits reversed.
+_REVERSED = [int(f"{k:015b}"[::-1], 2) for k in range(1 << 15)]
+
+
 def reversed_codes(lengths: list[int]) -> list[int]:
     """Canonical codes, bits reversed, as the stream holds them."""
     out, code, previous = [0] * len(lengths), 0, 0
     for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
         code <<= n - previous
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        out[s] = _REVERSED[code] >> (15 - n)
         code, previous = code + 1, n
     return out
 
@@ -152,6 +165,10 @@ class PrefixCode:
         return symbol
 
 
+#: Of the symbols that repeat a code length: how many bits follow and the fewest repeats.
+_REPEATS = {16: (2, 3), 17: (3, 3), 18: (7, 11)}
+
+
 def read_prefix_code(reader: BitReader, size: int) -> list[int]:
     lengths = [0] * size
     if reader.read(1):
@@ -166,20 +183,35 @@ def read_prefix_code(reader: BitReader, size: int) -> list[int]:
     code = PrefixCode(own)
     left = 2 + reader.read(2 + 2 * reader.read(3)) if reader.read(1) else size
     at, last = 0, 8
+    table, mask, data = code.table, (1 << code.bits) - 1, reader.data
+    byte, held, bits = reader.at >> 3, 0, -(reader.at & 7)
     while at < size and left:
         left -= 1
-        symbol = code.read(reader)
+        if bits < 14:  # a symbol and what follows it
+            if bits < 0:
+                held, bits = int.from_bytes(data[byte : byte + 6], "little") >> -bits, 48 + bits
+            else:
+                held |= int.from_bytes(data[byte : byte + 6], "little") << bits
+                bits += 48
+            byte += 6
+        symbol, n = table[held & mask]
+        held >>= n
+        bits -= n
         if symbol < 16:
             lengths[at] = symbol
             last = symbol or last
             at += 1
         else:
-            repeat = 3 + reader.read(2) if symbol == 16 else 3 + reader.read(3) if symbol == 17 else 11 + reader.read(7)
+            n, least = _REPEATS[symbol]
+            repeat = least + (held & ((1 << n) - 1))
+            held >>= n
+            bits -= n
             if at + repeat > size:
                 raise ValueError("code lengths run over")
             if symbol == 16:
                 lengths[at : at + repeat] = [last] * repeat
             at += repeat
+    reader.at = 8 * byte - bits
     return lengths
 
 
@@ -198,7 +230,8 @@ def write_prefix_code(out: BitWriter, lengths: list[int]) -> None:
         return
     runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
     for same in _SAME.finditer(bytes(lengths)):
-        n, count = lengths[same.start()], same.end() - same.start()
+        start, end = same.span()
+        n, count = lengths[start], end - start
         if n:
             runs.append((n, 0, 0))
             count -= 1
@@ -225,13 +258,14 @@ def write_prefix_code(out: BitWriter, lengths: list[int]) -> None:
     shown = max(k for k, s in enumerate(CODE_LENGTH_ORDER) if own[s]) + 1
     out.write(0, 1)
     out.write(max(shown, 4) - 4, 4)
-    for s in CODE_LENGTH_ORDER[: max(shown, 4)]:
-        out.write(own[s], 3)
-    out.write(0, 1)
+    out.write(sum(own[s] << 3 * k for k, s in enumerate(CODE_LENGTH_ORDER[: max(shown, 4)])), 3 * max(shown, 4))
+    value, at = 0, 1
+    widths = [0] * 19 if alone else own
     for s, extra, bits in runs:
-        if not alone:
-            out.write(codes[s], own[s])
-        out.write(extra, bits)
+        n = widths[s]
+        value |= (codes[s] | extra << n) << at if n else extra << at
+        at += n + bits
+    out.write(value, at)
 
 
 def read_number(reader: BitReader, symbol: int) -> int:
@@ -671,10 +705,11 @@ def _predictors(image: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
 
     Blocks are looked at if any mode by itself lessens the entropy of the whole image.
     """
-    tried = np.stack([_residuals(image, mode) for mode in STORE_MODES])
-    whole = _entropy(np.stack([np.bincount(values.reshape(-1), minlength=256) for values in (image, *tried[1:])]))
+    others = [_residuals(image, mode) for mode in STORE_MODES[1:]]
+    whole = _entropy(np.stack([np.bincount(values.reshape(-1), minlength=256) for values in (image, *others)]))
     if whole[1:].min() > whole[0]:
         return None
+    tried = np.stack([_residuals(image, STORE_MODES[0]), *others])
     height, width = image.shape
     across = (width + (1 << BLOCK_BITS) - 1) >> BLOCK_BITS
     block = (np.arange(height, dtype=np.int32) >> BLOCK_BITS)[:, None] * across + (np.arange(width, dtype=np.int32) >> BLOCK_BITS)
@@ -891,6 +926,7 @@ def _to_the_end(out: bytearray, file: tuple, pos: int, left: int, back: int) ->
     """Adds the symbols of ``file`` from the bit ``pos`` on, after the rest of a reference."""
     body, _, code, far_code, total, width = file
     table, mask = code.table, (1 << code.bits) - 1
+    far_table, far_mask = far_code.table, (1 << far_code.bits) - 1
     byte, held, bits = (pos >> 3) + 6, int.from_bytes(body[pos >> 3 : (pos >> 3) + 6], "little") >> (pos & 7), 48 - (pos & 7)
     while True:
         if left:
@@ -909,11 +945,26 @@ def _to_the_end(out: bytearray, file: tuple, pos: int, left: int, back: int) ->
         if symbol < 256:
             out.append(symbol)
         else:
-            reader = BitReader(body, 8 * byte - bits)
-            left = read_number(reader, symbol - 256)
-            back = distance_of(read_number(reader, far_code.read(reader)), width)
-            byte, bits = (reader.at >> 3) + 6, 48 - (reader.at & 7)
-            held = int.from_bytes(body[byte - 6 : byte], "little") >> (reader.at & 7)
+            held |= int.from_bytes(body[byte : byte + 6], "little") << bits
+            byte, bits = byte + 6, bits + 48
+            if (symbol := symbol - 256) < 4:
+                left = symbol + 1
+            else:
+                n = (symbol - 2) >> 1
+                left = ((2 + (symbol & 1)) << n) + (held & ((1 << n) - 1)) + 1
+                held >>= n
+                bits -= n
+            symbol, n = far_table[held & far_mask]
+            held >>= n
+            bits -= n
+            if symbol < 4:
+                back = symbol + 1
+            else:
+                n = (symbol - 2) >> 1
+                back = ((2 + (symbol & 1)) << n) + (held & ((1 << n) - 1)) + 1
+                held >>= n
+                bits -= n
+            back = distance_of(back, width)
 
 
 def _grey_of(symbols: np.ndarray, width: int, height: int, transforms: list[tuple]) -> np.ndarray:
