@@ -228,13 +228,13 @@ def zipped(rows: DataFrame, pred: str, truth: str, keys: list[str]) -> DataFrame
 def lagged_length(rows: DataFrame, by: str, at: str, value: str, lags: int) -> DataFrame:
     """(by, n, length): first lag up to ``lags`` at which the autocorrelation falls under 1/e, or lags + 1.
 
-    Products are joined lag by lag, so pairs grow with rows x lags.
+    Equal values never fall under it. Products are joined lag by lag, so pairs grow with rows x lags.
     """
     centred = rows.join(rows.groupBy(by).agg(F.avg(value).alias("_m"), F.var_pop(value).alias("_v"), F.count("*").alias("n")), by)
-    centred = centred.filter("_v > 0").select(by, F.col(at).alias("_at"), (F.col(value) - F.col("_m")).alias("_x"), "_v", "n")
+    centred = centred.select(by, F.col(at).alias("_at"), (F.col(value) - F.col("_m")).alias("_x"), "_v", "n")
     ahead = centred.select(by, "_at", F.col("_x").alias("_y"))
     moved = centred.withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(lags)))).withColumn("_at", F.col("_at") + F.col("lag"))
-    corr = moved.join(ahead, [by, "_at"]).groupBy(by, "lag").agg((F.avg(F.col("_x") * F.col("_y")) / F.first("_v")).alias("r"), F.first("n").alias("n"))
+    corr = moved.join(ahead, [by, "_at"]).groupBy(by, "lag").agg((F.avg(F.col("_x") * F.col("_y")) / F.max(F.when(F.col("_v") > 0, F.col("_v")))).alias("r"), F.first("n").alias("n"))
     under = F.min(F.when(F.col("r") < math.exp(-1), F.col("lag")))
     return corr.groupBy(by).agg(F.first("n").alias("n"), F.coalesce(under, F.lit(lags + 1)).alias("length"))
 
