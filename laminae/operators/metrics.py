@@ -21,14 +21,14 @@ def overlap(a: DataFrame, b: DataFrame) -> DataFrame:
     return counts.select(_share(2.0 * F.col("n_both"), F.col("n_a") + F.col("n_b")).alias("dice"), _share(F.col("n_both") * 1.0, F.col("n_a") + F.col("n_b") - F.col("n_both")).alias("iou"), "n_a", "n_b", "n_both")
 
 
-def variation_of_information(pairs: DataFrame) -> DataFrame:
-    """One row (split, merge) from pairs of labels (s, g), natural logarithm; no pairs score 0."""
+def variation_of_information(pairs: DataFrame, empty: float | None = 0.0) -> DataFrame:
+    """One row (split, merge) from pairs of labels (s, g), natural logarithm; no pairs score ``empty``."""
     cells = pairs.groupBy("s", "g").agg(F.count("*").alias("n"))
     n_s, n_g = cells.groupBy("s").agg(F.sum("n").alias("ns")), cells.groupBy("g").agg(F.sum("n").alias("ng"))
     whole = F.broadcast(cells.agg(F.sum("n").alias("total")))
     joined = cells.join(n_s, "s").join(n_g, "g").crossJoin(whole)
     p = F.col("n") / F.col("total")
-    return joined.agg(F.coalesce(F.sum(p * F.ln(F.col("ng") / F.col("n"))), F.lit(0.0)).alias("split"), F.coalesce(F.sum(p * F.ln(F.col("ns") / F.col("n"))), F.lit(0.0)).alias("merge"))
+    return joined.agg(F.coalesce(F.sum(p * F.ln(F.col("ng") / F.col("n"))), F.lit(empty).cast("double")).alias("split"), F.coalesce(F.sum(p * F.ln(F.col("ns") / F.col("n"))), F.lit(empty).cast("double")).alias("merge"))
 
 
 def voi_of_masks(a: DataFrame, b: DataFrame) -> DataFrame:
