@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from laminae.session import settled
 from laminae.sources.files import names, read_at, replaced, size_of
 
 #: Fixed values of the format: tags, field types by their struct code, compressions.
@@ -199,27 +200,62 @@ def read(spark: SparkSession, path: str, part_strips: int = PART_STRIPS) -> Data
     return spark.read.format("tiffs").option("partStrips", part_strips).load(path)
 
 
+def _plan(path: str):
+    """Work of tasks: a row (mesh, height, rows a band, what is wrong) for each folder, from its images' headers."""
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                try:
+                    images = [describe(f"{path}/{folder}/{a}.tif") for a in "zyx"]
+                except FileNotFoundError as missing:
+                    rows.append((folder, 0, 1, f"surface {folder or path} lacks an image: {missing}"))
+                    continue
+                apart = len({i[:2] for i in images}) > 1
+                rows.append((folder, images[0].height, max(i.rows for i in images) * PART_STRIPS, f"surface {folder or path}: images of different sizes" if apart else None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["mesh", "height", "band", "wrong"])
+
+    return work
+
+
+def _band(path: str, low: int, high: int) -> np.ndarray:
+    """Rows of an image from the strips that hold them."""
+    image = describe(path)
+    first = low // image.rows
+    strips = [_strip(path, image, k) for k in range(first, -(-high // image.rows))]
+    return np.concatenate(strips)[low - first * image.rows : high - first * image.rows].astype(np.float64)
+
+
 def read_surfaces(spark: SparkSession, path: str, scale: float = 1.0) -> DataFrame:
     """(mesh, u, v, z, y, x, valid): surfaces of images x, y and z, one in ``path`` or one in each folder of it.
 
     A cell with a negative coordinate or none is not valid; ``scale`` lifts valid cells to another level. Surfaces that lack
-    an image, or whose images differ in size, are errors, found from the headers before anything is read.
+    an image, or whose images differ in size, are errors, found from the headers before anything is read. Tasks read
+    headers and bands of rows of many surfaces, so the driver sees only the folders' names.
     """
-    folders = [n for n, folder in names(path) if folder] or [""]
-    for folder in folders:
-        try:
-            sizes = {describe(f"{path}/{folder}/{a}.tif")[:2] for a in "xyz"}
-        except FileNotFoundError as missing:
-            raise ValueError(f"surface {folder or path} lacks an image: {missing}") from None
-        if len(sizes) > 1:
-            raise ValueError(f"surface {folder or path}: images of different sizes")
-    pixels = read(spark, path).filter(F.col("image").isin("x", "y", "z"))
-    cells = pixels.groupBy(F.col("folder").alias("mesh"), F.col("x").alias("u"), F.col("y").alias("v")).agg(*(F.max(F.when(F.col("image") == a, F.col("v"))).alias(a) for a in "zyx"))
-    good = F.lit(True)
-    for a in "zyx":
-        good = good & ~F.isnan(a) & (F.col(a) >= 0)
-    cells = cells.withColumn("valid", good)
-    return cells.select("mesh", "u", "v", *(F.when(F.col("valid"), F.col(a) * scale).otherwise(F.col(a)).alias(a) for a in "zyx"), "valid")
+    folders = [(n,) for n, folder in names(path) if folder] or [("",)]
+    plan = settled(spark.createDataFrame(folders, "mesh string").mapInArrow(_plan(path), "mesh string, height long, band long, wrong string"))
+    for row in plan.filter("wrong is not null").limit(1).collect():
+        raise ValueError(row.wrong)
+    bands = plan.select("mesh", "height", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1, F.col("band"))).alias("low"))
+    tasks = min(bands.count(), max(4 * spark.sparkContext.defaultParallelism, len(folders) // 128))
+
+    def cells(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                low, high = row["low"], min(row["low"] + row["band"], row["height"])
+                found = [_band(f"{path}/{row['mesh']}/{a}.tif", low, high) for a in "zyx"]
+                v, u = (a.reshape(-1) for a in np.indices(found[0].shape))
+                flat = [f.reshape(-1) for f in found]
+                with np.errstate(invalid="ignore"):
+                    valid = np.logical_and.reduce([f >= 0 for f in flat])
+                flat = [np.where(valid, f * scale, f) for f in flat]
+                yield pa.RecordBatch.from_arrays([pa.array([row["mesh"]] * len(u), pa.string()), pa.array(u), pa.array(v + low), *map(pa.array, flat), pa.array(valid)], ["mesh", "u", "v", "z", "y", "x", "valid"])
+
+    return bands.repartition(tasks).mapInArrow(cells, "mesh string, u long, v long, z double, y double, x double, valid boolean")
 
 
 def surface_scale(path: str) -> tuple[float, float]:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from laminae.sources import npy, tiff
 
@@ -175,3 +176,21 @@ def test_surfaces_there_and_back(spark, tmp_path):
     with pytest.raises(ValueError, match="lacks"):
         tiff.read_surfaces(spark, f"{tmp_path}/s")
     assert json.loads((tmp_path / "s" / "a" / "meta.json").read_text())["format"] == "tifxyz"
+
+
+def test_many_surfaces_are_read_by_few_tasks(spark, tmp_path):
+    df = spark.range(60).select((F.col("id") % 30).alias("mesh"), F.floor(F.col("id") / 30).alias("u"), F.lit(1).alias("v"), *(F.col("id").cast("double").alias(a) for a in "zyx"))
+    tiff.write_surfaces(df, f"{tmp_path}/s")
+    got = tiff.read_surfaces(spark, f"{tmp_path}/s").filter("valid")
+    assert got.rdd.getNumPartitions() < 30
+    assert {(r.mesh, r.u, r.v, r.z) for r in got.collect()} == {(str(k % 30), k // 30, 1, float(k)) for k in range(60)}
+
+
+def test_images_of_a_surface_may_have_strips_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tiff, "PART_STRIPS", 1)
+    (tmp_path / "s" / "a").mkdir(parents=True)
+    grid = np.arange(40.0).reshape(10, 4)
+    for a, rows in (("z", 3), ("y", 4), ("x", 64)):
+        (tmp_path / "s" / "a" / f"{a}.tif").write_bytes(tiff.encode(grid, rows))
+    got = {(r.v, r.u): (r.z, r.y, r.x) for r in tiff.read_surfaces(spark, f"{tmp_path}/s").collect()}
+    assert got == {(k // 4, k % 4): (float(k),) * 3 for k in range(40)}
