@@ -169,10 +169,13 @@ def along_sheets(block: np.ndarray, steps: int, rate: float, sigma_grad: float,
 def coherence_diffusion(vox: DataFrame, steps: int, rate: float, side: int, shape, sigma_grad: float = 0.5, sigma_tensor: float = 1.0, floor: float = 0.05) -> DataFrame:
     """(z, y, x, v): explicit diffusion along sheets, whose directions are those of the first volume.
 
-    The rate is limited to 1/6, where explicit steps are stable. A step reaches two voxels, and the halo covers all.
+    The rate is limited to 1/6, where explicit steps are stable. A step reaches two voxels, and the halo covers all. As it is
+    deep, chunks are at least two halos wide: a voxel is then dealt to eight of them at most, and what they say of it is
+    the same.
     """
     rate = min(rate, 1 / 6)
     halo = 2 * steps + 1 + len(gaussian_weights(sigma_grad)) // 2 + len(gaussian_weights(sigma_tensor)) // 2
+    side = max(side, 2 * halo)
 
     def work(block):
         return {"v": along_sheets(block, steps, rate, sigma_grad, sigma_tensor, floor)}

@@ -178,3 +178,11 @@ def test_floor_drops_late_rows(spark, tmp_path):
     run.foreachBatch(lambda df, _: out.extend(tuple(r) for r in df.collect())).start().awaitTermination()
     first = [r for r in out if r[0].minute == 0 and r[0].hour == 0]
     assert len(first) == 1 and first[0][1:] == (1, 1.0)
+
+
+def test_diffusion_deals_a_voxel_to_few_chunks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(dense, "on_chunks", lambda vox, work, outputs, side, halo, shape, mirrored=True: seen.append((side, halo)))
+    dense.coherence_diffusion(None, 3, 0.12, 8, (16, 32, 32))
+    (side, halo) = seen[0]
+    assert side >= 2 * halo
