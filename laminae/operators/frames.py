@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from laminae.functions.numeric import upper_median, wrap_difference
 
@@ -19,11 +23,57 @@ def _around(cells: DataFrame, reach: int, *columns: str) -> DataFrame:
     return moved.select("mesh", (F.col("u") + F.col("_s.du")).alias("u"), (F.col("v") + F.col("_s.dv")).alias("v"), *columns)
 
 
-def reject_outliers(cells: DataFrame, value: str, limit: float, least: int = 5) -> DataFrame:
-    """``cells`` without those that lie more than ``limit`` off the upper median of the 5 x 5 cells around them."""
-    local = _around(cells, 2, value).groupBy(*UV).agg(upper_median(value).alias("_m"), F.count("*").alias("_n"))
-    joined = cells.join(local, UV)
-    return joined.filter((F.col("_n") < least) | (F.abs(F.col(value) - F.col("_m")) <= limit)).drop("_m", "_n")
+def _on_tiles(cells: DataFrame, columns: list[str], work: Callable[..., pa.Table], schema: StructType, side: int, halo: int) -> DataFrame:
+    """``work`` on dense tiles of ``side`` cells a way and a halo of frames: a cell is dealt to the few tiles that see it.
+
+    ``work`` gets the cells as a table, their places in the tile's views, a view of each of ``columns`` with NaN where no
+    cell is, and which cells are the tile's own.
+    """
+    # a tile exists where a cell of its own does
+    mine = cells.select("mesh", *(F.floor(F.col(a) / side).alias(t) for a, t in (("u", "_tu"), ("v", "_tv")))).distinct()
+    dealt = cells
+    for a, t in (("u", "_tu"), ("v", "_tv")):
+        dealt = dealt.withColumn(t, F.explode(F.sequence(F.floor((F.col(a) - halo) / side), F.floor((F.col(a) + halo) / side))))
+
+    def run(group: pa.Table) -> pa.Table:
+        at = [group[a].to_numpy() for a in ("u", "v")]
+        corner = [group[t][0].as_py() * side for t in ("_tu", "_tv")]
+        place = tuple(a - (c - halo) for a, c in zip(at, corner, strict=True))
+        views = []
+        for c in columns:
+            view = np.full((side + 2 * halo,) * 2, np.nan)
+            view[place] = group[c].to_numpy()
+            views.append(view)
+        own = np.logical_and.reduce([(a >= c) & (a < c + side) for a, c in zip(at, corner, strict=True)])
+        return work(group.drop_columns(["_tu", "_tv"]), place, views, own)
+
+    return dealt.join(mine, ["mesh", "_tu", "_tv"], "left_semi").select(*cells.columns, "_tu", "_tv").groupBy("mesh", "_tu", "_tv").applyInArrow(run, schema)
+
+
+def _upper_medians(view: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(upper median, number) of the cells within ``reach`` of each place of a view."""
+    wide = np.pad(view, reach, constant_values=np.nan)
+    span = 2 * reach + 1
+    near = np.sort(np.lib.stride_tricks.sliding_window_view(wide, (span, span)).reshape(*view.shape, span * span), -1)
+    n = np.isfinite(near).sum(-1)
+    return np.take_along_axis(near, np.minimum(n // 2, span * span - 1)[..., None], -1)[..., 0], n
+
+
+def _kept(view: np.ndarray, limit: float, least: int) -> np.ndarray:
+    middle, n = _upper_medians(view, 2)
+    return np.isfinite(view) & ((n < least) | (np.abs(view - middle) <= limit))
+
+
+def reject_outliers(cells: DataFrame, value: str, limit: float, least: int = 5, side: int = 64) -> DataFrame:
+    """``cells`` without those that lie more than ``limit`` off the upper median of the 5 x 5 cells around them.
+
+    A place of a frame holds one cell, with a number.
+    """
+
+    def work(group, place, views, own):
+        return group.filter(pa.array(own & _kept(views[0], limit, least)[place]))
+
+    return _on_tiles(cells, [value], work, cells.schema, side, 2)
 
 
 def smooth(cells: DataFrame, value: str, frame: DataFrame | None = None) -> DataFrame:
@@ -32,6 +82,22 @@ def smooth(cells: DataFrame, value: str, frame: DataFrame | None = None) -> Data
     return means.join((cells if frame is None else frame).select(*UV), UV, "left_semi")
 
 
+def smooth_kept(cells: DataFrame, value: str, limit: float, least: int = 5, side: int = 64) -> DataFrame:
+    """``smooth`` of what ``reject_outliers`` keeps, at the places of all cells: both see the same tiles, in one exchange."""
+    schema = StructType([*(cells.schema[c] for c in UV), StructField(value, DoubleType())])
+
+    def work(group, place, views, own):
+        view = np.where(_kept(views[0], limit, least), views[0], np.nan)
+        wide = np.pad(view, 1, constant_values=np.nan)
+        near = np.lib.stride_tricks.sliding_window_view(wide, (3, 3))
+        n = np.isfinite(near).sum((-2, -1))
+        mean = np.nansum(near, (-2, -1)) / np.maximum(n, 1)
+        kept = own & (n[place] > 0)
+        return group.select(UV).append_column(value, pa.array(mean[place])).filter(pa.array(kept))
+
+    return _on_tiles(cells.select(*UV, value), [value], work, schema, side, 3)
+
+
 def fill_gaps(cells: DataFrame, values: list[str], least: int) -> DataFrame:
     """Cells, and missing ones with at least ``least`` of eight neighbours, at their mean."""
     around = _around(cells, 1, *values).groupBy(*UV).agg(F.count("*").alias("_n"), *(F.avg(c).alias(c) for c in values))
