@@ -109,8 +109,7 @@ def median_reject(t):
 
 @query(f"WITH {_KEPT}, s AS (SELECT k.mesh,k.u+du u,k.v+dv v,avg(d) d FROM k,q WHERE abs(du)<=1 AND abs(dv)<=1 GROUP BY 1,2,3) SELECT mesh,u,v,round(s.d,6) d FROM s SEMI JOIN f USING (mesh,u,v)", "ct")
 def median_smooth(t):
-    cells = _frame(t)
-    return rounded(frames.smooth(frames.reject_outliers(cells, "d", 15), "d", cells), "d")
+    return rounded(frames.smooth_kept(_frame(t), "d", 15), "d")
 
 
 @query(f"WITH f AS (SELECT z mesh,x u,y v,v d FROM gt WHERE v>=12), {_SQUARE5}, a AS (SELECT mesh,u+du u,v+dv v,count(*) n,avg(d) d FROM f,q WHERE abs(du)<=1 AND abs(dv)<=1 GROUP BY 1,2,3) SELECT mesh,u,v,CAST(d AS DOUBLE) d FROM f UNION ALL SELECT mesh,u,v,round(d,6) FROM a ANTI JOIN f USING (mesh,u,v) WHERE n>=5", "gt")
