@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,36 @@ def erode(mask: DataFrame, offsets, keep: int | None = None) -> DataFrame:
     return mask.select(*KEY).join(votes.filter(F.col("votes") >= (keep or len(offsets))), KEY, "left_semi")
 
 
+def close(mask: DataFrame, offsets, shape, side: int = 32) -> DataFrame:
+    """``dilate`` and then ``erode`` by symmetric offsets, in tiles of ``side`` voxels a way that see what is within reach twice."""
+    reach = max(max(map(abs, o)) for o in offsets)
+    tile, halo = [f"_t{a}" for a in KEY], 2 * reach
+    dealt = mask.select(*(F.col(a).cast("long").alias(a) for a in KEY))
+    for a, t, n in zip(KEY, tile, shape, strict=True):
+        dealt = dealt.withColumn(t, F.explode(F.sequence(F.floor((F.col(a) - halo) / side), F.floor((F.col(a) + halo) / side))))
+        dealt = dealt.filter((F.col(t) >= 0) & (F.col(t) * side < n))
+
+    def moved(block: np.ndarray, o: tuple[int, int, int]) -> np.ndarray:
+        """The block as seen from ``o`` steps away; what lies beyond it is background."""
+        out = np.zeros_like(block)
+        ends = [(slice(max(-d, 0), n - max(d, 0)), slice(max(d, 0), n - max(-d, 0))) for d, n in zip(o, block.shape, strict=True)]
+        out[tuple(here for here, _ in ends)] = block[tuple(there for _, there in ends)]
+        return out
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        low = [int(group[t].iloc[0]) * side - halo for t in tile]
+        block = np.zeros([side + 2 * halo] * 3, bool)
+        block[tuple(group[a].to_numpy() - b for a, b in zip(KEY, low, strict=True))] = True
+        inside = np.zeros_like(block)
+        inside[tuple(slice(max(-b, 0), max(min(n - b, m), 0)) for b, n, m in zip(low, shape, block.shape, strict=True))] = True
+        grown = np.logical_or.reduce([block, *(moved(block, o) for o in offsets)]) & inside
+        closed = np.logical_and.reduce([grown, *(moved(grown, o) for o in offsets)])
+        own = np.argwhere(closed[(slice(halo, -halo),) * 3]) + halo
+        return pd.DataFrame({a: own[:, k] + low[k] for k, a in enumerate(KEY)})
+
+    return dealt.groupBy(*tile).applyInPandas(run, "z long, y long, x long")
+
+
 def majority(mask: DataFrame, shape, votes: int = 14) -> DataFrame:
     """Voxels with at least ``votes`` foreground voxels in their 3 x 3 x 3 cube."""
     return bounded(shifted(mask.select(*KEY), CUBE), shape).groupBy(*KEY).agg(F.count("*").alias("n")).filter(F.col("n") >= votes).select(*KEY)
