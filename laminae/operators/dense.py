@@ -201,25 +201,57 @@ def _envelope(at: np.ndarray, d: np.ndarray) -> np.ndarray:
     return (at - at[own]) ** 2 + d[own]
 
 
-def distance_squared(seeds: DataFrame, grid: DataFrame) -> DataFrame:
+def _nearer(lines: np.ndarray, steps: int = 64) -> np.ndarray:
+    """Least (i - j)^2 + d[j] along the rows of a table of full lines, inf where a line has no finite place.
+
+    All lines take one step further at a time until no step can matter; those that need more than ``steps`` go through
+    their envelope of parabolas.
+    """
+    out = lines.copy()
+    n = lines.shape[1]
+    open_ = np.flatnonzero(np.isfinite(lines).any(1))
+    for k in range(1, min(steps, n - 1) + 1):
+        open_ = open_[out[open_].max(1) > k * k]
+        if not len(open_):
+            return out
+        part, far = out[open_], lines[open_]
+        part[:, k:] = np.minimum(part[:, k:], far[:, :-k] + k * k)
+        part[:, :-k] = np.minimum(part[:, :-k], far[:, k:] + k * k)
+        out[open_] = part
+    if steps < n - 1:
+        at = np.arange(n)
+        for r in open_[out[open_].max(1) > (steps + 1) ** 2]:
+            out[r] = _envelope(at, lines[r])
+    return out
+
+
+def distance_squared(seeds: DataFrame, grid: DataFrame, bundle: int = 8) -> DataFrame:
     """(z, y, x, d2): squared distance of every grid voxel to the nearest seed, one axis after another.
 
-    Each pass works on lines; a line is one group, as long as the volume is wide. Without seeds d2 is null.
+    Each pass works on bundles of lines side by side, ``bundle`` a way along x and y, one a way along z, where lines are as
+    long as the volume is deep. A line is as long as its places are apart; places that the grid lacks hold no seed.
+    Without seeds d2 is null.
     """
     def along(axis: str):
-        def line(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(axis)
-            at, d = group[axis].to_numpy(), group["d2"].to_numpy(dtype=float, na_value=np.inf)
-            if np.isfinite(d).any():
-                group["d2"] = _envelope(at, d)
-            return group[[*KEY, "d2"]]
+        others = [a for a in KEY if a != axis]
+
+        def lines(group: pd.DataFrame) -> pd.DataFrame:
+            d = group["d2"].to_numpy(dtype=float, na_value=np.inf)
+            d = np.where(np.isnan(d), np.inf, d)
+            line = np.unique(group[others].to_numpy(), axis=0, return_inverse=True)[1].reshape(-1)
+            at = group[axis].to_numpy()
+            place = (line, at - at.min())
+            table = np.full((line.max() + 1, place[1].max() + 1), np.inf)
+            table[place] = d
+            return group[KEY].assign(d2=_nearer(table)[place])
 
-        return line
+        return lines
 
     marked = grid.select(*KEY).join(seeds.select(*KEY, F.lit(0.0).alias("d2")), KEY, "left")
     for axis in ("x", "y", "z"):
-        marked = marked.groupBy(*(a for a in KEY if a != axis)).applyInPandas(along(axis), "z long, y long, x long, d2 double")
-    return marked.withColumn("d2", F.when(F.isnan("d2"), None).otherwise(F.col("d2")))
+        size = 1 if axis == "z" else bundle
+        marked = marked.groupBy(*(F.floor(F.col(a) / size).alias(f"_{a}") for a in KEY if a != axis)).applyInPandas(along(axis), "z long, y long, x long, d2 double")
+    return marked.withColumn("d2", F.when(F.col("d2") < float("inf"), F.col("d2")))
 
 
 def drawn(number, salt: int, n: int):

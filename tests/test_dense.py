@@ -206,3 +206,25 @@ def test_guided_filter_sees_a_voxel_in_few_blocks(spark, monkeypatch):
     a = (mm - m * m) / (mm - m * m + 100.0)
     ma, mb = means(a, m * (1 - a))
     assert got == {tuple(p): pytest.approx((ma * v + mb)[tuple(p)], abs=1e-9) for p in at.tolist()}
+
+
+@pytest.mark.parametrize("steps", [2, 64])
+def test_bundles_of_lines_find_the_nearest(steps):
+    draw = np.random.default_rng(6)
+    lines = np.where(draw.random((40, 90)) < 0.04, draw.integers(0, 50, (40, 90)).astype(float), np.inf)
+    lines[3] = np.inf
+    at = np.arange(90)
+    want = ((at[:, None] - at[None, :]) ** 2 + lines[:, None, :]).min(-1)
+    assert np.array_equal(dense._nearer(lines, steps), want)
+
+
+def test_distances_over_bundles_and_gaps(spark):
+    draw = np.random.default_rng(7)
+    shape = (7, 11, 10)
+    at = np.indices(shape).reshape(3, -1).T
+    seeds = at[draw.random(len(at)) < 0.02]
+    there = at[draw.random(len(at)) < 0.5]
+    table = [spark.createDataFrame(p.tolist(), "z long, y long, x long") for p in (seeds, there)]
+    whole = graph.background(table[0].limit(0), shape)
+    got = {(r.z, r.y, r.x): r.d2 for r in dense.distance_squared(table[0], whole, bundle=4).join(table[1], ["z", "y", "x"], "left_semi").collect()}
+    assert got == {tuple(p): float(((seeds - p) ** 2).sum(1).min()) for p in there.tolist()}
