@@ -11,24 +11,36 @@ from laminae.operators.stencil import AROUND, FACES, KEY, contacts, euler, shift
 from laminae.session import running_sums, settled
 
 
+def _followed(parents: DataFrame) -> DataFrame:
+    """(id, to) with every pointer followed to its end; each round doubles what a pointer spans."""
+    while True:
+        on = parents.select(F.col("id").alias("to"), F.col("to").alias("next"))
+        ahead = settled(parents.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        parents = ahead.select("id", "to")
+        if ahead.filter("moved").isEmpty():
+            return parents
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, label): least id reachable over edges (a, b), for every row of nodes (id).
 
-    Rounds of least neighbouring label and pointer jumping; labels fall until none changes, in about the logarithm of
-    the longest chain.
+    Components contract: each hooks on to the least one beside it that is below it, chains of hooks are followed by
+    pointer doubling, and edges are rewritten between what is left. So rounds grow with the logarithm of the longest
+    chain, not with its length. Edges to what is no node do not count.
     """
-    both = settled(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = settled(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        best = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        hooked = labels.join(best.withColumnRenamed("a", "id"), "id", "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
-        # a label's own label is at least as small
-        targets = hooked.groupBy("label").agg(F.min("to").alias("root")).select(F.col("label").alias("to"), "root")
-        jumped = hooked.join(targets, "to", "left").select("id", F.col("label").alias("old"), F.least("to", F.coalesce("root", "to")).alias("label"))
-        jumped = settled(jumped)
-        labels = jumped.select("id", "label")
-        if jumped.filter("label <> old").isEmpty():
-            return labels
+    known = labels.select("id").distinct()
+    edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    for end in ("a", "b"):
+        edges = edges.join(known.withColumnRenamed("id", end), end, "left_semi")
+    edges = settled(edges.select("a", "b"))
+    while not edges.isEmpty():
+        ends = _followed(settled(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to"))))
+        labels = settled(labels.join(ends.withColumnRenamed("id", "label"), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
+        one, two = (ends.select(F.col("id").alias(x), F.col("to").alias(f"t{x}")) for x in ("a", "b"))
+        moved = edges.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"))
+        edges = settled(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    return labels
 
 
 def linear(shape: tuple[int, int, int]):

@@ -58,3 +58,13 @@ def test_offsets_of_a_chain_take_few_rounds(spark, monkeypatch):
     root = min(names)
     assert got == {i: (root, v - value[root]) for i, v in value.items()} | {20_000: (20_000, 0), 20_001: (20_000, -5)}
     assert len(taken) < 120
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, states, settled = 150, [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: states.append(1) or settled(df))
+    edges = spark.createDataFrame([*((k + 1, k) for k in range(n - 1)), (20_000, 30_000)], "a long, b long")
+    nodes = spark.createDataFrame([(k,) for k in [*range(n), 20_000, 40_000]], "id long")
+    got = {r.id: r.label for r in graph.components(nodes, edges).collect()}
+    assert got == {**dict.fromkeys(range(n), 0), 20_000: 20_000, 40_000: 40_000}
+    assert len(states) < 20
