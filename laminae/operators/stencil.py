@@ -17,6 +17,8 @@ KEY = ["z", "y", "x"]
 FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 CUBE = [(z, y, x) for z in (-1, 0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)]
 AROUND = [o for o in CUBE if o != (0, 0, 0)]
+CORNERS = [(z, y, x) for z in (0, 1) for y in (0, 1) for x in (0, 1)]
+PARTS = ["vertices", "edges", "faces", "cells"]
 FORWARD = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
 
 
@@ -124,13 +126,32 @@ def weighted_line(vox: DataFrame, axis: str, weights: list[float], size: int) ->
     return vox.select(*KEY).join(summed, KEY)
 
 
-def euler(mask: DataFrame) -> DataFrame:
-    """One row (vertices, edges, faces, cells, chi) of the union of closed unit cubes."""
-    doubled = mask.select(*((2 * F.col(a) + 1).alias(a) for a in KEY))
-    parts = shifted(doubled, CUBE).distinct()
-    odd = sum((F.abs(F.col(a)) % 2 for a in KEY), F.lit(0))
-    counts = [F.sum((odd == k).cast("bigint")) for k in range(4)]
-    row = parts.agg(*(F.coalesce(c, F.lit(0)).alias(n) for c, n in zip(counts, ("vertices", "edges", "faces", "cells"), strict=True)))
+def euler(mask: DataFrame, side: int = 32) -> DataFrame:
+    """One row (vertices, edges, faces, cells, chi) of the union of closed unit cubes.
+
+    A tile of ``side`` voxels a way counts the parts at its voxels' lower ends, which the voxels before it share, and
+    voxels are dealt to the tiles that hold a part of theirs.
+    """
+    tile = [f"_t{a}" for a in KEY]
+    dealt = mask.select(*(F.col(a).cast("long").alias(a) for a in KEY))
+    for a, t in zip(KEY, tile, strict=True):
+        dealt = dealt.withColumn(t, F.explode(F.sequence(F.floor(F.col(a) / side), F.floor((F.col(a) + 1) / side))))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        low = [int(group[t].iloc[0]) * side - 1 for t in tile]
+        block = np.zeros([side + 1] * 3, bool)
+        block[tuple(group[a].to_numpy() - b for a, b in zip(KEY, low, strict=True))] = True
+        counts = [0] * 4
+        for thick in CORNERS:
+            part = block
+            for axis, whole in enumerate(thick):
+                here, before = (np.take(part, range(b, b + side), axis) for b in (1, 0))
+                part = here if whole else here | before
+            counts[sum(thick)] += int(part.sum())
+        return pd.DataFrame([counts], columns=PARTS)
+
+    counts = dealt.groupBy(*tile).applyInPandas(run, ", ".join(f"{n} long" for n in PARTS))
+    row = counts.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in PARTS))
     return row.withColumn("chi", F.expr("vertices - edges + faces - cells"))
 
 
